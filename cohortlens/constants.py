@@ -16,6 +16,13 @@ STUDY_CODES = (
     "J22X",
 )
 
+# The characters Unicode calls white space.
+WHITE_SPACE = (
+    "\t\n\v\f\r \u0085\u00a0\u1680"
+    "\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a"
+    "\u2028\u2029\u202f\u205f\u3000"
+)
+
 # Subgroup prefixes kept by the normaliser. A prefix test, so "Grupo 10" is "Grupo 1".
 SUBGROUPS = ("Grupo 1", "Grupo 2", "Grupo 3")
 

@@ -9,25 +9,30 @@ MICROS_PER_DAY = 86_400_000_000
 
 # Day-month-year text; anything after the year is ignored.
 _DMY = r"^\s*(\d{1,2}/\d{1,2}/\d{4})"
-# Year-month-day and clock text with any usual separator.
-_YMD_HMS = (
-    r"^\s*(\d{4}-\d{1,2}-\d{1,2}[ T]\d{1,2}:\d{1,2}:\d{1,2}(?:\.\d+)?)\s*(?:Z|UTC)?\s*$"
-)
 
 
 def parse_dmy(col: Column, data_type: str = "string") -> Column:
     """Text ``d/m/yyyy`` to date; bad text is NULL. A column already typed is only cast."""
     if data_type != "string":
         return col.cast("date")
-    return F.try_to_date(F.regexp_extract(col, _DMY, 1), "d/M/yyyy")
+    # The pattern is only matched where the plain parse fails.
+    return F.coalesce(
+        F.try_to_date(col, "d/M/yyyy"),
+        F.try_to_date(F.regexp_extract(col, _DMY, 1), "d/M/yyyy"),
+    )
 
 
 def parse_ymd_hms(col: Column, data_type: str = "string") -> Column:
-    """Text ``y-m-d h:m:s`` to a zone-free timestamp; bad text is NULL."""
+    """Text ``y-m-d h:m:s`` to a zone-free timestamp; bad text is NULL.
+
+    The cast alone would also take a date without a clock; two colons make sure of one.
+    """
     if data_type != "string":
         return col.cast("timestamp_ntz")
-    text = F.regexp_extract(F.translate(col, "/", "-"), _YMD_HMS, 1)
-    return text.try_cast("timestamp_ntz")
+    text = F.when(F.contains(col, F.lit("/")), F.replace(col, F.lit("/"), F.lit("-"))).otherwise(col)
+    colon = F.lit(":")
+    second_colon = F.position(colon, text, F.position(colon, text) + 1)
+    return F.when(second_colon > 0, text.try_cast("timestamp_ntz"))
 
 
 def span_days(start: Column, end: Column) -> Column:

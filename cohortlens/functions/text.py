@@ -3,17 +3,15 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from ..constants import SUBGROUPS
+from ..constants import SUBGROUPS, WHITE_SPACE
 
 
 def clean_upper(col: Column) -> Column:
     """Upper case without leading or trailing white space of any Unicode kind.
 
-    ``trim`` only strips the plain space, so tabs and no-break spaces need the class.
+    Without a set of characters ``trim`` strips the plain space only.
     """
-    return F.regexp_replace(
-        F.upper(col), r"^\p{IsWhite_Space}+|\p{IsWhite_Space}+$", ""
-    )
+    return F.btrim(F.upper(col), F.lit(WHITE_SPACE))
 
 
 def id_text(col: Column, data_type: str) -> Column:
