@@ -32,7 +32,7 @@ def harmonise_snapshot(
 
     ``columns`` maps target names to the names in this extract. Codes and person types
     are trimmed and upper-cased, ages lose their sign, identifiers become text, and
-    timestamps that cannot be read become NULL. Sex is left as it is.
+    timestamps or ages that cannot be read become NULL. Sex is left as it is.
     """
     types = dict(df.dtypes)
 
@@ -42,6 +42,7 @@ def harmonise_snapshot(
     def type_of(name: str) -> str:
         return types[columns[name]]
 
+    age = source("age_months").try_cast("double")
     tag = F.lit(snapshot) if isinstance(snapshot, str) else snapshot
     values = {
         "snapshot": tag,
@@ -51,7 +52,7 @@ def harmonise_snapshot(
         "person_id": id_text(source("person_id"), type_of("person_id")),
         "admit_ts": parse_ymd_hms(source("admit_ts"), type_of("admit_ts")),
         "discharge_ts": parse_ymd_hms(source("discharge_ts"), type_of("discharge_ts")),
-        "age_months": F.abs(source("age_months").try_cast("double")),
+        "age_months": F.when(~F.isnan(age), F.abs(age)),
         "dx": clean_upper(source("dx")),
         "sex": source("sex"),
     }

@@ -97,19 +97,20 @@ def sequence_gaps(sample: DataFrame, block: int = GAP_BLOCK) -> DataFrame:
     Numbers are compared in blocks of fixed size: no task holds more than one block of a
     site at a time, however long its sequence, and the full sequence is never shuffled.
     """
-    number = F.col("slot_no")
-    slots = distinct_slots(sample)
     seen = (
-        slots.filter(number >= 1)
+        distinct_slots(sample)
+        .filter(F.col("slot_no") >= 1)
         .groupBy("site", F.expr(f"(slot_no - 1) div {block}").alias("block_no"))
         .agg(F.collect_list("slot_no").alias("used"))
     )
+    # The maximum comes from the same blocks, so the rows are read and shuffled once.
     spine = (
-        slots.groupBy("site")
-        .agg(F.max("slot_no").alias("max_slot"))
-        .filter("max_slot >= 1")
+        seen.groupBy("site")
+        .agg(F.max(F.array_max("used")).alias("max_slot"))
         .select(
-            "site", "max_slot", F.explode(F.expr(f"sequence(0L, (max_slot - 1) div {block})")).alias("block_no")
+            "site",
+            "max_slot",
+            F.explode(F.expr(f"sequence(0L, (max_slot - 1) div {block})")).alias("block_no"),
         )
     )
     first = F.col("block_no") * F.lit(block) + 1

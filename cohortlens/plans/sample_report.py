@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from ..constants import SUBGROUPS
 from ..operators import distribution, ingest, integrity
@@ -11,12 +10,12 @@ from ..sources.sinks import staged, write_report
 
 _BY_SITE = ["row_ord", "site"]
 ORDER = {
-    "subgroups": [F.asc_nulls_last("subgroup")],
+    "subgroups": ["subgroup"],
     "site_by_subgroup": ["site"],
     "quota": ["site"],
     "sequence": ["site"],
     "sequence_gaps": ["site", "missing_slot"],
-    "multi_slot_patients": ["site", F.asc_nulls_last("patient_id")],
+    "multi_slot_patients": ["site", "patient_id"],
     "site_distribution": _BY_SITE,
     "group_1_original": _BY_SITE,
     "duration_group_1_original": _BY_SITE,

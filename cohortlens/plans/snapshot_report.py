@@ -5,7 +5,6 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from ..constants import STUDY_CODES
 from ..operators import compare, profile, reconcile
@@ -13,17 +12,17 @@ from ..sources.sinks import staged, write_report
 
 ORDER = {
     "overview": ["indicator"],
-    "duplicates": [F.desc("snapshot")],
-    "duplicates_detail": [F.desc("snapshot"), "rank"],
-    "complexity": [F.asc_nulls_last("complexity")],
+    "duplicates": ["-snapshot"],
+    "duplicates_detail": ["-snapshot", "rank"],
+    "complexity": ["complexity"],
     "age_distribution": ["age_months"],
     "codes": ["status", "dx"],
     "codes_summary": ["status"],
     "codes_problems": ["status", "dx"],
     "codes_common": ["difference", "dx"],
-    "stays": [F.desc("snapshot")],
-    "long_stays": [F.desc("snapshot"), "range_ord", F.asc_nulls_last("complexity")],
-    "sex": [F.asc_nulls_last("sex")],
+    "stays": ["-snapshot"],
+    "long_stays": ["-snapshot", "range_ord", "complexity"],
+    "sex": ["sex"],
 }
 
 

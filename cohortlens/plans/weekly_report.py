@@ -6,7 +6,6 @@ import datetime as dt
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from ..operators import care, compliance
 from ..sources.sinks import write_report
@@ -48,5 +47,5 @@ def write_weekly_report(root: str, fmt: str = "parquet", **inputs) -> dict[str,
     """Write the report. Every table reads its stored input; nothing is worth staging."""
     order = {**ORDER}
     for listing in ("birth_after_event", "age_out_of_range", "events_without_care"):
-        order[listing] = [F.asc_nulls_last("submission_id"), "event_index"]
+        order[listing] = ["submission_id", "event_index"]
     return write_report(weekly_tables(**inputs), root, fmt, order)

@@ -7,18 +7,26 @@ import uuid
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+
+def order_column(name: str) -> Column:
+    """``name`` rising or ``-name`` falling, NULL last in both."""
+    if name.startswith("-"):
+        return F.desc_nulls_last(name[1:])
+    return F.asc_nulls_last(name)
 
 
 def write_table(
     df: DataFrame,
     path: str,
     fmt: str = "parquet",
-    order_by: Sequence[str | Column] = (),
+    order_by: Sequence[str] = (),
     mode: str = "overwrite",
 ) -> None:
     """Write one result. ``order_by`` makes Spark range-partition, so files are in order."""
     if order_by:
-        df = df.orderBy(*order_by)
+        df = df.orderBy(*[order_column(name) for name in order_by])
     writer = df.write.mode(mode).format(fmt)
     if fmt == "csv":
         writer = writer.option("header", "true")
@@ -29,7 +37,7 @@ def write_report(
     tables: Mapping[str, DataFrame],
     root: str,
     fmt: str = "parquet",
-    order_by: Mapping[str, Sequence[str | Column]] | None = None,
+    order_by: Mapping[str, Sequence[str]] | None = None,
 ) -> dict[str, str]:
     """Write every table of a report below ``root`` and return the paths."""
     orders = order_by or {}

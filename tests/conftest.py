@@ -6,7 +6,8 @@ from cohortlens.session import local_session
 
 
 @pytest.fixture(scope="session")
-def spark():
-    session = local_session("tests", "4")
+def spark(tmp_path_factory):
+    shared = str(tmp_path_factory.mktemp("shared"))
+    session = local_session("tests", "4", **{"spark.checkpoint.dir": shared})
     yield session
     session.stop()

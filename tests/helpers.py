@@ -39,8 +39,18 @@ def sample_rows(spark, rows: list[dict]):
 
 
 def plan_of(df, run: bool = True) -> str:
-    """The physical plan; after a run it is the adaptive one that was executed."""
+    """The physical plan; after a run it is the adaptive one that was executed.
+
+    The plans that were only planned, of the query and of its subqueries, are left out.
+    """
     if run:
         df.collect()
-    text = df._jdf.queryExecution().executedPlan().toString()
-    return text.split("== Initial Plan ==")[0]
+    kept, skip_deeper_than = [], None
+    for line in df._jdf.queryExecution().executedPlan().toString().split("\n"):
+        depth = len(line) - len(line.lstrip(" :+-*"))
+        if skip_deeper_than is not None and depth >= skip_deeper_than:
+            continue
+        skip_deeper_than = depth if "== Initial Plan ==" in line and run else None
+        if skip_deeper_than is None:
+            kept.append(line)
+    return "\n".join(kept)

@@ -328,7 +328,7 @@ def test_dimension_audit(spark):
     )
 
 
-def test_nan_is_a_value_of_numeric_profile_only_when_given(spark):
+def test_numeric_profile(spark):
     rows = [{"age_months": a} for a in (1.0, 2.0, 4.0, 100.0, None)]
     got = one(profile.numeric_profile(admissions(spark, rows)))
     assert tuple(got) == ("old", 1.0, 3.0, 26.8, 100.0, 1, 1)
