@@ -215,7 +215,7 @@ FROM tagged GROUP BY snapshot"""
 
 
 def _text_ts(column: str) -> str:
-    return f"strftime({column}, '%Y-%m-%d %H:%M:%S')"
+    return f"CAST({column} AS VARCHAR)"
 
 
 def _share(category: str) -> str:

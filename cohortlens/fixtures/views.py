@@ -68,8 +68,9 @@ def _copies(df: DataFrame, name: str, *values: Column) -> DataFrame:
     """One copy of a row per value that is not NULL, in one pass and inside generated code."""
     marks = [f"__copy_{i}" for i in range(len(values))]
     marked = df.withColumns(dict(zip(marks, values)))
+    # Fresh names for the kept columns: only then are equal shuffles recognised and reused.
     kept = [F.col(c).alias(c) for c in df.columns]
-    return marked.unpivot(kept, marks, "__mark", name).filter(F.col(name).isNotNull()).drop("__mark")
+    return marked.unpivot(kept, marks, "__mark", name).filter(F.col(name).isNotNull())
 
 
 def _is_old() -> Column:
@@ -103,10 +104,15 @@ def _admissions(spark: SparkSession, sf_dir: str, persons: bool) -> DataFrame:
         table(spark, sf_dir, "part"), F.col("l_partkey") == F.col("p_partkey")
     )
     orders = table(spark, sf_dir, "orders")
+    segment = []
     if persons:
         customers = table(spark, sf_dir, "customer")
         orders = orders.join(customers, F.col("o_custkey") == F.col("c_custkey"), "left")
-    return lines.join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
+        segment = ["c_mktsegment"]
+    return lines.join(orders, F.col("l_orderkey") == F.col("o_orderkey")).select(
+        "l_orderkey", "l_linenumber", "l_quantity", "p_type", "o_orderkey", "o_custkey",
+        "o_orderdate", "o_orderpriority", "o_orderstatus", *segment,
+    )
 
 
 def _extract_columns(persons: bool, text_dates: bool, names: dict[str, str]) -> list[Column]:
@@ -114,7 +120,7 @@ def _extract_columns(persons: bool, text_dates: bool, names: dict[str, str]) ->
     discharge = F.timestamp_add("HOUR", hours, F.col("o_orderdate"))
 
     def stamp(c: Column) -> Column:
-        return F.date_format(c, "yyyy-MM-dd HH:mm:ss") if text_dates else c
+        return c.cast("string") if text_dates else c
 
     segment = F.col("c_mktsegment") if persons else F.lit(None).cast("string")
     values = {
@@ -156,6 +162,7 @@ def _sample_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
         .join(table(spark, sf_dir, "customer"), F.col("o_custkey") == F.col("c_custkey"))
         .join(table(spark, sf_dir, "nation"), F.col("c_nationkey") == F.col("n_nationkey"))
         .join(table(spark, sf_dir, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
+        .select("r_name", "o_orderkey", "o_custkey", "o_orderdate")
     )
 
 

@@ -11,6 +11,7 @@ from ..constants import AGE_MONTHS_MAX, AGE_MONTHS_MIN, PRESENT_IN_BOTH, STUDY_C
 from ..functions.classify import presence_status
 from ..functions.stats import share_pct, zero
 from ..sources.dims import code_spine, int_spine
+from .joins import null_safe_join
 from .profile import NEW, OLD
 from .reconcile import count_in
 
@@ -94,7 +95,9 @@ def _on_spine(spine: DataFrame, counts: DataFrame, key: str) -> DataFrame:
     """Every spine value with its counts, 0 where there are none.
 
     The counts were filtered to the spine before grouping: no more rows than the spine.
+    A null-safe join asks for no extra not-null filter, which would clean every row's
+    key once more.
     """
-    return spine.join(F.broadcast(counts), key, "left").select(
+    return null_safe_join(spine, F.broadcast(counts), [key], "left").select(
         key, zero(F.col("n_old")).alias("n_old"), zero(F.col("n_new")).alias("n_new")
     )

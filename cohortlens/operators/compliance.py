@@ -122,7 +122,8 @@ def collector_compliance(
         )
         .select(*columns)
     )
-    below = (F.col("row_ord") == 0) & zero_false(F.col("pct_week") < F.lit(threshold))
+    # Without a target there is no percentage and nothing to flag.
+    below = (F.col("row_ord") == 0) & F.coalesce(F.col("pct_week") < threshold, F.lit(False))
     return detail.unionByName(total).withColumns(
         {
             "pct_week_text": pct_text(F.col("pct_week")),
@@ -132,10 +133,6 @@ def collector_compliance(
     )
 
 
-def zero_false(col):
-    return F.coalesce(col, F.lit(False))
-
-
 def weekly_enrolment(enrolment: DataFrame, targets: DataFrame, cutoff: dt.date) -> DataFrame:
     """Distinct patients per collector and Monday week, only weeks that have any.
 

@@ -62,13 +62,8 @@ def indicator_table(
     A single global aggregate turns the two rows into one and unfolds it again.
     """
 
-    def text(name: str) -> Column:
-        if cast == "string" and per_snapshot.schema[name].dataType.typeName().startswith("timestamp"):
-            return F.date_format(name, "yyyy-MM-dd HH:mm:ss")
-        return F.col(name).cast(cast)
-
     def of(snapshot: str, name: str) -> Column:
-        return F.max(F.when(F.col("snapshot") == snapshot, text(name)))
+        return F.max(F.when(F.col("snapshot") == snapshot, F.col(name).cast(cast)))
 
     rows = [
         F.struct(
@@ -80,12 +75,16 @@ def indicator_table(
 
 
 def numeric_profile(
-    tagged: DataFrame, value: str = "age_months", limit: float = AGE_MONTHS_MAX
+    tagged: DataFrame,
+    value: str = "age_months",
+    limit: float = AGE_MONTHS_MAX,
+    widths: Sequence[float] = (1.0, 2.0**-20),
 ) -> DataFrame:
     """Min, exact median, mean, max, missing values and values above a limit per snapshot.
 
     The rows are first counted by value, which bounds everything that follows by the
-    number of distinct values. The median then narrows down from whole units to values.
+    number of distinct values. The median then narrows down from whole units to a
+    millionth of one to single values.
     """
     missing = F.col(value).isNull()
     hist = tagged.groupBy(
@@ -102,7 +101,7 @@ def numeric_profile(
         F.sum(F.when(F.col("missing"), n).otherwise(0)).alias("n_null"),
         F.sum(F.when(v > F.lit(limit), n).otherwise(0)).alias("n_above_limit"),
     )
-    median = weighted_median(hist.withColumn("n", known), "snapshot", "v", "n", [1.0])
+    median = weighted_median(hist.withColumn("n", known), "snapshot", "v", "n", widths)
     return stats.join(median, "snapshot", "left").select(
         "snapshot", "min", "median", "mean", "max", "n_null", "n_above_limit"
     )

@@ -14,7 +14,7 @@ def weighted_median(
     """Exact median per group of a counted set of values, averaging the middle two.
 
     ``hist`` has one row per group and value with its count; group and value must not
-    be NULL and a count of 0 leaves a row out. The built-in exact median keeps every
+    be NULL and a count of 0 leaves a row out. Groups are few: here, the snapshots. The built-in exact median keeps every
     distinct value of a group in one buffer. Here each round sums the counts by buckets
     of a given width, finds by a running sum the at most two buckets that hold the
     middle ranks, and only their rows go on to the next, finer round; the last round

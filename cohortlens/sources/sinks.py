@@ -22,11 +22,18 @@ def write_table(
     path: str,
     fmt: str = "parquet",
     order_by: Sequence[str] = (),
+    headers: Mapping[str, str] | None = None,
     mode: str = "overwrite",
 ) -> None:
-    """Write one result. ``order_by`` makes Spark range-partition, so files are in order."""
+    """Write one result.
+
+    ``order_by`` makes Spark range-partition, so files are in order. ``headers`` gives
+    columns the names shown to readers.
+    """
     if order_by:
         df = df.orderBy(*[order_column(name) for name in order_by])
+    if headers:
+        df = df.withColumnsRenamed(dict(headers))
     writer = df.write.mode(mode).format(fmt)
     if fmt == "csv":
         writer = writer.option("header", "true")
@@ -38,12 +45,13 @@ def write_report(
     root: str,
     fmt: str = "parquet",
     order_by: Mapping[str, Sequence[str]] | None = None,
+    headers: Mapping[str, str] | None = None,
 ) -> dict[str, str]:
     """Write every table of a report below ``root`` and return the paths."""
     orders = order_by or {}
     paths = {name: f"{root.rstrip('/')}/{name}" for name in tables}
     for name, df in tables.items():
-        write_table(df, paths[name], fmt, orders.get(name, ()))
+        write_table(df, paths[name], fmt, orders.get(name, ()), headers)
     return paths
 
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 import __spark_entry__ as entry_point
 from cohortlens.fixtures import views
-from cohortlens.operators import distribution, integrity, profile, reconcile
+from cohortlens.operators import compare, distribution, integrity, profile, reconcile
 from tests.helpers import plan_of
 
 SF = "/root/testdata/sf0.001"
@@ -56,6 +56,11 @@ def test_medians_count_the_rows_once(tagged, operator):
     assert scans(plan_of(operator(tagged))) == 1
 
 
+def test_shares_reuse_the_counts(tagged):
+    plan = plan_of(compare.category_diff_share(tagged, "sex"))
+    assert scans(plan) == 1 and "Subquery" in plan and "Join" not in plan
+
+
 def test_totals_reuse_the_aggregate(sample):
     for table in (
         distribution.site_distribution(sample),

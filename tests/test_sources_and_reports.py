@@ -79,7 +79,9 @@ def test_inline_dimensions(spark):
 
 def test_sink_orders(spark, tmp_path):
     path = str(tmp_path / "out")
-    sinks.write_table(spark.createDataFrame([(1,), (None,), (2,)], "x int"), path, order_by=["-x"])
+    rows = spark.createDataFrame([(1,), (None,), (2,)], "x int")
+    sinks.write_table(rows, path, order_by=["-x"], headers={"x": "Valor"})
+    assert spark.read.parquet(path).columns == ["Valor"]
     files = sorted(str(f) for f in (tmp_path / "out").glob("part-*"))
     assert [r[0] for f in files for r in spark.read.parquet(f).collect()] == [2, 1, None]
 
