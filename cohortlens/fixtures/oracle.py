@@ -76,8 +76,8 @@ both_keys AS (
 )"""
 
 _SAMPLE = """
-sample AS (
-  SELECT r_name AS site,
+landed AS (
+  SELECT o_orderkey % 5 = 0 AS twice, r_name AS site,
          CAST(o_custkey AS VARCHAR) AS patient_id,
          CASE WHEN o_custkey % 23 = 0 OR r_name = 'ASIA' THEN NULL
               ELSE CAST(1 + o_custkey % 400 + CASE WHEN o_orderkey % 50 = 0 THEN 400 ELSE 0 END
@@ -95,8 +95,11 @@ sample AS (
   JOIN customer ON o_custkey = c_custkey
   JOIN nation ON c_nationkey = n_nationkey
   JOIN region ON n_regionkey = r_regionkey
-  CROSS JOIN (VALUES (0), (1)) AS copies(copy)
-  WHERE copy = 0 OR o_orderkey % 5 = 0
+),
+sample AS (
+  SELECT * EXCLUDE (twice) FROM landed
+  UNION ALL
+  SELECT * EXCLUDE (twice) FROM landed WHERE twice
 ),
 events_u AS (SELECT DISTINCT * FROM sample)"""
 
@@ -404,6 +407,11 @@ SELECT snapshot, {_big("sum(n)")} AS n_rows, count(*) AS unique_keys,
        count(*) FILTER (n > 1) AS duplicated_keys,
        {_big("sum(n) FILTER (n > 1)")} AS rows_in_duplicates, max(n) AS max_repeats
 FROM k GROUP BY snapshot""", _KEYS),
+    "duplicated_keys": _episode("""
+SELECT person_type, person_id, admit_ts, 'old' AS snapshot, n AS n_times FROM old_keys WHERE n > 1
+UNION ALL
+SELECT person_type, person_id, admit_ts, 'new' AS snapshot, n AS n_times FROM new_keys WHERE n > 1""",
+        _KEYS),
     "duplicate_detail": _episode(f""", k AS (
   SELECT 'old' AS snapshot, * FROM old_keys UNION ALL SELECT 'new', * FROM new_keys
 ), r AS (

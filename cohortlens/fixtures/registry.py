@@ -97,6 +97,7 @@ QUERIES: dict[str, Query] = {
     "codelist_common": _on_coverage(compare.codelist_common),
     # Duplicates and reconciliation
     "duplicate_profile": _on_keys(reconcile.duplicate_profile),
+    "duplicated_keys": _on_keys(reconcile.duplicated_keys),
     "duplicate_detail": _on_keys(reconcile.duplicate_detail),
     "snapshot_reconcile": _on_keys(_as_double("value", reconcile.snapshot_reconcile)),
     "common_persons": _on_tagged(reconcile.common_persons, persons=True),

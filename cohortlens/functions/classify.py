@@ -17,11 +17,8 @@ from .dates import MICROS_PER_DAY
 
 def right_closed_bin(value: Column, uppers: list[float | None]) -> Column:
     """1-based number of the first bin whose upper bound is not exceeded; NULL stays NULL."""
-    out = F
-    for i, upper in enumerate(uppers, start=1):
-        test = value.isNotNull() if upper is None else value <= F.lit(upper)
-        out = out.when(test, F.lit(i))
-    return out
+    tests = [value.isNotNull() if u is None else value <= F.lit(u) for u in uppers]
+    return F.coalesce(*[F.when(test, F.lit(i)) for i, test in enumerate(tests, start=1)])
 
 
 def label_of(ordinal: Column, labels: list[str]) -> Column:

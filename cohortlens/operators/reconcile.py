@@ -61,6 +61,12 @@ def duplicate_profile(key_counts: DataFrame) -> DataFrame:
     )
 
 
+def duplicated_keys(key_counts: DataFrame) -> DataFrame:
+    """Every key a snapshot repeats, with how often."""
+    repeated = per_snapshot(key_counts).withColumnRenamed("n", "n_times")
+    return repeated.filter(F.col("n_times") > 1)
+
+
 def duplicate_detail(key_counts: DataFrame, k: int = TOP_DUPLICATES) -> DataFrame:
     """The k most repeated keys of each snapshot; ties go by key with NULL last.
 
@@ -69,12 +75,8 @@ def duplicate_detail(key_counts: DataFrame, k: int = TOP_DUPLICATES) -> DataFram
     """
     keys = [c for c in key_counts.columns if c not in ("n_old", "n_new")]
     order = [F.desc("n_times"), *[F.asc_nulls_last(c) for c in keys]]
-    ranked = (
-        per_snapshot(key_counts)
-        .withColumnRenamed("n", "n_times")
-        .filter(F.col("n_times") > 1)
-        .withColumn("rank", F.row_number().over(Window.partitionBy("snapshot").orderBy(*order)))
-    )
+    rank = F.row_number().over(Window.partitionBy("snapshot").orderBy(*order))
+    ranked = duplicated_keys(key_counts).withColumn("rank", rank)
     return ranked.filter(F.col("rank") <= k).select("snapshot", "rank", *keys, "n_times")
 
 
