@@ -159,16 +159,16 @@ def tagged(spark: SparkSession, sf_dir: str, persons: bool = False) -> DataFrame
 
 
 def _sample_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Orders with their region. Regions meet customers first, so a site filter reaches
-    the customers before the orders are shuffled."""
-    places = (
-        table(spark, sf_dir, "customer")
-        .join(table(spark, sf_dir, "nation"), F.col("c_nationkey") == F.col("n_nationkey"))
-        .join(table(spark, sf_dir, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
-        .select("c_custkey", "r_name")
+    """Orders with their region. Regions meet nations, then customers, then orders, so a
+    site filter reaches the customers before the orders are shuffled."""
+    nations = table(spark, sf_dir, "nation").join(
+        table(spark, sf_dir, "region"), F.col("n_regionkey") == F.col("r_regionkey")
+    )
+    customers = table(spark, sf_dir, "customer").join(
+        nations, F.col("c_nationkey") == F.col("n_nationkey")
     )
     orders = table(spark, sf_dir, "orders")
-    return orders.join(places, F.col("o_custkey") == F.col("c_custkey")).select(
+    return orders.join(customers, F.col("o_custkey") == F.col("c_custkey")).select(
         "r_name", "o_orderkey", "o_custkey", "o_orderdate"
     )
 

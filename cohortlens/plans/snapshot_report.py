@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame
 
@@ -27,12 +27,18 @@ ORDER = {
 
 
 def snapshot_tables(
-    tagged: DataFrame, key_counts: DataFrame | None = None, codes: Sequence[str] = STUDY_CODES
+    tagged: DataFrame,
+    codes: Sequence[str] = STUDY_CODES,
+    keep: Callable[[DataFrame, str], DataFrame] = lambda df, name: df,
 ) -> dict[str, DataFrame]:
-    """All tables of the report. ``key_counts`` may be passed in when already stored."""
-    keys = reconcile.event_key_counts(tagged) if key_counts is None else key_counts
-    quality = profile.snapshot_quality(tagged)
-    coverage = compare.codelist_coverage(tagged, codes)
+    """All tables of the report.
+
+    ``keep`` may store the three frames that several tables start from; by default they
+    stay lazy and each table computes its own.
+    """
+    keys = keep(reconcile.event_key_counts(tagged), "event-keys")
+    quality = keep(profile.snapshot_quality(tagged), "quality")
+    coverage = keep(compare.codelist_coverage(tagged, codes), "code-coverage")
     return {
         "overview": profile.indicator_table(quality, profile.OVERVIEW_METRICS, "string"),
         "duplicates": reconcile.duplicate_profile(keys),
@@ -55,7 +61,6 @@ def snapshot_tables(
 def write_snapshot_report(
     tagged: DataFrame, root: str, fmt: str = "parquet", codes: Sequence[str] = STUDY_CODES
 ) -> dict[str, str]:
-    """Write the report. The harmonised rows and the key counts are each computed once."""
+    """Write the report. The harmonised rows and what several tables share is computed once."""
     rows = staged(tagged, "snapshots", ["snapshot"])
-    keys = staged(reconcile.event_key_counts(rows), "event-keys")
-    return write_report(snapshot_tables(rows, keys, codes), root, fmt, ORDER)
+    return write_report(snapshot_tables(rows, codes, staged), root, fmt, ORDER)

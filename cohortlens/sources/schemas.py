@@ -48,7 +48,7 @@ SITE_SAMPLE_SCHEMA = T.StructType(
     ]
 )
 
-# Source column names of the two extracts: canonical name -> name in the file.
+# Source column names of the two extracts, canonical name -> name in the file.
 OLD_EXTRACT = {
     "complexity": "COMPLEJIDAD",
     "admission_id": "INGRESO",
@@ -66,8 +66,8 @@ NEW_EXTRACT = {
     "age_months": "EDAD_MESES",
 }
 
-# Source column names of a site sample: canonical name -> candidates, first match wins.
-# An empty match is only allowed for the optional columns.
+# Source column names of a site sample, canonical name -> candidates, of
+# which the first match wins. Only the optional columns may have none.
 SAMPLE_COLUMNS = {
     "patient_id": ("id", "ingreso"),
     "slot_no": ("id_kobo",),

@@ -97,7 +97,7 @@ def test_staged_table_uses_the_shared_folder(spark):
 def test_snapshot_report(spark, tmp_path):
     tagged = views.tagged(spark, SF, persons=True)
     paths = snapshot_report.write_snapshot_report(tagged, str(tmp_path), codes=views.CODES)
-    tables = snapshot_report.snapshot_tables(tagged, codes=views.CODES)
+    tables = snapshot_report.snapshot_tables(tagged, views.CODES)
     assert set(paths) == set(tables) and set(snapshot_report.ORDER) <= set(tables)
     for name in ("crossing", "stays", "age", "sex", "overview", "discharge", "duplicates_detail"):
         assert rows_of(spark.read.parquet(paths[name])) == rows_of(tables[name])
