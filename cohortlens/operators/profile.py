@@ -15,6 +15,11 @@ from .quantiles import weighted_median
 
 OLD, NEW = "old", "new"
 
+OVERVIEW_METRICS = ["n_rows", "min_admit", "max_admit", "null_discharge"]
+DISCHARGE_METRICS = ["null_discharge", "min_discharge", "max_discharge", "discharge_before_admit"]
+NUMERIC_METRICS = ["min", "median", "mean", "max", "n_null", "n_above_limit"]
+COUNT_METRICS = {"n_rows", "null_discharge", "discharge_before_admit", "n_null", "n_above_limit"}
+
 
 def overview_stats() -> dict[str, Column]:
     return {
@@ -59,11 +64,13 @@ def indicator_table(
 ) -> DataFrame:
     """One row per indicator and one column per snapshot, from one row per snapshot.
 
-    A single global aggregate turns the two rows into one and unfolds it again.
+    A single global aggregate turns the two rows into one and unfolds it again. A
+    snapshot without rows counts 0 and has no other values.
     """
 
     def of(snapshot: str, name: str) -> Column:
-        return F.max(F.when(F.col("snapshot") == snapshot, F.col(name).cast(cast)))
+        value = F.max(F.when(F.col("snapshot") == snapshot, F.col(name).cast(cast)))
+        return F.coalesce(value, F.lit(0).cast(cast)) if name in COUNT_METRICS else value
 
     rows = [
         F.struct(
@@ -107,11 +114,6 @@ def numeric_profile(
     )
 
 
-NUMERIC_METRICS = ["min", "median", "mean", "max", "n_null", "n_above_limit"]
-OVERVIEW_METRICS = ["n_rows", "min_admit", "max_admit", "null_discharge"]
-DISCHARGE_METRICS = ["null_discharge", "min_discharge", "max_discharge", "discharge_before_admit"]
-
-
 def stay_stats(tagged: DataFrame) -> DataFrame:
     """Min, exact median and max stay in days, zero and negative stays per snapshot.
 

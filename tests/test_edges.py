@@ -24,7 +24,14 @@ def test_empty_snapshots(spark):
     assert {r["n_old"] + r["n_new"] for r in compare.dense_histogram_diff(df).collect()} == {0}
     assert {r["status"] for r in compare.codelist_coverage(df).collect()} == {"Ausente en ambas"}
     indicators = profile.indicator_table(profile.numeric_profile(df), profile.NUMERIC_METRICS)
-    assert [tuple(r)[1:] for r in indicators.collect()] == [(None, None)] * 6
+    assert [tuple(r)[1:] for r in indicators.collect()] == [(None, None)] * 4 + [(0.0, 0.0)] * 2
+    overview = profile.indicator_table(
+        profile.snapshot_overview(admissions(spark, [{}])), profile.OVERVIEW_METRICS, "string"
+    )
+    assert [tuple(r) for r in overview.collect()] == [
+        ("n_rows", "1", "0"), ("min_admit", None, None), ("max_admit", None, None),
+        ("null_discharge", "1", "0"),
+    ]
 
 
 def test_empty_samples(spark):
