@@ -62,15 +62,15 @@ _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghi
 ORACLE = {
     "op1_exact_topk": """
         WITH v AS (
-          SELECT vec_id, list_transform(embedding, x -> floor(256 * x::DOUBLE)) AS e FROM embeddings
-          WHERE embedding IS NOT NULL AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0
+          SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS e FROM embeddings
+          WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
         ), scored AS (
           SELECT q.vec_id AS query_id, c.vec_id, list_dot_product(q.e, c.e)::BIGINT AS score
           FROM v q JOIN v c ON q.vec_id % 50 = 0 AND q.vec_id <> c.vec_id
         )
         SELECT query_id, (row_number() OVER w)::INTEGER AS rank, vec_id, score FROM scored
-        QUALIFY row_number() OVER w <= 5
         WINDOW w AS (PARTITION BY query_id ORDER BY score DESC, vec_id)
+        QUALIFY row_number() OVER w <= 5
     """,
     "op6_decontaminate": rf"""
         WITH d AS (
@@ -80,7 +80,7 @@ ORACLE = {
           WHERE item_id IS NOT NULL
         ), windows AS (
           SELECT DISTINCT item_id, unnest(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 10 THEN [w]
-            ELSE list_transform(range(1, len(w) - 8), i -> w[i:i + 9]) END) AS x FROM b
+            ELSE list_transform(range(1, len(w) - 8), lambda i: w[i:i + 9]) END) AS x FROM b
         ), sizes AS (
           SELECT DISTINCT len(x) AS n FROM windows
         ), places AS (
@@ -129,13 +129,13 @@ ORACLE = {
           SELECT doc_id, regexp_extract_all({_LOWER}, '[^\x20\x09-\x0D]+') AS w FROM documents
         ), shingles AS (
           SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 3 THEN [array_to_string(w, ' ')]
-            ELSE list_transform(range(1, len(w) - 1), i -> w[i] || ' ' || w[i + 1] || ' ' || w[i + 2]) END) AS x FROM d
+            ELSE list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2]) END) AS x FROM d
         ), sizes AS (
           SELECT doc_id, count(*) AS n FROM shingles GROUP BY doc_id
-        ), both AS (
+        ), common AS (
           SELECT a.doc_id AS u, b.doc_id AS v, count(*) AS n FROM shingles a JOIN shingles b USING (x) WHERE a.doc_id <> b.doc_id GROUP BY 1, 2
         ), links AS (
-          SELECT u, v FROM both JOIN sizes a ON a.doc_id = u JOIN sizes b ON b.doc_id = v WHERE 100 * both.n >= 85 * (a.n + b.n - both.n)
+          SELECT u, v FROM common JOIN sizes a ON a.doc_id = u JOIN sizes b ON b.doc_id = v WHERE 100 * common.n >= 85 * (a.n + b.n - common.n)
         ), reach AS (
           SELECT doc_id AS u, doc_id AS v FROM d UNION SELECT r.u, l.v FROM reach r JOIN links l ON r.v = l.u
         ), least AS (
