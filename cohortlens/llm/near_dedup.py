@@ -31,6 +31,8 @@ MARGIN = 0.2
 #: Rounds of one centre against its bucket before the rest is compared in blocks.
 STAR_ROUNDS = 1
 QUERY_BLOCK, MEMBER_BLOCK = 256, 1024
+#: Ids of documents or buckets up to which a list of them is broadcast (16 MB of numbers).
+BROADCAST_IDS = 2_000_000
 
 _FACTORS, _ADDENDS = random_numbers(HASHES, 11) | np.uint64(1), random_numbers(HASHES, 12)
 
@@ -137,65 +139,122 @@ def similar_signatures(pairs: DataFrame, share: float) -> DataFrame:
     return pairs.mapInArrow(of, "u long, v long")
 
 
+def similar(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
+    if 100 * min(len(a), len(b)) < percent * max(len(a), len(b)):
+        return False
+    both = len(np.intersect1d(a, b, assume_unique=True))
+    return 100 * both >= percent * (len(a) + len(b) - both)
+
+
 def similar_sets(pairs: DataFrame, percent: int) -> DataFrame:
     """The pairs ``u, v`` with 100 * intersection >= percent * union of ``fu, fv``."""
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keep = []
-            for x, y in zip(batch.column("fu"), batch.column("fv")):
-                a, b = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
-                both = len(a) + len(b) - len(np.union1d(a, b))
-                keep.append(100 * both >= percent * (len(a) + len(b) - both))
+            keep = [
+                similar(np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64), percent)
+                for x, y in zip(batch.column("fu"), batch.column("fv"))
+            ]
             yield batch.select(["u", "v"]).filter(pa.array(keep, pa.bool_()))
 
     return pairs.mapInArrow(of, "u long, v long")
 
 
-def block_pairs(units: DataFrame, share: float) -> DataFrame:
-    """Pairs of a query and a member of a unit in other components, by signature.
+UNIT = "key long, qb long, mb long, query boolean, rep long, comp long, band int, sig binary"
+
+
+def _units(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """The rows of each unit (``key, qb, mb``) of a stream that is sorted by them."""
+    held: list[pa.RecordBatch] = []
+    name = None
+    for batch in batches:
+        names = list(zip(*(batch.column(c).to_pylist() for c in ("key", "qb", "mb"))))
+        cuts = [0, *(i for i in range(1, len(names)) if names[i] != names[i - 1]), len(names)]
+        for a, b in zip(cuts, cuts[1:]):
+            if a == b:
+                continue
+            if held and names[a] != name:
+                yield pa.Table.from_batches(held)
+                held = []
+            name = names[a]
+            held.append(batch.slice(a, b - a))
+    if held:
+        yield pa.Table.from_batches(held)
+
 
-    ``units`` is dealt out and sorted by ``key, qb, mb, query``. A pair that shares an
-    earlier band is left to that band's bucket.
+def _likely(unit: pa.Table, share: float) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """Of each query of a unit: its row, the rows likely similar to it, and their shares.
+
+    A pair of one component is left out, and one that shares an earlier band is left to
+    that band's bucket.
     """
+    comps, query = unit.column("comp").to_numpy(), unit.column("query").to_numpy()
+    sig = np.array([np.frombuffer(x, np.uint32) for x in unit.column("sig").to_pylist()])
+    band = unit.column("band")[0].as_py()
+    members = np.flatnonzero(~query)
+    for i in np.flatnonzero(query):
+        other = members[comps[members] != comps[i]]
+        same = sig[other] == sig[i]
+        shares = same.mean(axis=1)
+        keep = shares >= share
+        if band:
+            keep &= ~same[:, : band * ROWS].reshape(len(other), band, ROWS).all(axis=2).any(axis=1)
+        if keep.any():
+            yield i, other[keep], shares[keep]
+
+
+def taking_part(units: DataFrame, share: float) -> DataFrame:
+    """The rows of each unit that are in some likely pair."""
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[pa.RecordBatch] = []
-        name = None
-
-        def pairs() -> pa.RecordBatch:
-            t = pa.Table.from_batches(held)
-            ids, comps, band, query = (t.column(c).to_numpy() for c in ("rep", "comp", "band", "query"))
-            sig = np.array([np.frombuffer(x, np.uint32) for x in t.column("sig").to_pylist()])
-            q, m = np.flatnonzero(query), np.flatnonzero(~query)
-            us, vs = [], []
-            for i in q:
-                same = sig[m] == sig[i]
-                keep = (same.mean(axis=1) >= share) & (comps[m] != comps[i])
-                early = same[:, : band[0] * ROWS].reshape(len(m), -1, ROWS).all(axis=2).any(axis=1)
-                hits = ids[m][keep & ~early] if band[0] else ids[m][keep]
-                us.append(np.maximum(hits, ids[i]))
-                vs.append(np.minimum(hits, ids[i]))
-            cat = lambda x: pa.array(np.concatenate(x) if x else [], pa.int64())
-            return pa.record_batch([cat(us), cat(vs)], ["u", "v"])
+        for unit in _units(batches):
+            met = np.zeros(unit.num_rows, bool)
+            for i, rows, _ in _likely(unit, share):
+                met[i] = met[rows] = True
+            yield from unit.filter(pa.array(met)).to_batches()
 
-        for batch in batches:
-            names = list(zip(*(batch.column(c).to_pylist() for c in ("key", "qb", "mb"))))
-            cuts = [0, *(i for i in range(1, len(names)) if names[i] != names[i - 1]), len(names)]
-            for a, b in zip(cuts, cuts[1:]):
-                if a == b:
-                    continue
-                if held and names[a] != name:
-                    yield pairs()
-                    held = []
-                name = names[a]
-                held.append(batch.slice(a, b - a))
-        if held:
-            yield pairs()
+    return units.select(*[c.split()[0] for c in UNIT.split(", ")]).mapInArrow(of, UNIT)
+
+
+def unit_links(units: DataFrame, share: float, percent: int) -> DataFrame:
+    """Pairs ``u, v`` that link the components of a unit; rows have their sets as ``full``.
+
+    The likeliest pairs are checked first, on full sets; a pair whose components are linked
+    by then needs no check, so a unit gives fewer pairs than it has rows.
+    """
+
+    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for unit in _units(batches):
+            ids, comps = unit.column("rep").to_numpy(), unit.column("comp").to_numpy()
+            full = [np.frombuffer(x, np.uint64) for x in unit.column("full").to_pylist()]
+            above = {int(c): int(c) for c in comps}
+
+            def root(c: int) -> int:
+                while above[c] != c:
+                    above[c] = above[above[c]]
+                    c = above[c]
+                return c
+
+            likely = [(-s, i, j) for i, rows, shares in _likely(unit, share) for j, s in zip(rows, shares)]
+            pairs = []
+            for _, i, j in sorted(likely):
+                a, b = root(int(comps[i])), root(int(comps[j]))
+                if a != b and similar(full[i], full[j], percent):
+                    above[max(a, b)] = min(a, b)
+                    pairs.append((max(ids[i], ids[j]), min(ids[i], ids[j])))
+            yield pa.record_batch([pa.array([x[k] for x in pairs], pa.int64()) for k in (0, 1)], ["u", "v"])
 
     return units.mapInArrow(of, "u long, v long")
 
 
+def among(rows: DataFrame, ids: DataFrame, column: str) -> DataFrame:
+    """``rows`` whose ``column`` is in the staged ``ids``; those are broadcast up to a size."""
+    ids = ids.select(column).distinct()
+    if ids.count() <= BROADCAST_IDS:
+        ids = F.broadcast(ids)
+    return rows.join(ids, column, "left_semi")
+
+
 def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
     """``doc_id, n_shingles, component_id, kept``: a row for each row of ``docs``.
 
@@ -211,8 +270,10 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
        alternating large-star and small-star. Buckets that still span several components
        take another round, with a centre from the rest.
     4. Whatever then spans several components is compared in blocks, every member outside
-       the bucket's main component against every member of another one, so no link between
-       two components is missed and a group of copies costs no pair for each two members.
+       the bucket's main component against every member of another one: first by signature,
+       then, for the members that are left, on full sets, the likeliest pairs first and only
+       until their components are linked. So no link between two components is missed, and
+       no step writes a row for each two members of a group.
 
     Null doc_id: component null, kept, linked with nothing. Null or empty text, or no word:
     n_shingles 0, a component of its own. Rows that repeat a doc_id are one node: the links
@@ -237,22 +298,30 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
         "buckets",
     )
     large = buckets.filter("n_members > 2").select("key", "n_members")
-    members = staged(bands.join(large, "key"), "members")
-    degrees = members.groupBy("rep").agg(F.sum(F.col("n_members") - 1).alias("degree"))
+    members = staged(among(bands, large, "key"), "members").join(large, "key")
+    members = staged(members, "members")
+    degrees = staged(members.groupBy("rep").agg(F.sum(F.col("n_members") - 1).alias("degree")), "degrees")
     members = staged(members.join(degrees, "rep"), "members")
 
     def by_signature(pairs: DataFrame) -> DataFrame:
-        two = pairs.filter("u != v").distinct()
-        two = two.join(sigs.toDF("u", "su", "nu"), "u").join(sigs.toDF("v", "sv", "nv"), "v")
+        two = staged(pairs.filter("u != v").distinct(), "pairs")
+        own = staged(among(sigs, both_ends(two), "rep"), "sigs")
+        two = two.join(own.toDF("u", "su", "nu"), "u").join(own.toDF("v", "sv", "nv"), "v")
         two = two.filter(f"100 * least(nu, nv) >= {percent} * greatest(nu, nv)")
         return similar_signatures(two.select("u", "v", "su", "sv"), share)
 
+    def both_ends(pairs: DataFrame) -> DataFrame:
+        return pairs.select(F.col("u").alias("rep")).union(pairs.select("v"))
+
+    def sets_of(reps: DataFrame) -> DataFrame:
+        """Full sets of these documents only."""
+        texts = among(docs.withColumnRenamed("doc_id", "rep"), reps, "rep")
+        return staged(full_sets(texts.withColumnRenamed("rep", "doc_id"), size), "sets")
+
     def confirmed(pairs: DataFrame) -> DataFrame:
-        """The pairs whose full sets are similar; sets are made of these documents only."""
+        """The pairs whose full sets are similar."""
         pairs = staged(pairs.distinct(), "pairs")
-        wanted = pairs.select("u").union(pairs.select("v")).distinct().withColumnRenamed("u", "rep")
-        texts = docs.withColumnRenamed("doc_id", "rep").join(wanted, "rep", "left_semi")
-        sets = staged(full_sets(texts.withColumnRenamed("rep", "doc_id"), size), "sets")
+        sets = sets_of(both_ends(pairs))
         two = pairs.join(sets.toDF("u", "fu"), "u").join(sets.toDF("v", "fv"), "v")
         return staged(similar_sets(two.select("u", "v", "fu", "fv"), percent), "links")
 
@@ -298,7 +367,8 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
                 F.ceil(F.count("*") / MEMBER_BLOCK).alias("n_mb"),
                 F.ceil(F.expr("count_if(comp != main)") / QUERY_BLOCK).alias("n_qb"),
             )
-            rest = rest.join(counts, "key").join(sigs.select("rep", "sig"), "rep")
+            own = staged(among(sigs.select("rep", "sig"), rest, "rep"), "sigs")
+            rest = rest.join(counts, "key").join(own, "rep")
             block = F.xxhash64("rep")
             asked = rest.filter("comp != main").select(
                 "key", F.pmod(block, "n_qb").alias("qb"), F.explode(F.expr("sequence(0L, n_mb - 1)")).alias("mb"),
@@ -308,9 +378,12 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
                 "key", F.explode(F.expr("sequence(0L, n_qb - 1)")).alias("qb"), F.pmod(block, "n_mb").alias("mb"),
                 F.lit(False).alias("query"), "rep", "comp", "band", "sig",
             )
-            units = asked.unionByName(against).repartition("key", "qb", "mb").sortWithinPartitions("key", "qb", "mb")
-            pairs = block_pairs(units, share)
-        more = confirmed(pairs)
+            dealt = lambda d: d.repartition("key", "qb", "mb").sortWithinPartitions("key", "qb", "mb")
+            part = staged(taking_part(dealt(asked.unionByName(against)), share), "part")
+            sets = sets_of(part.select("rep")).toDF("rep", "full")
+            more = staged(unit_links(dealt(part.join(sets, "rep")), share, percent), "links")
+        if step < STAR_ROUNDS:
+            more = confirmed(pairs)
         if not more.isEmpty():
             links = links.unionByName(more)
             found = components(found.toDF("u", "v").unionByName(more))
