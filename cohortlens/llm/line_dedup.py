@@ -12,17 +12,19 @@ from cohortlens.llm.stage import staged
 
 #: Words from which a repeated run of lines is deleted.
 LEAST_WORDS = 50
+#: Texts with deleted runs up to which their list is broadcast, so that no text is shuffled.
+BROADCAST_TEXTS = 250_000
 
 
 def line_table(docs: DataFrame) -> DataFrame:
     """``doc_id, th, idx, h1, h2, w`` of every line that has a word; th tells texts apart."""
-    text = F.col("text")
-    lines = docs.filter(text.isNotNull()).select("doc_id", F.xxhash64("text").alias("th"), F.posexplode(F.split(text, "\n")).alias("idx", "line"))
-    lines = lines.filter(F.col("line").rlike("\\S"))
+    lines = docs.filter(F.col("text").isNotNull()).select(
+        "doc_id", F.xxhash64("text").alias("th"), F.posexplode(F.split("text", "\n")).alias("idx", "line")
+    )
     return lines.select(
         "doc_id", "th", "idx", F.xxhash64("line").alias("h1"), F.xxhash64(F.lit(1), "line").alias("h2"),
-        F.size(F.split(F.regexp_replace("line", "^\\s+|\\s+$", ""), "\\s+")).alias("w"),
-    )
+        F.regexp_count("line", F.lit(r"\S+")).alias("w"),
+    ).filter("w > 0")
 
 
 def sequence_table(lines: DataFrame, least: int) -> DataFrame:
@@ -130,6 +132,8 @@ def line_dedup(docs: DataFrame, least: int = LEAST_WORDS) -> DataFrame:
     gone = staged(maximal_runs(later_copies(seq, least)), "removed").select(
         F.col("doc_id").alias("_id"), F.col("th").alias("_th"), F.col("removed").alias("_gone")
     )
+    if gone.count() <= BROADCAST_TEXTS:
+        gone = F.broadcast(gone)
     kept = [c for c in docs.columns if c not in ("n_lines", "n_removed", "removed")]
     rows = docs.select(*kept, F.xxhash64("text").alias("_text_hash"))
     joined = rows.join(gone, rows["doc_id"].eqNullSafe(gone["_id"]) & (rows["_text_hash"] == gone["_th"]), "left")
