@@ -1,8 +1,7 @@
 """Fixed values. They are data, not logic: results depend on their exact text."""
 
-# Study codes (ICD-10), natural order.
+# Study codes (ICD-10), in the order of the study's list.
 STUDY_CODES = (
-    "J09X",
     "J100", "J101", "J108",
     "J110", "J111", "J118",
     "J120", "J121", "J122", "J123", "J128", "J129",
@@ -10,7 +9,7 @@ STUDY_CODES = (
     "J150", "J151", "J152", "J153", "J154", "J155", "J156", "J157", "J158", "J159",
     "J160", "J168",
     "J170", "J171", "J172", "J173", "J178",
-    "J180", "J181", "J182", "J188", "J189",
+    "J180", "J181", "J182", "J188", "J189", "J09X",
     "J200", "J201", "J202", "J203", "J204", "J205", "J206", "J207", "J208", "J209",
     "J210", "J211", "J218", "J219",
     "J22X",

@@ -8,8 +8,10 @@ from __future__ import annotations
 
 _EPISODE = """
 episode AS (
-  SELECT l_orderkey, p_type,
-         o_orderpriority AS complexity,
+  SELECT l_orderkey, p_type, o_orderpriority AS priority,
+         CASE WHEN NOT (p_type = 'ECONOMY' AND o_orderpriority = '5-LOW'
+                        OR p_type = 'SMALL' AND o_orderpriority = '1-URGENT')
+              THEN o_orderpriority END AS complexity,
          CAST(l_orderkey * 10 + l_linenumber AS VARCHAR) AS admission_id,
          CASE WHEN l_orderkey % 31 <> 0 THEN upper(trim(c_mktsegment)) END AS person_type,
          CAST(o_custkey AS VARCHAR) AS person_id,
@@ -28,10 +30,13 @@ episode AS (
 ),
 tagged AS (
   SELECT 'old' AS snapshot, * FROM episode
-  WHERE l_orderkey % 10 <> 0 AND complexity <> '5-LOW' AND p_type <> 'SMALL'
+  WHERE p_type = 'ECONOMY'
+     OR p_type <> 'SMALL' AND (priority = '1-URGENT' OR priority <> '5-LOW' AND l_orderkey % 10 <> 0)
   UNION ALL
   SELECT 'new' AS snapshot, * FROM episode
-  WHERE l_orderkey % 7 <> 0 AND complexity <> '1-URGENT' AND p_type <> 'ECONOMY'
+  WHERE p_type = 'SMALL'
+     OR p_type <> 'ECONOMY' AND (priority = '5-LOW' OR priority <> '1-URGENT'
+                                 AND (l_orderkey % 7 <> 0 OR l_orderkey % 10 = 0))
 ),
 stays AS (
   SELECT *, date_diff('microsecond', admit_ts, discharge_ts) AS stay_us,
@@ -425,24 +430,24 @@ SELECT snapshot, CAST(rank AS INTEGER) AS rank, person_type, person_id, admit_ts
     "snapshot_reconcile": _episode("""
 , po AS (SELECT DISTINCT person_type, person_id FROM tagged WHERE snapshot = 'old')
 , pw AS (SELECT DISTINCT person_type, person_id FROM tagged WHERE snapshot = 'new')
-SELECT 'common_persons' AS metric, CAST(count(*) AS DOUBLE) AS value
+SELECT 'common_persons' AS metric, CAST(count(*) AS BIGINT) AS value
 FROM po JOIN pw ON po.person_type IS NOT DISTINCT FROM pw.person_type
                AND po.person_id IS NOT DISTINCT FROM pw.person_id
 UNION ALL
-SELECT 'common_events', CAST(count(*) AS DOUBLE)
+SELECT 'common_events', CAST(count(*) AS BIGINT)
 FROM (SELECT * FROM tagged WHERE snapshot = 'old') o
 JOIN (SELECT * FROM tagged WHERE snapshot = 'new') w
   ON o.person_type IS NOT DISTINCT FROM w.person_type
  AND o.person_id IS NOT DISTINCT FROM w.person_id
  AND o.admit_ts IS NOT DISTINCT FROM w.admit_ts
 UNION ALL
-SELECT 'events_only_new', CAST(count(*) AS DOUBLE) FROM tagged t
+SELECT 'events_only_new', CAST(count(*) AS BIGINT) FROM tagged t
 WHERE snapshot = 'new' AND NOT EXISTS (
   SELECT 1 FROM old_keys k WHERE k.person_type IS NOT DISTINCT FROM t.person_type
     AND k.person_id IS NOT DISTINCT FROM t.person_id
     AND k.admit_ts IS NOT DISTINCT FROM t.admit_ts)
 UNION ALL
-SELECT 'events_only_old', CAST(count(*) AS DOUBLE) FROM tagged t
+SELECT 'events_only_old', CAST(count(*) AS BIGINT) FROM tagged t
 WHERE snapshot = 'old' AND NOT EXISTS (
   SELECT 1 FROM new_keys k WHERE k.person_type IS NOT DISTINCT FROM t.person_type
     AND k.person_id IS NOT DISTINCT FROM t.person_id
@@ -452,7 +457,7 @@ SELECT person_type, person_id FROM tagged WHERE snapshot = 'old'
 INTERSECT
 SELECT person_type, person_id FROM tagged WHERE snapshot = 'new'"""),
     "common_event_keys": _episode(
-        "SELECT *, CAST(n_old * n_new AS DOUBLE) AS n_pairs FROM both_keys", _KEYS
+        "SELECT *, CAST(n_old * n_new AS BIGINT) AS n_pairs FROM both_keys", _KEYS
     ),
     "events_only_in_new": _only_in("new", "old"),
     "events_only_in_old": _only_in("old", "new"),
@@ -545,11 +550,14 @@ SELECT *, CASE WHEN n_affected > 0 THEN 'Requiere revisión' ELSE 'Sin errores'
 FROM e"""),
     "max_care_level": _care_levels(),
     "dimension_audit": """
-WITH a AS (SELECT c_custkey AS code, c_mktsegment AS label FROM customer WHERE c_custkey % 41 <> 0),
+WITH a AS (SELECT c_custkey AS code, CASE WHEN c_custkey % 43 <> 0 THEN c_mktsegment END AS label
+      FROM customer WHERE c_custkey % 41 <> 0 OR c_custkey % 37 = 0),
 b AS (SELECT c_custkey AS code,
-             CASE WHEN c_custkey % 40 = 0 THEN lower(c_mktsegment) ELSE c_mktsegment END AS label
-      FROM customer WHERE c_custkey % 37 <> 0)
-SELECT coalesce(a.code, b.code) AS code, a.label AS first_label, b.label AS second_label
-FROM a FULL JOIN b ON a.code = b.code
-WHERE a.label IS DISTINCT FROM b.label""",
+             CASE WHEN c_custkey % 40 = 0 THEN lower(c_mktsegment)
+                  WHEN c_custkey % 53 <> 0 THEN c_mktsegment END AS label
+      FROM customer WHERE c_custkey % 37 <> 0
+      UNION SELECT c_custkey, 'SECOND' FROM customer WHERE c_custkey % 37 <> 0 AND c_custkey % 47 = 0)
+SELECT code, label, true AS in_first, false AS in_second FROM (SELECT * FROM a EXCEPT SELECT * FROM b)
+UNION ALL
+SELECT code, label, false, true FROM (SELECT * FROM b EXCEPT SELECT * FROM a)""",
 }

@@ -44,8 +44,9 @@ def _original(fn: Callable[[DataFrame], DataFrame]) -> Callable[[DataFrame], Dat
     return lambda df: fn(ingest.with_original_subgroup(df))
 
 
-def _as_double(column: str, fn: Callable[[DataFrame], DataFrame]) -> Callable[[DataFrame], DataFrame]:
-    return lambda df: fn(df).withColumn(column, F.col(column).cast("double"))
+def _as_bigint(column: str, fn: Callable[[DataFrame], DataFrame]) -> Callable[[DataFrame], DataFrame]:
+    """The exact decimal as a bigint, as the check compares it; one beyond it fails the query."""
+    return lambda df: fn(df).withColumn(column, F.col(column).cast("bigint"))
 
 
 def _site_status(spark: SparkSession, sf: str) -> DataFrame:
@@ -99,9 +100,9 @@ QUERIES: dict[str, Query] = {
     "duplicate_profile": _on_keys(reconcile.duplicate_profile),
     "duplicated_keys": _on_keys(reconcile.duplicated_keys),
     "duplicate_detail": _on_keys(reconcile.duplicate_detail),
-    "snapshot_reconcile": _on_keys(_as_double("value", reconcile.snapshot_reconcile)),
+    "snapshot_reconcile": _on_keys(_as_bigint("value", reconcile.snapshot_reconcile)),
     "common_persons": _on_tagged(reconcile.common_persons, persons=True),
-    "common_event_keys": _on_keys(_as_double("n_pairs", reconcile.common_event_keys)),
+    "common_event_keys": _on_keys(_as_bigint("n_pairs", reconcile.common_event_keys)),
     "events_only_in_new": _on_tagged(lambda df: reconcile.events_only_in(df, "new"), persons=True),
     "events_only_in_old": _on_tagged(lambda df: reconcile.events_only_in(df, "old"), persons=True),
     # Sample integrity

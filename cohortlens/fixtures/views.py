@@ -76,19 +76,27 @@ def _copies(df: DataFrame, name: str, *values: Column) -> DataFrame:
 
 
 def _is_old() -> Column:
-    return (
-        (F.col("l_orderkey") % 10 != 0)
-        & (F.col("o_orderpriority") != "5-LOW")
-        & (F.col("p_type") != "SMALL")
+    """Part type decides first, then priority, then the key: a line is in one extract at least."""
+    by_priority = (F.col("o_orderpriority") == "1-URGENT") | (
+        (F.col("o_orderpriority") != "5-LOW") & (F.col("l_orderkey") % 10 != 0)
     )
+    return (F.col("p_type") == "ECONOMY") | ((F.col("p_type") != "SMALL") & by_priority)
 
 
 def _is_new() -> Column:
-    return (
-        (F.col("l_orderkey") % 7 != 0)
-        & (F.col("o_orderpriority") != "1-URGENT")
-        & (F.col("p_type") != "ECONOMY")
+    by_key = (F.col("l_orderkey") % 7 != 0) | (F.col("l_orderkey") % 10 == 0)
+    by_priority = (F.col("o_orderpriority") == "5-LOW") | (
+        (F.col("o_orderpriority") != "1-URGENT") & by_key
+    )
+    return (F.col("p_type") == "SMALL") | ((F.col("p_type") != "ECONOMY") & by_priority)
+
+
+def _complexity() -> Column:
+    """The priority; NULL where it would put a one-sided priority into the other extract."""
+    crossed = ((F.col("p_type") == "ECONOMY") & (F.col("o_orderpriority") == "5-LOW")) | (
+        (F.col("p_type") == "SMALL") & (F.col("o_orderpriority") == "1-URGENT")
     )
+    return F.when(~crossed, F.col("o_orderpriority"))
 
 
 def _null_every(n: int, key: str, value: Column) -> Column:
@@ -122,11 +130,20 @@ def _extract_columns(persons: bool, text_dates: bool, names: dict[str, str]) ->
     discharge = F.timestamp_add("HOUR", hours, F.col("o_orderdate"))
 
     def stamp(c: Column) -> Column:
-        return c.cast("string") if text_dates else c
+        """As text in the forms that sources use, one of them with another zone."""
+        if not text_dates:
+            return c
+        ahead = F.date_format(F.timestamp_add("HOUR", F.lit(2), c), "yyyy-MM-dd HH:mm:ss")
+        return (
+            F.when(F.col("l_orderkey") % 5 == 0, F.concat(ahead, F.lit("+02:00")))
+            .when(F.col("l_orderkey") % 5 == 1, F.date_format(c, "yyyy.MM.dd HH:mm:ss"))
+            .when(F.col("l_orderkey") % 5 == 2, F.date_format(c, "yyyyMMdd HHmmss"))
+            .otherwise(c.cast("string"))
+        )
 
     segment = F.col("c_mktsegment") if persons else F.lit(None).cast("string")
     values = {
-        "complexity": F.col("o_orderpriority"),
+        "complexity": _complexity(),
         "admission_id": F.col("l_orderkey") * 10 + F.col("l_linenumber"),
         "person_type": _null_every(31, "l_orderkey", segment),
         "person_id": F.col("o_custkey"),
@@ -201,7 +218,8 @@ def sample_sources(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
         rows = _sample_rows(spark, sf_dir).filter(F.col("r_name") == site)
         df = _sample_landing(rows).drop("site")
         if site == SITE_WITH_OTHER_KEY:
-            df = df.withColumnRenamed("id", "ingreso")
+            slot = F.concat(F.col("id_kobo").cast("string"), F.lit(".0"))
+            df = df.withColumnRenamed("id", "ingreso").withColumn("id_kobo", slot)
         if site == SITE_WITHOUT_SLOTS:
             df = df.drop("id_kobo")
         if site == SITE_WITHOUT_ORIGINAL:
@@ -270,11 +288,16 @@ def samples(spark: SparkSession) -> DataFrame:
 
 
 def code_dimensions(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """Two dimensions over the customers: the second misspells some labels and lacks some codes."""
+    """Two dimensions over the customers: each lacks codes that the other has, the second
+    misspells some labels, gives some codes a second label and some none."""
     customers = table(spark, sf_dir, "customer")
     key, label = F.col("c_custkey"), F.col("c_mktsegment")
-    first = customers.filter(key % 41 != 0).select(key.alias("code"), label.alias("label"))
+    first = customers.filter((key % 41 != 0) | (key % 37 == 0)).select(
+        key.alias("code"), F.when(key % 43 != 0, label).alias("label")
+    )
+    spelt = F.when(key % 40 == 0, F.lower(label)).when(key % 53 != 0, label)
+    more = F.when(key % 47 == 0, F.lit("SECOND"))
     second = customers.filter(key % 37 != 0).select(
-        key.alias("code"), F.when(key % 40 == 0, F.lower(label)).otherwise(label).alias("label")
+        key.alias("code"), F.explode(F.when(more.isNull(), F.array(spelt)).otherwise(F.array(spelt, more))).alias("label")
     )
     return first, second

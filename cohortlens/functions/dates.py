@@ -12,7 +12,10 @@ _DMY = r"^\s*(\d{1,2}/\d{1,2}/\d{4})"
 
 
 def parse_dmy(col: Column, data_type: str = "string") -> Column:
-    """Text ``d/m/yyyy`` to date; bad text is NULL. A column already typed is only cast."""
+    """Text ``d/m/yyyy`` to date; bad text is NULL. A column already typed is only cast.
+
+    Two-digit years are not guessed: they are NULL, and ``ingest.unread_counts`` counts them.
+    """
     if data_type != "string":
         return col.cast("date")
     # The pattern is only matched where the plain parse fails.
@@ -22,17 +25,38 @@ def parse_dmy(col: Column, data_type: str = "string") -> Column:
     )
 
 
+# Year, month, day, clock in this order, with any separators or none, and a zone offset.
+_YMD_HMS = (
+    r"^\s*(\d{4})[^0-9]*(\d{1,2}(?=[^0-9])|\d{2})[^0-9]*(\d{1,2}(?=[^0-9])|\d{2})[^0-9]*(\d{1,2}(?=[^0-9])|\d{2})"
+    r"[^0-9]*(\d{1,2}(?=[^0-9])|\d{2})[^0-9]*(\d{1,2}(?:[.]\d{1,6})?)\s*(?:([Zz])|([+-])(\d{2}):?(\d{2})?)?\s*$"
+)
+_PLAIN = r"^\s*\d{4}-\d{1,2}-\d{1,2}[ T]\d{1,2}:\d{1,2}:\d{1,2}(?:[.]\d{1,6})?\s*$"
+
+
 def parse_ymd_hms(col: Column, data_type: str = "string") -> Column:
-    """Text ``y-m-d h:m:s`` to a zone-free timestamp; bad text is NULL.
+    """Text ``y-m-d h:m:s`` to a zone-free timestamp in UTC; bad text is NULL.
 
-    The cast alone would also take a date without a clock; two colons make sure of one.
+    Any separators or none will do. Text with an offset (``+02:00``, ``+0200``, ``+02``,
+    ``Z``) is moved to UTC before the zone is dropped. Two-digit years are not guessed:
+    they are NULL, and ``ingest.unread_counts`` counts them.
     """
     if data_type != "string":
         return col.cast("timestamp_ntz")
-    text = F.when(F.contains(col, F.lit("/")), F.replace(col, F.lit("/"), F.lit("-"))).otherwise(col)
-    colon = F.lit(":")
-    second_colon = F.position(colon, text, F.position(colon, text) + 1)
-    return F.when(second_colon > 0, text.try_cast("timestamp_ntz"))
+
+    def part(i: int) -> Column:
+        return F.regexp_extract(col, _YMD_HMS, i)
+
+    day, clock = F.concat_ws("-", *map(part, (1, 2, 3))), F.concat_ws(":", *map(part, (4, 5, 6)))
+    local = F.concat_ws(" ", day, clock).try_cast("timestamp_ntz")
+    sign = F.when(part(8) == "-", 1).otherwise(-1)
+    minutes = sign * (
+        F.coalesce(part(9).try_cast("int"), F.lit(0)) * 60
+        + F.coalesce(part(10).try_cast("int"), F.lit(0))
+    )
+    # The pattern is only matched where the text isn't in the plain form.
+    return F.when(col.rlike(_PLAIN), F.trim(col).try_cast("timestamp_ntz")).otherwise(
+        F.timestamp_add("MINUTE", minutes, local)
+    )
 
 
 def span_days(start: Column, end: Column) -> Column:

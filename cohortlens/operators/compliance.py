@@ -24,18 +24,18 @@ def site_status(enrolment: DataFrame, samples: DataFrame, cutoff: dt.date) -> Da
     """Planned sample, enrolled patients and events per site, with the total row.
 
     The published table is consumed ready-made; its percentage is taken to be patients
-    over planned sample, and the total's the ratio of the sums. ``samples`` is an inline
-    dimension: the counts are cut to its sites before they are broadcast.
+    over planned sample, and the total's the ratio of the sums. Rows are cut to the sites
+    of ``samples`` first; Spark broadcasts that dimension where its size allows.
     """
     counts = (
         enrolled(enrolment, cutoff)
-        .join(F.broadcast(samples.select("site")), "site", "left_semi")
+        .join(samples.select("site"), "site", "left_semi")
         .groupBy("site", "patient_id")
         .agg(F.count(F.lit(1)).alias("events"))
         .groupBy("site")
         .agg(F.count(F.lit(1)).alias("n_patients"), F.sum("events").alias("n_events"))
     )
-    rows = samples.join(F.broadcast(counts), "site", "left").select(
+    rows = samples.join(counts, "site", "left").select(
         F.lit(0).alias("row_ord"),
         "site",
         "n_sample",
@@ -67,12 +67,12 @@ def collector_status(enrolment: DataFrame, targets: DataFrame, cutoff: dt.date)
 
     The published table is consumed ready-made; patients are counted once per collector
     here. The cumulative percentage divides by one week's target, as published, so it
-    can pass 100. ``targets`` is an inline dimension.
+    can pass 100.
     """
     first, last = reporting_window(cutoff)
     counts = (
         enrolled(enrolment, cutoff)
-        .join(F.broadcast(targets.select("collector")), "collector", "left_semi")
+        .join(targets.select("collector"), "collector", "left_semi")
         .groupBy("collector", "patient_id")
         .agg(F.bool_or(F.col("reg_date").between(F.lit(first), F.lit(last))).alias("recent"))
         .groupBy("collector")
@@ -81,7 +81,7 @@ def collector_status(enrolment: DataFrame, targets: DataFrame, cutoff: dt.date)
             F.count(F.lit(1)).alias("total"),
         )
     )
-    return targets.join(F.broadcast(counts), "collector", "left").select(
+    return targets.join(counts, "collector", "left").select(
         "collector",
         "weekly_target",
         zero(F.col("last_week")).alias("last_week"),
@@ -97,12 +97,9 @@ def collector_compliance(
     """Collector status with display names, the total row and the below-target flag.
 
     The total's percentages are ratios of the sums. The flag comes from the number, not
-    from the shown text. ``names`` is an inline dimension; a collector missing from it
-    keeps its row without a name.
+    from the shown text. A collector missing from ``names`` keeps its row without a name.
     """
-    shown = status.join(
-        F.broadcast(names.select("collector", "display", "site")), "collector", "left"
-    )
+    shown = status.join(names.select("collector", "display", "site"), "collector", "left")
     columns = [
         "row_ord", "collector", "display", "site", "weekly_target",
         "last_week", "pct_week", "total", "pct_total",
@@ -136,7 +133,7 @@ def collector_compliance(
 def weekly_enrolment(enrolment: DataFrame, targets: DataFrame, cutoff: dt.date) -> DataFrame:
     """Distinct patients per collector and Monday week, only weeks that have any.
 
-    Collectors missing from the inline dimension drop out. ``is_cutoff_week`` compares
+    Collectors without a target drop out. ``is_cutoff_week`` compares
     dates; the short label repeats across years.
     """
     counts = (
@@ -144,7 +141,7 @@ def weekly_enrolment(enrolment: DataFrame, targets: DataFrame, cutoff: dt.date)
         .groupBy("collector", week_start(F.col("reg_date")).alias("week"))
         .agg(distinct_with_null("patient_id").alias("n_patients"))
     )
-    return counts.join(F.broadcast(targets), "collector", "inner").select(
+    return counts.join(targets, "collector", "inner").select(
         "collector",
         "display",
         "site",

@@ -9,10 +9,11 @@ from .ingest import union_all
 
 
 def dimension_audit(first: DataFrame, second: DataFrame, code: str, label: str) -> DataFrame:
-    """Codes whose label differs between two dimensions, or that only one of them has.
+    """Code and label pairs that only one of two dimensions has, with which of them.
 
-    Codes are unique in each dimension. One grouping over the stacked rows takes the
-    place of a full outer join and matches NULL codes.
+    A code that only one has is listed with each of its labels, NULL included; a code with
+    several labels is compared label by label. One grouping over the stacked rows takes
+    the place of a full outer join and matches NULL codes and labels.
     """
     stacked = union_all(
         [
@@ -20,12 +21,8 @@ def dimension_audit(first: DataFrame, second: DataFrame, code: str, label: str)
             for side, df in (("first", first), ("second", second))
         ]
     )
-
-    def of(side: str):
-        return F.max(F.when(F.col("side") == side, F.col("label")))
-
     return (
-        stacked.groupBy(code)
-        .agg(of("first").alias("first_label"), of("second").alias("second_label"))
-        .filter(~F.col("first_label").eqNullSafe(F.col("second_label")))
+        stacked.groupBy(code, "label")
+        .agg(*[F.bool_or(F.col("side") == side).alias(f"in_{side}") for side in ("first", "second")])
+        .filter("in_first != in_second")
     )

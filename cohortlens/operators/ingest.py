@@ -105,7 +105,7 @@ def harmonise_sample(
     values = {
         "site": F.lit(site) if isinstance(site, str) else site,
         "patient_id": id_text(source("patient_id"), type_of("patient_id")),
-        "slot_no": source("slot_no").try_cast("int"),
+        "slot_no": whole_number(source("slot_no")),
         "event_no": id_text(source("event_no"), type_of("event_no")),
         "subgroup": subgroup_prefix(source("subgroup")),
         "subgroup_original": subgroup_prefix(source("subgroup_original")),
@@ -115,6 +115,24 @@ def harmonise_sample(
     return df.select(*[values[f.name].cast(f.dataType).alias(f.name) for f in SAMPLE_SCHEMA])
 
 
+def whole_number(col: Column) -> Column:
+    """A whole number however it is written (``12``, ``12.0``); a fraction is NULL, not cut."""
+    exact = col.try_cast("decimal(38,6)")
+    return F.when(exact == F.floor(exact), exact.try_cast("int"))
+
+
+def unread_counts(df: DataFrame, parsed: Mapping[str, Column]) -> DataFrame:
+    """Per column the values that are there but that its reading (``parsed``) makes NULL.
+
+    For text dates, timestamps and slot numbers: what harmonising would lose is counted.
+    """
+    counts = df.agg(
+        *[F.count_if(F.col(c).isNotNull() & p.isNull()).alias(c) for c, p in parsed.items()]
+    )
+    rows = [F.struct(F.lit(c).alias("column"), F.col(c).alias("n_unread")) for c in parsed]
+    return counts.select(F.inline(F.array(*rows)))
+
+
 def consolidate(sources: Mapping[str, DataFrame]) -> DataFrame:
     """Harmonise every labelled source and stack them. Types agree before the union."""
     return union_all([harmonise_sample(df, label) for label, df in sources.items()])

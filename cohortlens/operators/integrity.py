@@ -14,13 +14,23 @@ GAP_BLOCK = 1024
 
 
 def study_counts(events: DataFrame) -> DataFrame:
-    """Unique events, and distinct patients and patient events with and without site."""
-    totals = events.agg(
-        F.count(F.lit(1)).alias("unique_events"),
-        distinct_with_null("site", "patient_id").alias("site_patients"),
-        distinct_with_null("patient_id").alias("patients"),
-        distinct_with_null("patient_id", "event_no").alias("patient_events"),
+    """Unique events, and distinct patients and patient events with and without site.
+
+    Nested groupings: distinct counts side by side would copy every event for each.
+    """
+    by_patient = (
+        events.groupBy("patient_id", "site")
+        .agg(F.count(F.lit(1)).alias("n"))
+        .groupBy("patient_id")
+        .agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("sites"))
+        .agg(
+            F.coalesce(F.sum("n"), F.lit(0)).alias("unique_events"),
+            F.coalesce(F.sum("sites"), F.lit(0)).alias("site_patients"),
+            F.count(F.lit(1)).alias("patients"),
+        )
     )
+    patient_events = events.select("patient_id", "event_no").distinct().agg(F.count(F.lit(1))).scalar()
+    totals = by_patient.withColumn("patient_events", patient_events)
     rows = [F.struct(F.lit(c).alias("metric"), F.col(c).alias("value")) for c in totals.columns]
     return totals.select(F.inline(F.array(*rows)))
 

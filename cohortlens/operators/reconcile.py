@@ -22,6 +22,8 @@ EVENT_KEYS = (*PERSON_KEYS, "admit_ts")
 
 # Pair counts multiply two counts of one key and can exceed a bigint.
 _WIDE = "decimal(20,0)"
+# Parts of the repeated keys that are ranked on their own.
+RANK_PARTS = 64
 
 
 def count_in(snapshot: str) -> Column:
@@ -70,13 +72,16 @@ def duplicated_keys(key_counts: DataFrame) -> DataFrame:
 def duplicate_detail(key_counts: DataFrame, k: int = TOP_DUPLICATES) -> DataFrame:
     """The k most repeated keys of each snapshot; ties go by key with NULL last.
 
-    Spark cuts each task's rows to the best k before the shuffle, so the final ranking
-    sees k rows per task and snapshot.
+    Keys are ranked in parts of their hash first, and only the best k of each part reach
+    the final ranking, whatever k is.
     """
     keys = [c for c in key_counts.columns if c not in ("n_old", "n_new")]
     order = [F.desc("n_times"), *[F.asc_nulls_last(c) for c in keys]]
+    part = F.pmod(F.xxhash64(*keys), F.lit(RANK_PARTS))
+    in_part = F.row_number().over(Window.partitionBy("snapshot", "part").orderBy(*order))
+    best = duplicated_keys(key_counts).withColumn("part", part).withColumn("rank", in_part)
     rank = F.row_number().over(Window.partitionBy("snapshot").orderBy(*order))
-    ranked = duplicated_keys(key_counts).withColumn("rank", rank)
+    ranked = best.filter(F.col("rank") <= k).withColumn("rank", rank)
     return ranked.filter(F.col("rank") <= k).select("snapshot", "rank", *keys, "n_times")
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 
 from ..constants import SUBGROUPS
 from ..operators import distribution, ingest, integrity
-from ..sources.sinks import staged, write_report
+from ..sources.sinks import staging, write_report
 
 _BY_SITE = ["row_ord", "site"]
 ORDER = {
@@ -47,6 +47,7 @@ def sample_tables(events: DataFrame) -> dict[str, DataFrame]:
 
 
 def write_sample_report(sample: DataFrame, root: str, fmt: str = "parquet") -> dict[str, str]:
-    """Write the report. The unique events are computed once, stored by site."""
-    events = staged(ingest.unique_events(sample), "unique-events", ["site"])
-    return write_report(sample_tables(events), root, fmt, ORDER)
+    """Write the report. The unique events are computed once."""
+    with staging(sample.sparkSession) as staged:
+        events = staged(ingest.unique_events(sample), "unique-events")
+        return write_report(sample_tables(events), root, fmt, ORDER)

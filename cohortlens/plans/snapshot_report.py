@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 
 from ..constants import STUDY_CODES
 from ..operators import compare, profile, reconcile
-from ..sources.sinks import staged, write_report
+from ..sources.sinks import staging, write_report
 
 ORDER = {
     "overview": ["indicator"],
@@ -62,5 +62,6 @@ def write_snapshot_report(
     tagged: DataFrame, root: str, fmt: str = "parquet", codes: Sequence[str] = STUDY_CODES
 ) -> dict[str, str]:
     """Write the report. The harmonised rows and what several tables share is computed once."""
-    rows = staged(tagged, "snapshots", ["snapshot"])
-    return write_report(snapshot_tables(rows, codes, staged), root, fmt, ORDER)
+    with staging(tagged.sparkSession) as staged:
+        rows = staged(tagged, "snapshots")
+        return write_report(snapshot_tables(rows, codes, staged), root, fmt, ORDER)

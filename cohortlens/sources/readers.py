@@ -67,9 +67,10 @@ def read_part_folder(
     """Every part of a container laid out as ``root/<label_col>=<label>/``.
 
     One scan for all parts; the label is a partition column, so a filter on it skips
-    the other folders.
+    the other folders. Parts with different columns need ``mergeSchema="true"``, which
+    reads every footer first.
     """
-    return read_table(spark, root, fmt, mergeSchema="true", **options)
+    return read_table(spark, root, fmt, **options)
 
 
 def read_named_part(

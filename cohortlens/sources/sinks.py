@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Iterator, Mapping, Sequence
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -56,26 +56,32 @@ def write_report(
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder all executors share, named by the cluster in ``spark.checkpoint.dir``.
-
-    Only a local session may go without: it then gets a fresh temporary folder.
-    """
+    """The folder all executors share, named by the session in ``spark.checkpoint.dir``."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
-    if folder:
-        return folder.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
+    if not folder:
         raise ValueError("set spark.checkpoint.dir to a folder all executors share")
-    return tempfile.mkdtemp(prefix="cohortlens-")
+    return folder.rstrip("/")
 
 
-def staged(df: DataFrame, name: str, partition_by: Sequence[str] = ()) -> DataFrame:
-    """Write a frame once to the shared folder and read it back.
+@contextmanager
+def staging(spark: SparkSession) -> Iterator[Callable[[DataFrame, str], DataFrame]]:
+    """Gives a function that writes a frame once to the shared folder and reads it back.
 
     For a report whose tables all start from the same expensive frame. Unlike a cached
     frame it survives lost executors, and unlike a checkpoint it keeps column pruning
-    and filter push-down for the readers.
+    and filter push-down for the readers. Everything is removed at the end, also of a
+    report that fails.
     """
-    spark = df.sparkSession
-    path = f"{shared_folder(spark)}/cohortlens/{name}-{uuid.uuid4().hex}"
-    df.write.partitionBy(*partition_by).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    jvm = spark.sparkContext._jvm
+    root = jvm.org.apache.hadoop.fs.Path(f"{shared_folder(spark)}/cohortlens/{uuid.uuid4().hex}")
+    files = root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+    def staged(df: DataFrame, name: str) -> DataFrame:
+        path = f"{root.toString()}/{name}"
+        df.write.parquet(path)
+        return spark.read.schema(df.schema).parquet(path)
+
+    try:
+        yield staged
+    finally:
+        files.delete(root, True)

@@ -84,9 +84,29 @@ def test_dates_parse_or_are_null(spark):
 
 def test_timestamps_parse_or_are_null(spark):
     given = ["2024-01-05 10:20:30", "2024/1/5 10:20:30", "2024-01-05T10:20:30Z", "2024-01-05",
-             "2024-01-05 10:20", "2024-02-30 10:20:30", "x", None]
+             "2024-01-05 10:20", "2024-02-30 10:20:30", "x", None, "24-01-05 10:20:30"]
     ts = dt.datetime(2024, 1, 5, 10, 20, 30)
-    assert values(spark, "string", given, dates.parse_ymd_hms) == [ts, ts, ts] + [None] * 5
+    assert values(spark, "string", given, dates.parse_ymd_hms) == [ts, ts, ts] + [None] * 6
+    given = ["2024-01-05 12:20:30+02:00", "2024-01-05 04:50:30 -0530", "2024.01.05 10.20.30", "20240105 102030",
+             "20240105102030", "2024-1-5 10-20-30", "2024-01-05 10:20:30z", " 2024-01-05 10:20:30 "]
+    assert values(spark, "string", given, dates.parse_ymd_hms) == [ts] * 8
+
+
+def test_slots_are_whole_numbers_and_unread_values_are_counted(spark):
+    from cohortlens.operators.ingest import unread_counts, whole_number
+
+    given = ["12", "12.0", " 7 ", "12.7", "x", None, "99999999999", "-3.00"]
+    assert values(spark, "string", given, whole_number) == [12, 12, 7, None, None, None, None, -3]
+    assert values(spark, "double", [12.0, 12.7, None, float("nan")], whole_number) == [12, None, None, None]
+    df = spark.createDataFrame([(x,) for x in given], "slot string")
+    assert [tuple(r) for r in unread_counts(df, {"slot": whole_number(F.col("slot"))}).collect()] == [("slot", 3)]
+
+
+def test_duplicate_detail_of_more_keys_than_a_group_limit(spark):
+    keys = spark.range(3000).selectExpr("id as person_id", "2 + id % 5 as n_old", "0L as n_new")
+    got = reconcile.duplicate_detail(keys, 2500).collect()
+    assert sorted(r["rank"] for r in got) == list(range(1, 2501)) and min(r["n_times"] for r in got) == 2
+    assert [r["person_id"] for r in sorted(got, key=lambda r: r["rank"])][:3] == [4, 9, 14]
 
 
 def test_stay_is_free_of_summer_time(spark):
@@ -317,13 +337,14 @@ def test_no_errors_status(spark):
 
 
 def test_dimension_audit(spark):
-    first = spark.createDataFrame([("a", "A"), ("b", "B"), (None, "N"), ("d", "D")], "code string, label string")
-    second = spark.createDataFrame([("a", "A"), ("b", "b"), (None, "M"), ("e", "E")], "code string, label string")
+    first = spark.createDataFrame([("a", "A"), ("b", "B"), (None, "N"), ("d", "D"), ("f", None), ("g", "x"), ("g", "y")], "code string, label string")
+    second = spark.createDataFrame([("a", "A"), ("b", "b"), (None, "M"), ("e", "E"), ("g", "y")], "code string, label string")
     got = rows_of(dimension_audit(first, second, "code", "label"))
     assert got == rows_of(
         spark.createDataFrame(
-            [("b", "B", "b"), (None, "N", "M"), ("d", "D", None), ("e", None, "E")],
-            "a string, b string, c string",
+            [("b", "B", True, False), ("b", "b", False, True), (None, "N", True, False), (None, "M", False, True),
+             ("d", "D", True, False), ("e", "E", False, True), ("f", None, True, False), ("g", "x", True, False)],
+            "a string, b string, c boolean, d boolean",
         )
     )
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import datetime as dt
+import os
 
 import pytest
 from pyspark.sql import functions as F
@@ -88,10 +89,25 @@ def test_sink_orders(spark, tmp_path):
 
 def test_staged_table_uses_the_shared_folder(spark):
     shared = spark.conf.get("spark.checkpoint.dir")
-    df = sinks.staged(spark.range(4).withColumn("k", F.col("id") % 2), "rows", ["k"])
-    assert df.columns == ["id", "k"] and df.count() == 4
-    assert all(f"{shared}/cohortlens/rows-" in f for f in df.inputFiles())
-    assert "PartitionFilters: [isnotnull(k" in plan_of(df.filter("k = 1"))
+    rows = spark.createDataFrame([("",), (None,), ("A",)], "site string")
+    with pytest.raises(RuntimeError), sinks.staging(spark) as staged:
+        df = staged(rows, "rows")
+        assert sorted(df.collect(), key=str) == sorted(rows.collect(), key=str)
+        files = [f.removeprefix("file://") for f in df.inputFiles()]
+        assert files and all(f.startswith(f"{shared}/cohortlens/") for f in files)
+        raise RuntimeError
+    assert not any(os.path.exists(f) for f in files)
+
+
+def test_written_sample_report_keeps_an_empty_site(spark, tmp_path):
+    sample = views.sample(spark, SF).limit(40).withColumn(
+        "site", F.when(F.col("slot_no") % 3 == 0, "").when(F.col("slot_no") % 3 == 1, F.col("site"))
+    )
+    events = spark.createDataFrame(sample.collect(), sample.schema)
+    paths = sample_report.write_sample_report(events, str(tmp_path))
+    want = sample_report.sample_tables(events.distinct())["site_distribution"]
+    got = spark.read.parquet(paths["site_distribution"])
+    assert sorted(map(str, got.collect())) == sorted(map(str, want.select(*got.columns).collect()))
 
 
 def test_snapshot_report(spark, tmp_path):
