@@ -16,6 +16,8 @@ from cohortlens.llm.words import byte_rows, random_numbers, slices
 DIMS = 2048
 #: Labelled rows that a model is fitted on, over all languages.
 SAMPLE_ROWS = 4000
+#: Numbers that rows are drawn by; far more than there are rows.
+DRAWS = 1 << 62
 UNKNOWN = "und"
 
 # Families of ISO 639-1 codes. A code that isn't here is its own family.
@@ -162,16 +164,17 @@ def trained(rows: DataFrame, sample_rows: int = SAMPLE_ROWS) -> Model | None:
     """A model of the labelled ``rows`` (doc_id, text, lang), or None without any.
 
     Every language gives at most its equal part of ``sample_rows``, by the order of a hash
-    of id and text; features are of whole texts and made by the tasks.
+    of id and text; features are of whole texts and made by the tasks. Rows that repeat both
+    are drawn once, so the rows that reach the driver are bounded whatever repeats.
     """
     rows = rows.filter("lang is not null and text is not null and doc_id is not null").select("doc_id", "text", "lang")
     counts = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
     if not counts:
         return None
     most = max(1, sample_rows // len(counts))
-    drawn = F.pmod(F.xxhash64("doc_id", F.lit("draw")), F.lit(1 << 30))
-    limit = F.create_map(*[v for s, n in counts.items() for v in (F.lit(s), F.lit(min(1.0, 1.3 * most / n + 20 / n) * (1 << 30)))])
-    rows = rows.withColumn("drawn", drawn).filter(F.col("drawn") < limit[F.col("lang")])
+    drawn = F.pmod(F.xxhash64("doc_id", "text", F.lit("draw")), F.lit(DRAWS))
+    limit = F.create_map(*[v for s, n in counts.items() for v in (F.lit(s), F.lit(min(1.0, 1.3 * most / n + 20 / n) * DRAWS))])
+    rows = rows.withColumn("drawn", drawn).filter(F.col("drawn") < limit[F.col("lang")]).dropDuplicates(["lang", "drawn"])
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -11,8 +11,8 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Vectors of a block of candidates, of a block of queries, and blocks of a group.
-BLOCK, QUERY_BLOCK, GROUP_BLOCKS = 2048, 256, 16
+#: Vectors of a block of candidates and of a block of queries, and blocks of a group of each.
+BLOCK, QUERY_BLOCK, GROUP_BLOCKS, QUERY_GROUP_BLOCKS = 2048, 256, 16, 256
 #: Dimensions added up before candidates are dropped.
 STEP = 16
 #: Components are held within this range, so that a score of 500 dimensions fits a long.
@@ -119,19 +119,23 @@ def top_k(queries: DataFrame, candidates: DataFrame, k: int = 5) -> DataFrame:
     Queries with one vec_id and different vectors are asked each; equal ones once. A
     candidate row that is there twice counts twice. An empty side gives no rows.
 
-    Candidates are packed into blocks and dealt to groups of about 16 blocks; each block of
-    queries meets each group once (a join on the group's number, whose rows are blocks), so
-    a task holds two blocks and passes its floor on from block to block of a group. Only
-    the best k of each query and group are shuffled again.
+    Both sides are packed into blocks and dealt to groups: about 16 blocks of candidates,
+    about 256 of queries. Each two groups meet once (a join on their numbers, whose rows are
+    blocks), so neither the rows of a key nor the work of a task grows with the input. A
+    task holds two blocks and passes its floor on from block to block of a group. Only the
+    best k of each query and group are shuffled again.
     """
-    blocks = packed(candidates, BLOCK).withColumn("block", F.xxhash64("id_block", "vectors"))
+    blocks = packed(candidates, BLOCK)
     n_groups = max(1, candidates.count() // (BLOCK * GROUP_BLOCKS))
+    n_asking = max(1, queries.count() // (QUERY_BLOCK * QUERY_GROUP_BLOCKS))
     asked = packed(queries.dropDuplicates(["vec_id", "embedding"]).coalesce(max(1, n_groups)), QUERY_BLOCK)
+    dealt = lambda n: F.pmod(F.xxhash64("id_block", "vectors"), F.lit(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
     asked = asked.select(
         *[F.col(c).alias(f"q_{c}") for c in ("id_block", "vectors", "dims", "n")],
-        F.explode(F.sequence(F.lit(0), F.lit(n_groups - 1))).alias("group"),
-    )
-    pairs = asked.join(blocks.withColumn("group", F.pmod("block", F.lit(n_groups)).cast("int")).drop("block"), "group")
+        every(n_groups).alias("group"), dealt(n_asking).alias("asking"),
+    )
+    pairs = asked.join(blocks.select("*", dealt(n_groups).alias("group"), every(n_asking).alias("asking")), ["group", "asking"])
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         name, q, found, floor, key = None, None, [], np.zeros(0), []

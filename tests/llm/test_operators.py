@@ -53,6 +53,8 @@ def best_of(rows, k=5):
 def test_topk_equals_brute_force_with_ties_and_odd_vectors(spark, monkeypatch):
     monkeypatch.setattr(topk, "BLOCK", 16)
     monkeypatch.setattr(topk, "QUERY_BLOCK", 2)
+    monkeypatch.setattr(topk, "GROUP_BLOCKS", 4)
+    monkeypatch.setattr(topk, "QUERY_GROUP_BLOCKS", 1)
     r = np.random.default_rng(1)
     rows = [(int(i), r.normal(size=40).astype(np.float32).tolist()) for i in range(300)]
     rows += [(300 + i, rows[3][1]) for i in range(20)]  # ties
@@ -138,6 +140,8 @@ def test_language_of_odd_texts(spark):
     assert language.languages(docs.limit(0)).isEmpty()
     kept = language.in_known_language(docs.union(odd))
     assert kept.columns == docs.columns and kept.count() == docs.count() + 2
+    again = docs.limit(1).select("*", F.explode(F.expr("sequence(1, 9000)")).alias("k")).drop("k")
+    assert language.trained(docs.union(again)) is not None
     unlabelled = docs.withColumn("lang", F.lit(None).cast("string"))
     assert {r.lang_pred for r in language.languages(unlabelled).collect()} == {"und"}
 
