@@ -6,7 +6,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..constants import SUBGROUPS
-from ..functions.stats import distinct_with_null
 from .joins import null_safe_join
 
 # Numbers looked at together when a sequence is searched for gaps.
@@ -60,15 +59,22 @@ def quota_check(sample: DataFrame) -> DataFrame:
 
     A missing patient or slot counts as one distinct value. A site without any slot has
     no quota and no difference. Copies of a row change nothing, so raw rows will do.
+    Patients and slots are counted by nested groupings of their own, each over the two
+    columns it needs: two distinct counts in one aggregate would copy every row for each.
     """
-    return (
-        sample.groupBy("site")
-        .agg(
-            distinct_with_null("patient_id").alias("unique_patients"),
-            F.max("slot_no").alias("design_quota"),
-            distinct_with_null("slot_no").alias("unique_slots"),
-        )
-        .withColumn("difference", F.col("unique_patients") - F.col("design_quota"))
+    patients = (
+        sample.select("site", "patient_id")
+        .distinct()
+        .groupBy("site")
+        .agg(F.count(F.lit(1)).alias("unique_patients"))
+    )
+    slots = (
+        distinct_slots(sample)
+        .groupBy("site")
+        .agg(F.max("slot_no").alias("design_quota"), F.count(F.lit(1)).alias("unique_slots"))
+    )
+    return null_safe_join(patients, slots, ["site"], "inner").withColumn(
+        "difference", F.col("unique_patients") - F.col("design_quota")
     )
 
 

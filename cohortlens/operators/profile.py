@@ -11,6 +11,7 @@ from ..constants import AGE_MONTHS_MAX, LONG_STAY_FLOOR_DAYS, LONG_STAY_RANGES
 from ..functions.classify import label_of, long_stay_range
 from ..functions.dates import MICROS_PER_DAY, micros_to_days, span_micros
 from ..functions.stats import round1
+from .joins import null_safe_join
 from .quantiles import weighted_median
 
 OLD, NEW = "old", "new"
@@ -82,20 +83,16 @@ def indicator_table(
 
 
 def numeric_profile(
-    tagged: DataFrame,
-    value: str = "age_months",
-    limit: float = AGE_MONTHS_MAX,
-    widths: Sequence[float] = (1.0, 2.0**-20),
+    tagged: DataFrame, value: str = "age_months", limit: float = AGE_MONTHS_MAX
 ) -> DataFrame:
     """Min, exact median, mean, max, missing values and values above a limit per snapshot.
 
     The rows are first counted by value, which bounds everything that follows by the
-    number of distinct values. The median then narrows down from whole units to a
-    millionth of one to single values.
+    number of distinct values. Rows without a snapshot are one of their own.
     """
     missing = F.col(value).isNull()
     hist = tagged.groupBy(
-        F.coalesce("snapshot", F.lit("")).alias("snapshot"),
+        "snapshot",
         missing.alias("missing"),
         F.coalesce(F.col(value), F.lit(0.0)).alias("v"),
     ).agg(F.count(F.lit(1)).alias("n"))
@@ -108,8 +105,8 @@ def numeric_profile(
         F.sum(F.when(F.col("missing"), n).otherwise(0)).alias("n_null"),
         F.sum(F.when(v > F.lit(limit), n).otherwise(0)).alias("n_above_limit"),
     )
-    median = weighted_median(hist.withColumn("n", known), "snapshot", "v", "n", widths)
-    return stats.join(median, "snapshot", "left").select(
+    median = weighted_median(hist.withColumn("n", known), "snapshot", "v", "n")
+    return null_safe_join(stats, median, ["snapshot"], "left").select(
         "snapshot", "min", "median", "mean", "max", "n_null", "n_above_limit"
     )
 
@@ -118,11 +115,12 @@ def stay_stats(tagged: DataFrame) -> DataFrame:
     """Min, exact median and max stay in days, zero and negative stays per snapshot.
 
     Rows without both dates do not count. Stays are whole microseconds until the end,
-    so equality with zero and the median's order are exact.
+    so equality with zero and the median's order are exact. Rows without a snapshot are
+    one of their own.
     """
     stay = span_micros(F.col("admit_ts"), F.col("discharge_ts"))
     hist = tagged.groupBy(
-        F.coalesce("snapshot", F.lit("")).alias("snapshot"),
+        "snapshot",
         stay.isNull().alias("missing"),
         F.coalesce(stay, F.lit(0)).alias("v"),
     ).agg(F.count(F.lit(1)).alias("n"))
@@ -134,11 +132,8 @@ def stay_stats(tagged: DataFrame) -> DataFrame:
         F.sum(F.when(v < 0, n).otherwise(0)).alias("n_negative"),
     )
     known = F.when(F.col("missing"), 0).otherwise(n)
-    # Days, then seconds, then the microsecond itself.
-    median = weighted_median(
-        hist.withColumn("n", known), "snapshot", "v", "n", [MICROS_PER_DAY, 1_000_000]
-    )
-    return stats.join(median, "snapshot", "left").select(
+    median = weighted_median(hist.withColumn("n", known), "snapshot", "v", "n")
+    return null_safe_join(stats, median, ["snapshot"], "left").select(
         "snapshot",
         round1(micros_to_days(F.col("min_us"))).alias("min_days"),
         round1(micros_to_days(F.col("median"))).alias("median_days"),

@@ -9,16 +9,17 @@ from pyspark.sql import functions as F
 
 import __spark_entry__ as entry_point
 from cohortlens.fixtures import views
-from cohortlens.operators import compare, distribution, integrity, profile, reconcile
+from cohortlens.fixtures.registry import QUERIES
+from cohortlens.operators import compare, distribution, integrity, profile, quantiles, reconcile
 from tests.helpers import plan_of
 
 SF = "/root/testdata/sf0.001"
 FORBIDDEN = ["CartesianProduct", "BroadcastNestedLoopJoin", "Python", "ArrowEval", "Scan ExistingRDD"]
 
 
-@pytest.mark.parametrize("name", sorted(entry_point.queries()))
+@pytest.mark.parametrize("name", sorted(QUERIES))
 def test_no_python_and_no_cross_join(spark, name):
-    plan = plan_of(entry_point.queries()[name](spark, SF), run=False)
+    plan = plan_of(QUERIES[name](spark, SF), run=False)
     assert [word for word in FORBIDDEN if word in plan] == []
 
 
@@ -76,6 +77,19 @@ def test_gaps_read_the_slots_once(sample):
     assert "ReadSchema: struct<site:string,slot_no:int>" in plan
 
 
+def test_quota_counts_copy_no_rows(sample):
+    plan = plan_of(integrity.quota_check(sample))
+    assert "Expand" not in plan and "ReadSchema: struct<site:string,slot_no:int>" in plan
+    assert "ReadSchema: struct<site:string,patient_id:string>" in plan and scans(plan) == 2
+
+
+def test_a_median_of_values_far_apart_sorts_few_buckets(spark):
+    """The first round's buckets stay few where every value is a magnitude of its own."""
+    rows = spark.range(200_000).select(F.pow(F.lit(10.0), F.col("id") % 600 - 300 + F.col("id") / 1e6).alias("v"))
+    buckets = rows.select(quantiles.magnitude(F.col("v"), quantiles.MAGNITUDE_BITS[0])).distinct().count()
+    assert buckets <= 11_360
+
+
 def test_scans_are_pruned_and_filters_pushed(spark, tagged):
     plan = plan_of(profile.discharge_quality(tagged))
     assert "ReadSchema: struct<snapshot:string,admit_ts:timestamp_ntz,discharge_ts:timestamp_ntz>" in plan

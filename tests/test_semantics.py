@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from cohortlens.functions import classify, dates, stats, text
-from cohortlens.operators import care, compare, compliance, distribution, integrity, profile, reconcile
+from cohortlens.operators import care, compare, compliance, distribution, integrity, profile, quantiles, reconcile
 from cohortlens.operators.dimensions import dimension_audit
 from cohortlens.operators.joins import null_safe_join
 from cohortlens.sources.dims import collector_dim, site_samples
@@ -355,6 +355,25 @@ def test_numeric_profile(spark):
     assert tuple(got) == ("old", 1.0, 3.0, 26.8, 100.0, 1, 1)
 
 
+def test_medians_of_far_apart_and_odd_values(spark):
+    inf, nan = float("inf"), float("nan")
+    cases = {
+        "a": [-1e300, -5.0, -1e-300, 0.0, 2.5, 7.0, 1e18], "b": [1e-9, 1e9], "c": [-inf, -3.0, -2.0, inf, inf],
+        None: [4.0, -4.0, 1.0, nan], "d": [2.0**53 + 2 * k for k in range(9)],
+    }
+    hist = spark.createDataFrame([(g, v, 1) for g, x in cases.items() for v in x], "g string, v double, n long")
+    got = {r["g"]: r["median"] for r in quantiles.weighted_median(hist, "g", "v", "n").collect()}
+    assert got == {"a": 0.0, "b": (1e-9 + 1e9) / 2, "c": -2.0, None: 2.5, "d": 2.0**53 + 8}
+
+
+def test_rows_without_a_snapshot_stay_apart(spark):
+    rows = [{"snapshot": "", "age_months": 3.0, "admit_ts": DAY, "discharge_ts": DAY}, {"age_months": 5.0}]
+    df = admissions(spark, rows).withColumn("snapshot", F.nullif("snapshot", F.lit("")))
+    got = by(profile.numeric_profile(df), "snapshot")
+    assert (got[None]["median"], got["old"]["median"]) == (3.0, 5.0)
+    assert by(profile.stay_stats(df), "snapshot")[None]["median_days"] == 0.0
+
+
 @pytest.mark.parametrize("kind", ["snapshot_overview", "discharge_quality", "stay_stats"])
 def test_profiles_of_one_sided_data(spark, kind):
     rows = [{"admit_ts": DAY, "discharge_ts": None}]
