@@ -16,10 +16,20 @@ from .profile import NEW, OLD
 from .reconcile import count_in
 
 
-def side_counts(tagged: DataFrame, *keys: str | Column) -> DataFrame:
-    """Rows of each snapshot per key: one shuffle, and NULL is a key like any other."""
+def in_snapshot(snapshot: str, weight: str | None) -> Column:
+    """Rows of a snapshot, or the rows that counted ones stand for."""
+    if weight is None:
+        return count_in(snapshot)
+    return F.sum(F.when(F.col("snapshot") == snapshot, F.col(weight)).otherwise(0))
+
+
+def side_counts(tagged: DataFrame, *keys: str | Column, weight: str | None = None) -> DataFrame:
+    """Rows of each snapshot per key: one shuffle, and NULL is a key like any other.
+
+    ``weight`` names the count of rows that were counted already.
+    """
     return tagged.groupBy(*keys).agg(
-        count_in(OLD).alias("n_old"), count_in(NEW).alias("n_new")
+        in_snapshot(OLD, weight).alias("n_old"), in_snapshot(NEW, weight).alias("n_new")
     )
 
 
@@ -27,18 +37,20 @@ def with_difference(counts: DataFrame) -> DataFrame:
     return counts.withColumn("difference", F.col("n_new") - F.col("n_old"))
 
 
-def category_diff(tagged: DataFrame, category: str) -> DataFrame:
+def category_diff(tagged: DataFrame, category: str, weight: str | None = None) -> DataFrame:
     """Counts per category of either snapshot and their difference."""
-    return with_difference(side_counts(tagged, category))
+    return with_difference(side_counts(tagged, category, weight=weight))
 
 
-def category_diff_share(tagged: DataFrame, category: str) -> DataFrame:
+def category_diff_share(
+    tagged: DataFrame, category: str, weight: str | None = None
+) -> DataFrame:
     """As ``category_diff`` with the share inside each snapshot.
 
     A category absent from a snapshot has count 0 but no share. The two totals are a
     scalar subquery over the same counts, whose shuffle Spark reuses.
     """
-    counts = side_counts(tagged, category)
+    counts = side_counts(tagged, category, weight=weight)
     totals = counts.agg(
         F.struct(F.sum("n_old").alias("n_old"), F.sum("n_new").alias("n_new"))
     ).scalar()
@@ -56,6 +68,7 @@ def dense_histogram_diff(
     value: str = "age_months",
     low: int = AGE_MONTHS_MIN,
     high: int = AGE_MONTHS_MAX,
+    weight: str | None = None,
 ) -> DataFrame:
     """Counts for every whole number low..high; other, missing or broken values fall out.
 
@@ -63,17 +76,47 @@ def dense_histogram_diff(
     """
     v = F.col(value)
     inside = tagged.filter(v.between(low, high) & (v == F.floor(v)))
-    counts = side_counts(inside, v.cast("int").alias(value))
+    counts = side_counts(inside, v.cast("int").alias(value), weight=weight)
     return with_difference(_on_spine(int_spine(tagged.sparkSession, low, high, value), counts, value))
 
 
 def codelist_coverage(
-    tagged: DataFrame, codes: Sequence[str] = STUDY_CODES, column: str = "dx"
+    tagged: DataFrame,
+    codes: Sequence[str] | DataFrame = STUDY_CODES,
+    column: str = "dx",
+    weight: str | None = None,
 ) -> DataFrame:
-    """Counts, difference and presence status for every code of a list."""
-    counts = side_counts(tagged.filter(F.col(column).isin(*codes)), column)
-    rows = with_difference(_on_spine(code_spine(tagged.sparkSession, codes, column), counts, column))
-    return rows.withColumn("status", presence_status(F.col("n_old") > 0, F.col("n_new") > 0))
+    """Counts, difference and presence status for every code of a list.
+
+    ``codes`` are hand-written, or a frame with a column of that name; null is no code.
+    They are stacked on the rows and counted together. So a list of any length takes one
+    shuffle of partial counts and no join, and a row's code is computed once.
+    """
+    if isinstance(codes, DataFrame):
+        spine = codes.select(column).filter(F.col(column).isNotNull())
+    else:
+        spine = code_spine(tagged.sparkSession, codes, column)
+    n = F.lit(1) if weight is None else F.col(weight)
+    rows = tagged.select(column, "snapshot", n.cast("long").alias("n"), F.lit(False).alias("listed"))
+    listed = spine.select(
+        column,
+        F.lit(None).cast("string").alias("snapshot"),
+        F.lit(0).cast("long").alias("n"),
+        F.lit(True).alias("listed"),
+    )
+    counts = (
+        rows.unionByName(listed)
+        .groupBy(column)
+        .agg(
+            in_snapshot(OLD, "n").alias("n_old"),
+            in_snapshot(NEW, "n").alias("n_new"),
+            F.bool_or("listed").alias("listed"),
+        )
+        .filter("listed")
+    )
+    return with_difference(counts.select(column, "n_old", "n_new")).withColumn(
+        "status", presence_status(F.col("n_old") > 0, F.col("n_new") > 0)
+    )
 
 
 def codelist_status_summary(coverage: DataFrame) -> DataFrame:

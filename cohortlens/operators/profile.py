@@ -60,6 +60,55 @@ def snapshot_quality(tagged: DataFrame) -> DataFrame:
     return snapshot_stats(tagged, {**overview_stats(), **discharge_stats()})
 
 
+def strata(tagged: DataFrame) -> DataFrame:
+    """Both quality profiles by snapshot, complexity, sex and code.
+
+    One scan for every table that asks about these columns: ``merged`` brings the
+    profiles back to a snapshot, and ``n_rows`` counts rows. As many rows as there are
+    combinations.
+    """
+    stats = {**overview_stats(), **discharge_stats()}
+    return tagged.groupBy("snapshot", "complexity", "sex", "dx").agg(
+        *[c.alias(name) for name, c in stats.items()]
+    )
+
+
+def merged(parts: DataFrame) -> DataFrame:
+    """Quality profiles of parts of the snapshots as those of whole snapshots."""
+
+    def over(name: str) -> Column:
+        if name in COUNT_METRICS:
+            return F.sum(name)
+        return F.min(name) if name.startswith("min_") else F.max(name)
+
+    names = list(dict.fromkeys(OVERVIEW_METRICS + DISCHARGE_METRICS))
+    return parts.groupBy("snapshot").agg(*[over(name).alias(name) for name in names])
+
+
+def age_counts(tagged: DataFrame, value: str = "age_months") -> DataFrame:
+    """Rows by snapshot and value."""
+    return tagged.groupBy("snapshot", value).agg(F.count(F.lit(1)).alias("n"))
+
+
+def stay_counts(tagged: DataFrame) -> DataFrame:
+    """Rows by snapshot, complexity and stay in microseconds."""
+    stay = span_micros(F.col("admit_ts"), F.col("discharge_ts"))
+    return tagged.groupBy("snapshot", "complexity", stay.alias("stay_us")).agg(
+        F.count(F.lit(1)).alias("n")
+    )
+
+
+def _stay(rows: DataFrame) -> Column:
+    if "stay_us" in rows.columns:
+        return F.col("stay_us")
+    return span_micros(F.col("admit_ts"), F.col("discharge_ts"))
+
+
+def _rows(weight: str | None) -> Column:
+    """Rows of a group, or the rows that counted ones stand for."""
+    return F.count(F.lit(1)) if weight is None else F.sum(weight)
+
+
 def indicator_table(
     per_snapshot: DataFrame, metrics: Sequence[str], cast: str = "double"
 ) -> DataFrame:
@@ -83,19 +132,23 @@ def indicator_table(
 
 
 def numeric_profile(
-    tagged: DataFrame, value: str = "age_months", limit: float = AGE_MONTHS_MAX
+    tagged: DataFrame,
+    value: str = "age_months",
+    limit: float = AGE_MONTHS_MAX,
+    weight: str | None = None,
 ) -> DataFrame:
     """Min, exact median, mean, max, missing values and values above a limit per snapshot.
 
     The rows are first counted by value, which bounds everything that follows by the
-    number of distinct values. Rows without a snapshot are one of their own.
+    number of distinct values. Rows without a snapshot are one of their own. ``weight``
+    names the count of rows that were counted already.
     """
     missing = F.col(value).isNull()
     hist = tagged.groupBy(
         "snapshot",
         missing.alias("missing"),
         F.coalesce(F.col(value), F.lit(0.0)).alias("v"),
-    ).agg(F.count(F.lit(1)).alias("n"))
+    ).agg(_rows(weight).alias("n"))
     v, n = F.when(~F.col("missing"), F.col("v")), F.col("n")
     known = F.when(F.col("missing"), 0).otherwise(n)
     stats = hist.groupBy("snapshot").agg(
@@ -111,19 +164,19 @@ def numeric_profile(
     )
 
 
-def stay_stats(tagged: DataFrame) -> DataFrame:
+def stay_stats(tagged: DataFrame, weight: str | None = None) -> DataFrame:
     """Min, exact median and max stay in days, zero and negative stays per snapshot.
 
     Rows without both dates do not count. Stays are whole microseconds until the end,
     so equality with zero and the median's order are exact. Rows without a snapshot are
-    one of their own.
+    one of their own. Takes ``stay_counts`` too, with ``weight`` n.
     """
-    stay = span_micros(F.col("admit_ts"), F.col("discharge_ts"))
+    stay = _stay(tagged)
     hist = tagged.groupBy(
         "snapshot",
         stay.isNull().alias("missing"),
         F.coalesce(stay, F.lit(0)).alias("v"),
-    ).agg(F.count(F.lit(1)).alias("n"))
+    ).agg(_rows(weight).alias("n"))
     v, n = F.when(~F.col("missing"), F.col("v")), F.col("n")
     stats = hist.groupBy("snapshot").agg(
         F.min(v).alias("min_us"),
@@ -144,19 +197,24 @@ def stay_stats(tagged: DataFrame) -> DataFrame:
 
 
 def long_stay_bins(
-    tagged: DataFrame, floor_days: int = LONG_STAY_FLOOR_DAYS, ranges=LONG_STAY_RANGES
+    tagged: DataFrame,
+    floor_days: int = LONG_STAY_FLOOR_DAYS,
+    ranges=LONG_STAY_RANGES,
+    weight: str | None = None,
 ) -> DataFrame:
-    """Stays above the floor by snapshot, right-closed range and complexity."""
-    stay = span_micros(F.col("admit_ts"), F.col("discharge_ts"))
+    """Stays above the floor by snapshot, right-closed range and complexity.
+
+    Takes ``stay_counts`` too, with ``weight`` n.
+    """
     return (
-        tagged.withColumn("stay_us", stay)
+        tagged.withColumn("stay_us", _stay(tagged))
         .filter(F.col("stay_us") > F.lit(floor_days * MICROS_PER_DAY))
         .groupBy(
             "snapshot",
             long_stay_range(F.col("stay_us"), ranges).alias("range_ord"),
             "complexity",
         )
-        .agg(F.count(F.lit(1)).alias("n"))
+        .agg(_rows(weight).alias("n"))
         .select(
             "snapshot",
             "range_ord",

@@ -28,38 +28,44 @@ ORDER = {
 
 def snapshot_tables(
     tagged: DataFrame,
-    codes: Sequence[str] = STUDY_CODES,
+    codes: Sequence[str] | DataFrame = STUDY_CODES,
     keep: Callable[[DataFrame, str], DataFrame] = lambda df, name: df,
 ) -> dict[str, DataFrame]:
     """All tables of the report.
 
-    ``keep`` may store the three frames that several tables start from; by default they
-    stay lazy and each table computes its own.
+    ``keep`` may store the frames that several tables start from: counts by event key, by
+    category and code, by age and by stay. No table reads the rows but through these four.
+    By default they stay lazy and each table computes its own.
     """
     keys = keep(reconcile.event_key_counts(tagged), "event-keys")
-    quality = keep(profile.snapshot_quality(tagged), "quality")
-    coverage = keep(compare.codelist_coverage(tagged, codes), "code-coverage")
+    strata = keep(profile.strata(tagged), "strata")
+    ages = keep(profile.age_counts(tagged), "ages")
+    stays = keep(profile.stay_counts(tagged), "stays")
+    quality = profile.merged(strata)
+    coverage = keep(compare.codelist_coverage(strata, codes, weight="n_rows"), "code-coverage")
     return {
         "overview": profile.indicator_table(quality, profile.OVERVIEW_METRICS, "string"),
         "duplicates": reconcile.duplicate_profile(keys),
         "duplicates_detail": reconcile.duplicate_detail(keys),
-        "complexity": compare.category_diff(tagged, "complexity"),
-        "age": profile.indicator_table(profile.numeric_profile(tagged), profile.NUMERIC_METRICS),
-        "age_distribution": compare.dense_histogram_diff(tagged),
+        "complexity": compare.category_diff(strata, "complexity", "n_rows"),
+        "age": profile.indicator_table(
+            profile.numeric_profile(ages, weight="n"), profile.NUMERIC_METRICS
+        ),
+        "age_distribution": compare.dense_histogram_diff(ages, weight="n"),
         "codes": coverage,
         "codes_summary": compare.codelist_status_summary(coverage),
         "codes_problems": compare.codelist_problems(coverage),
         "codes_common": compare.codelist_common(coverage),
         "discharge": profile.indicator_table(quality, profile.DISCHARGE_METRICS, "string"),
-        "stays": profile.stay_stats(tagged),
-        "long_stays": profile.long_stay_bins(tagged),
-        "sex": compare.category_diff_share(tagged, "sex"),
+        "stays": profile.stay_stats(stays, "n"),
+        "long_stays": profile.long_stay_bins(stays, weight="n"),
+        "sex": compare.category_diff_share(strata, "sex", "n_rows"),
         "crossing": reconcile.snapshot_reconcile(keys),
     }
 
 
 def write_snapshot_report(
-    tagged: DataFrame, root: str, fmt: str = "parquet", codes: Sequence[str] = STUDY_CODES
+    tagged: DataFrame, root: str, fmt: str = "parquet", codes: Sequence[str] | DataFrame = STUDY_CODES
 ) -> dict[str, str]:
     """Write the report. The harmonised rows and what several tables share is computed once."""
     with staging(tagged.sparkSession) as staged:
