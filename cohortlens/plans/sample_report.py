@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Mapping
+
 from pyspark.sql import DataFrame
 
-from ..constants import SUBGROUPS
+from ..constants import DURATION_CLASSES, SUBGROUPS
 from ..operators import distribution, ingest, integrity
 from ..sources.sinks import staging, write_report
 
@@ -24,6 +26,13 @@ ORDER = {
     "group_3": _BY_SITE,
 }
 
+# Names shown to readers: the cells of a duration class have its label.
+_DURATION = {
+    "site": "Centro",
+    **{f"bin_{i}_text": label for i, (_, label) in enumerate(DURATION_CLASSES, 1)},
+}
+HEADERS = {"duration_group_1_original": _DURATION, "duration_group_1": _DURATION}
+
 
 def sample_tables(events: DataFrame) -> dict[str, DataFrame]:
     """All tables of the report from the unique events."""
@@ -46,8 +55,16 @@ def sample_tables(events: DataFrame) -> dict[str, DataFrame]:
     }
 
 
-def write_sample_report(sample: DataFrame, root: str, fmt: str = "parquet") -> dict[str, str]:
-    """Write the report. The unique events are computed once."""
+def write_sample_report(
+    sample: DataFrame,
+    root: str,
+    fmt: str = "parquet",
+    headers: Mapping[str, Mapping[str, str]] | None = None,
+) -> dict[str, str]:
+    """Write the report. The unique events are computed once.
+
+    Pass ``HEADERS`` for the columns' display names.
+    """
     with staging(sample.sparkSession) as staged:
         events = staged(ingest.unique_events(sample), "unique-events")
-        return write_report(sample_tables(events), root, fmt, ORDER)
+        return write_report(sample_tables(events), root, fmt, ORDER, headers)

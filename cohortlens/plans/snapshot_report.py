@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from ..constants import STUDY_CODES
+from ..functions.text import thousands
 from ..operators import compare, profile, reconcile
 from ..sources.sinks import staging, write_report
 
@@ -25,6 +27,40 @@ ORDER = {
     "sex": ["sex"],
 }
 
+# Names shown to readers. Fixed values.
+_COUNTS = {"n_old": "n old", "n_new": "n new", "difference": "Diferencia"}
+_BASES = {"old": "Base old", "new": "Base new"}
+HEADERS = {
+    "overview": {"indicator": "Elemento", **_BASES},
+    "duplicates": {
+        "snapshot": "Base",
+        "n_rows": "Total registros",
+        "unique_keys": "Combinaciones únicas",
+        "duplicated_keys": "Combinaciones duplicadas",
+        "rows_in_duplicates": "Registros en duplicados",
+        "max_repeats": "Máx. repeticiones",
+    },
+    "duplicates_detail": {
+        "snapshot": "Base",
+        "person_type": "Tipo documento",
+        "person_id": "Documento",
+        "admit_ts": "Fecha ingreso",
+        "n_times": "Veces repetido",
+    },
+    "age": {"indicator": "Indicador", **_BASES},
+    "age_distribution": {"age_months": "Edad (meses)", **_COUNTS},
+    "codes_common": {"dx": "Código CIE-10", **_COUNTS},
+    "discharge": {"indicator": "Indicador", **_BASES},
+}
+
+
+def shown_overview(overview: DataFrame) -> DataFrame:
+    """The overview with thousands separators in the numbers of rows."""
+    counted = F.col("indicator") == "n_rows"
+    return overview.withColumns(
+        {c: F.when(counted, thousands(F.col(c).try_cast("long"))).otherwise(F.col(c)) for c in ("old", "new")}
+    )
+
 
 def snapshot_tables(
     tagged: DataFrame,
@@ -44,7 +80,9 @@ def snapshot_tables(
     quality = profile.merged(strata)
     coverage = keep(compare.codelist_coverage(strata, codes, weight="n_rows"), "code-coverage")
     return {
-        "overview": profile.indicator_table(quality, profile.OVERVIEW_METRICS, "string"),
+        "overview": shown_overview(
+            profile.indicator_table(quality, profile.OVERVIEW_METRICS, "string")
+        ),
         "duplicates": reconcile.duplicate_profile(keys),
         "duplicates_detail": reconcile.duplicate_detail(keys),
         "complexity": compare.category_diff(strata, "complexity", "n_rows"),
@@ -65,9 +103,16 @@ def snapshot_tables(
 
 
 def write_snapshot_report(
-    tagged: DataFrame, root: str, fmt: str = "parquet", codes: Sequence[str] | DataFrame = STUDY_CODES
+    tagged: DataFrame,
+    root: str,
+    fmt: str = "parquet",
+    codes: Sequence[str] | DataFrame = STUDY_CODES,
+    headers: Mapping[str, Mapping[str, str]] | None = None,
 ) -> dict[str, str]:
-    """Write the report. The harmonised rows and what several tables share is computed once."""
+    """Write the report. The harmonised rows and what several tables share is computed once.
+
+    Pass ``HEADERS`` for the columns' display names.
+    """
     with staging(tagged.sparkSession) as staged:
         rows = staged(tagged, "snapshots")
-        return write_report(snapshot_tables(rows, codes, staged), root, fmt, ORDER)
+        return write_report(snapshot_tables(rows, codes, staged), root, fmt, ORDER, headers)

@@ -17,6 +17,50 @@ ORDER = {
     "max_care_level": ["row_ord", "site", "collector"],
 }
 
+# Names shown to readers. Fixed values.
+_PERSON = {"submission_id": "ID participante", "collector": "Médico", "site": "Centro"}
+_EVENT = {**_PERSON, "event_index": "Evento (index)", "event_start": "Fecha inicio evento"}
+HEADERS = {
+    "site_compliance": {
+        "site": "Centro participante",
+        "sample_text": "Muestra estimada (n, %)",
+        "patients_text": "Pacientes ingresados a Kobotoolbox (n, %)",
+        "events_text": "Eventos ingresados a Kobotoolbox (n)",
+        "compliance_text": "Cumplimiento muestra estimada (%)",
+    },
+    "collector_compliance": {
+        "display": "Médico",
+        "site": "Centro",
+        "weekly_target": "Meta semanal",
+        "last_week": "Última semana (n)",
+        "pct_week_text": "Cumplimiento semana (%)",
+        "total": "Total acumulado (n)",
+        "pct_total_text": "Cumplimiento acumulado (%)",
+    },
+    "error_summary": {
+        "error_type": "Tipo de error",
+        "n_affected": "Registros afectados (n)",
+        "status": "Estado",
+    },
+    "birth_after_event": {**_EVENT, "birth_date": "Fecha nacimiento"},
+    "age_out_of_range": {**_EVENT, "birth_date": "Fecha nacimiento", "age_months": "Edad (meses)"},
+    "events_without_care": {**_EVENT, "event_end": "Fecha fin evento"},
+    "patients_without_care": {
+        **_PERSON,
+        "n_events": "Eventos totales",
+        "n_events_without_care": "Eventos sin estancia",
+    },
+    "max_care_level": {
+        "site": "Centro",
+        "collector": "Médico",
+        "total": "Total episodios",
+        "emergency_text": "Urgencias",
+        "general_ward_text": "Hosp. general",
+        "intermediate_text": "C. intermedios",
+        "icu_text": "UCI",
+    },
+}
+
 
 def weekly_tables(
     enrolment: DataFrame,
@@ -43,9 +87,17 @@ def weekly_tables(
     }
 
 
-def write_weekly_report(root: str, fmt: str = "parquet", **inputs) -> dict[str, str]:
-    """Write the report. Every table reads its stored input; nothing is worth staging."""
+def write_weekly_report(
+    root: str,
+    fmt: str = "parquet",
+    headers: Mapping[str, Mapping[str, str]] | None = None,
+    **inputs,
+) -> dict[str, str]:
+    """Write the report. Every table reads its stored input; nothing is worth staging.
+
+    Pass ``HEADERS`` for the columns' display names.
+    """
     order = {**ORDER}
     for listing in ("birth_after_event", "age_out_of_range", "events_without_care"):
         order[listing] = ["submission_id", "event_index"]
-    return write_report(weekly_tables(**inputs), root, fmt, order)
+    return write_report(weekly_tables(**inputs), root, fmt, order, headers)

@@ -45,13 +45,16 @@ def write_report(
     root: str,
     fmt: str = "parquet",
     order_by: Mapping[str, Sequence[str]] | None = None,
-    headers: Mapping[str, str] | None = None,
+    headers: Mapping[str, Mapping[str, str]] | None = None,
 ) -> dict[str, str]:
-    """Write every table of a report below ``root`` and return the paths."""
-    orders = order_by or {}
+    """Write every table of a report below ``root`` and return the paths.
+
+    ``headers`` gives a table's columns the names shown to readers.
+    """
+    orders, shown = order_by or {}, headers or {}
     paths = {name: f"{root.rstrip('/')}/{name}" for name in tables}
     for name, df in tables.items():
-        write_table(df, paths[name], fmt, orders.get(name, ()), headers)
+        write_table(df, paths[name], fmt, orders.get(name, ()), shown.get(name))
     return paths
 
 

@@ -11,7 +11,8 @@ import __spark_entry__ as entry_point
 from cohortlens.fixtures import views
 from cohortlens.fixtures.registry import QUERIES
 from cohortlens.operators import compare, distribution, integrity, profile, quantiles, reconcile
-from tests.helpers import plan_of
+from cohortlens.plans import snapshot_report
+from tests.helpers import plan_of, rows_of
 
 SF = "/root/testdata/sf0.001"
 FORBIDDEN = ["CartesianProduct", "BroadcastNestedLoopJoin", "Python", "ArrowEval", "Scan ExistingRDD"]
@@ -71,6 +72,29 @@ def test_totals_reuse_the_aggregate(sample):
         assert scans(plan) == 1 and "ReusedExchange" in plan
 
 
+def test_the_snapshot_report_reads_the_rows_four_times(tagged, tmp_path):
+    source, plans = set(tagged.inputFiles()), []
+
+    def keep(df, name):
+        if source & set(df.inputFiles()):
+            plans.append(plan_of(df, run=False))
+        df.write.parquet(str(tmp_path / name))
+        return df.sparkSession.read.schema(df.schema).parquet(str(tmp_path / name))
+
+    tables = snapshot_report.snapshot_tables(tagged, views.CODES, keep)
+    assert sum(map(scans, plans)) == len(plans) == 4
+    assert not any(source & set(t.inputFiles()) for t in tables.values())
+
+
+def test_code_lists_need_no_join_and_clean_a_code_once(spark, tagged):
+    raw = tagged.withColumn("dx", F.upper(F.btrim("dx")))
+    listed = spark.createDataFrame([(c,) for c in (*views.CODES, None)], "dx string")
+    plan = plan_of(compare.codelist_coverage(raw, views.CODES))
+    assert "Join" not in plan and plan.count("upper(") == 1 and scans(plan) == 1
+    got = compare.codelist_coverage(tagged, listed)
+    assert rows_of(got) == rows_of(compare.codelist_coverage(tagged, views.CODES))
+
+
 def test_gaps_read_the_slots_once(sample):
     plan = plan_of(integrity.sequence_gaps(sample))
     assert scans(plan) == 1

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from cohortlens.constants import STUDY_CODES
 from cohortlens.fixtures import views
-from cohortlens.operators import ingest
+from cohortlens.operators import compare, ingest, profile
 from cohortlens.plans import sample_report, snapshot_report, weekly_report
 from cohortlens.sources import dims, readers, sinks
 from cohortlens.sources.schemas import NEW_EXTRACT, OLD_EXTRACT, SAMPLE_SCHEMA, SNAPSHOT_SCHEMA
@@ -117,6 +117,32 @@ def test_snapshot_report(spark, tmp_path):
     assert set(paths) == set(tables) and set(snapshot_report.ORDER) <= set(tables)
     for name in ("crossing", "stays", "age", "sex", "overview", "discharge", "duplicates_detail"):
         assert rows_of(spark.read.parquet(paths[name])) == rows_of(tables[name])
+    # from counts as from the rows
+    assert rows_of(tables["discharge"]) == rows_of(
+        profile.indicator_table(profile.discharge_quality(tagged), profile.DISCHARGE_METRICS, "string")
+    )
+    for name, want in {
+        "codes": compare.codelist_coverage(tagged, views.CODES),
+        "complexity": compare.category_diff(tagged, "complexity"),
+        "sex": compare.category_diff_share(tagged, "sex"),
+        "age": profile.indicator_table(profile.numeric_profile(tagged), profile.NUMERIC_METRICS),
+        "age_distribution": compare.dense_histogram_diff(tagged),
+        "stays": profile.stay_stats(tagged),
+        "long_stays": profile.long_stay_bins(tagged),
+    }.items():
+        assert rows_of(tables[name]) == rows_of(want), name
+    shown = {r["indicator"]: r for r in tables["overview"].collect()}
+    assert shown["n_rows"]["old"] == f"{tagged.filter("snapshot = 'old'").count():,}"
+
+
+def test_reports_show_display_names(spark, tmp_path):
+    sample = spark.createDataFrame(views.sample(spark, SF).limit(40).collect(), SAMPLE_SCHEMA)
+    paths = sample_report.write_sample_report(sample, str(tmp_path / "s"), headers=sample_report.HEADERS)
+    shown = spark.read.parquet(paths["duration_group_1"]).columns
+    assert {"Centro", "≤ 1 mes", "1 a 2 meses", "2 a 3 meses", "> 3 meses"} <= set(shown)
+    assert "site" in spark.read.parquet(paths["group_2"]).columns
+    for report in (snapshot_report, weekly_report, sample_report):
+        assert all(len(set(names.values())) == len(names) for names in report.HEADERS.values())
 
 
 def test_sample_report(spark, tmp_path):
@@ -138,7 +164,10 @@ def test_weekly_report(spark, tmp_path):
         site_labels=views.SITE_LABELS,
         cutoff=dt.date(2024, 1, 21),
         patient_keys=["patient_id"],
+        headers={"max_care_level": weekly_report.HEADERS["max_care_level"]},
     )
+    levels = spark.read.parquet(paths["max_care_level"]).columns
+    assert {"Centro", "Médico", "Total episodios", "Urgencias", "Hosp. general", "C. intermedios", "UCI"} <= set(levels)
     assert set(weekly_report.ORDER) <= set(paths) and len(paths) == 9
     shown = spark.read.parquet(paths["collector_compliance"])
     assert shown.filter("row_ord = 1").count() == 1
