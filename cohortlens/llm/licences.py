@@ -48,8 +48,17 @@ TEMPLATES = {
     "CC0-1.0": ["CC0 1.0 Universal. To the extent possible under law, the author has waived all copyright and related rights to this work."],
 }
 
-#: A block of lines counts as a licence from this cosine on.
+# Identifiers of an SPDX line. Its words must all be there.
+SPDX = "SPDX-License-Identifier:"
+for _name in TEMPLATES:
+    TEMPLATES[_name].append(f"{SPDX} {_name}")
+
+#: A block of lines, or a window of words, counts as a licence from this cosine on.
 LEAST = 0.6
+#: Words that a smaller share of the files holds, and words of no template, weigh as if this share did.
+RAREST = 1e-4
+#: Lengths of word windows as shares of a template's length, and windows compared at once.
+WINDOWS, AT_ONCE = (1.0, 0.75), 1024
 #: Share of a file's words in its licence block from which it is a licence file.
 FILE_SHARE = 0.5
 _LINE = np.arange(256) != 10
@@ -60,13 +69,37 @@ def _term_numbers(terms: np.ndarray, h: np.ndarray) -> np.ndarray:
     return np.where(terms[at] == h, at, -1)
 
 
-def _template_terms(templates: dict[str, list[str]]) -> tuple[np.ndarray, list[str], list[np.ndarray]]:
+def _template_terms(templates: dict[str, list[str]], least: float) -> tuple[np.ndarray, list[str], np.ndarray, list[np.ndarray]]:
+    """All terms; of each template its licence, the cosine it needs and its words' hashes."""
     names = [n for n, texts in templates.items() for _ in texts]
+    needs = np.array([max(least, 1 - 1e-6) if t.startswith(SPDX) else least for texts in templates.values() for t in texts])
     rows = []
     for w in words_of(pa.array([t for texts in templates.values() for t in texts]), ALNUM, 1 << 30):
         h, bounds = hashed(w.data, w.starts, w.ends), w.bounds()
         rows = [h[a:b] for a, b in zip(bounds, bounds[1:])]
-    return np.unique(np.concatenate(rows)), names, rows
+    return np.unique(np.concatenate(rows)), names, needs, rows
+
+
+def _windows(at: np.ndarray, counts: np.ndarray, size: int, gains: np.ndarray, squares: np.ndarray, least: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Starts of windows of ``size`` words inside a row that may reach ``least``, and their cosines.
+
+    ``gains``: what a term adds to the product with each template; ``squares``: of the
+    terms' weights. Of both the last row is that of a word of no template. A window is at
+    least as long as its words' single weights, which bounds its cosines.
+    """
+    if len(at) < size:
+        return
+    best = gains.max(axis=1)
+    product, square = (np.concatenate(([0.0], np.cumsum(x[at]))) for x in (best, squares))
+    row = np.repeat(np.arange(len(counts)), counts)
+    likely = row[size - 1 :] == row[: len(row) - size + 1]
+    likely &= product[size:] - product[:-size] + 1e-6 >= least * np.sqrt(np.maximum(square[size:] - square[:-size], 0))
+    starts = np.flatnonzero(likely)
+    for k in range(0, len(starts), AT_ONCE):
+        some = starts[k : k + AT_ONCE]
+        words = at[some[:, None] + np.arange(size)]
+        times = np.where(words >= 0, (words[:, :, None] == words[:, None, :]).sum(axis=2), 1)
+        yield some, gains[words].sum(axis=1) / np.sqrt((squares[words] * times).sum(axis=1))[:, None]
 
 
 def document_counts(files: DataFrame, terms: np.ndarray) -> tuple[int, np.ndarray]:
@@ -92,27 +125,37 @@ def document_counts(files: DataFrame, terms: np.ndarray) -> tuple[int, np.ndarra
 def matched(files: DataFrame, templates: dict[str, list[str]], least: float = LEAST) -> DataFrame:
     """``files`` (path, text and others; without the text) with the best block of each file.
 
-    A block is a line, or a stretch of up to four lines that all hold words of the
-    templates. Its TF-IDF vector over all its words, with document frequencies of all files,
-    is compared to each template's. ``own_licence, cosine, share``: the best template, if
-    the cosine reaches ``least``, and the share of the file's words in the block.
+    A block is a line, a stretch of up to four lines that all hold words of the templates,
+    or a window of about a template's length anywhere in the text, so what stands around a
+    notice, a copyright say, takes nothing from it. Its TF-IDF vector over all its words is
+    compared to each template's. Weights come from the share of the files that hold a term,
+    at least ``RAREST``: more files of the same kind change no weight and no answer.
+    ``own_licence, cosine, share``: the best template, if the cosine reaches ``least``, and
+    the share of the file's words in its best stretch of lines and all windows that reach it.
     """
-    terms, names, rows = _template_terms(templates)
+    terms, names, needs, rows = _template_terms(templates, least)
     total, df = document_counts(files, terms)
-    idf = np.log((1 + total) / (1 + df)) + 1
-    other = np.log(1.0 + total) + 1  # a word of no template, as if in no other file
+    idf = 1 - np.log(np.maximum(df / max(1, total), RAREST))
+    other = 1 - np.log(RAREST)  # a word of no template
     vectors = np.zeros((len(rows), len(terms)))
     for k, h in enumerate(rows):
         np.add.at(vectors[k], np.searchsorted(terms, h), 1)
     vectors *= idf
     vectors /= np.linalg.norm(vectors, axis=1, keepdims=True)
     kept = [c for c in files.columns if c != "text"]
+    lengths: dict[int, list[int]] = {}
+    for k, h in enumerate(rows):
+        for size in {int(np.ceil(x * len(h))) for x in WINDOWS if needs[k] == least or x == 1}:
+            lengths.setdefault(size, []).append(k)
+    gains = np.vstack(((vectors * idf).T, np.zeros(len(rows))))
+    squares = np.append(idf, other) ** 2
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             column = batch.column("text")
             own = batch.select(kept)
-            best = [(None, 0.0, 0.0)] * batch.num_rows
+            best = [(None, 0.0)] * batch.num_rows
+            share = np.zeros(batch.num_rows)
             for w, lines in zip(words_of(column, ALNUM), words_of(column, _LINE)):
                 at = _term_numbers(terms, hashed(w.data, w.starts, w.ends))
                 line = np.searchsorted(lines.starts, w.starts, "right") - 1
@@ -126,6 +169,7 @@ def matched(files: DataFrame, templates: dict[str, list[str]], least: float = LE
                 line_row = np.repeat(np.arange(len(lines.counts)), lines.counts)
                 cut = np.searchsorted(line, np.arange(n_lines + 1))
                 hot_set = set(hot.tolist())
+                inside, found = np.zeros(len(at) + 1, np.int64), {}  # where blocks begin and end; the best stretch of a row
                 for first in hot.tolist():
                     row = line_row[first]
                     last = first
@@ -134,15 +178,30 @@ def matched(files: DataFrame, templates: dict[str, list[str]], least: float = LE
                         v = np.bincount(words[words >= 0], minlength=len(terms)) * idf
                         norm = np.sqrt((v**2).sum() + (words < 0).sum() * other**2)
                         cos = vectors @ v / max(norm, 1e-12)
-                        top = int(cos.argmax())
-                        if cos[top] >= least and cos[top] > best[w.first + row][1] + 1e-12:
-                            best[w.first + row] = (names[top], float(cos[top]), len(words) / w.counts[row])
+                        top = int(np.where(cos >= needs, cos, -1).argmax())
+                        if cos[top] >= needs[top] and cos[top] > best[w.first + row][1] + 1e-12:
+                            best[w.first + row] = (names[top], float(cos[top]))
+                            found[row] = (cut[first], cut[last + 1])
                         last += 1
                         if last - first >= 4 or last not in hot_set or line_row[last] != row:
                             break
-            kinds = (pa.string(), pa.float64(), pa.float64())
+                bounds = w.bounds()
+                for size, ks in lengths.items():
+                    for starts, cos in _windows(at, w.counts, size, gains[:, ks], squares, least):
+                        cos = np.where(cos >= needs[ks], cos, 0)
+                        top = cos.argmax(axis=1)
+                        cos = cos[np.arange(len(top)), top]
+                        for k in np.flatnonzero(cos > 0):
+                            row = int(np.searchsorted(bounds, starts[k], "right")) - 1
+                            np.add.at(inside, [starts[k], starts[k] + size], [1, -1])
+                            if cos[k] > best[w.first + row][1] + 1e-12:
+                                best[w.first + row] = (names[ks[top[k]]], float(cos[k]))
+                for a, b in found.values():
+                    np.add.at(inside, [a, b], [1, -1])
+                counted = np.concatenate(([0], np.cumsum(np.cumsum(inside[:-1]) > 0)))
+                share[w.first : w.first + len(w.counts)] = np.diff(counted[bounds]) / np.maximum(w.counts, 1)
             yield pa.record_batch(
-                [*own.columns, *(pa.array([b[k] for b in best], t) for k, t in enumerate(kinds))],
+                [*own.columns, pa.array([b[0] for b in best], pa.string()), pa.array([b[1] for b in best], pa.float64()), pa.array(share)],
                 [*kept, "own_licence", "cosine", "share"],
             )
 

@@ -120,6 +120,32 @@ def test_licence_lines_of_documents(spark):
         assert {k for k, v in marks.items() if v in text[r.doc_id]} == {r.own_licence} - {None}
 
 
+def test_licences_do_not_depend_on_the_number_of_files(spark, monkeypatch):
+    lines = [
+        ("MIT", "foolib is released under the MIT License."),
+        ("MIT", "This file is released under the MIT License."),
+        ("Apache-2.0", "Copyright Jane Roe. Licensed under the Apache License, Version 2.0."),
+        ("MIT", f"{prose(40, 1)} Released under the MIT License. {prose(40, 2)}"),
+        ("GPL-2.0", "// SPDX-License-Identifier: GPL-2.0"), ("CC-BY-SA-4.0", "SPDX-License-Identifier: CC-BY-SA-4.0 (c) Jane Roe"),
+        ("BSD-3-Clause", "SPDX-License-Identifier: BSD-3-Clause"), (None, "SPDX-License-Identifier: Foo"), (None, "SPDX-License-Identifier: AGPL-3.0"),
+        (None, prose(60, 3)), (None, "The terms of use and the conditions of the work."),
+        ("Apache-2.0", licences.TEMPLATES["Apache-2.0"][1].replace(" ", "\n", 6) + " " + prose(90, 4)),
+    ]
+    files = spark.createDataFrame([(str(k), t) for k, (_, t) in enumerate(lines)], "path string, text string")
+    counts, seen = licences.document_counts, []
+    for times in (1, 1000, 1000000):
+        monkeypatch.setattr(licences, "document_counts", lambda f, t: tuple(times * x for x in counts(f, t)))
+        seen.append({int(r.path): (r.own_licence, round(r.cosine, 9)) for r in licences.matched(files, licences.TEMPLATES).collect()})
+        assert [seen[-1][k][0] for k in range(len(lines))] == [name for name, _ in lines]
+    assert seen[0] == seen[1] == seen[2]
+
+    # the weights of a corpus in which the templates' words are in a tenth of the files, and grows
+    for total in (10**3, 10**6, 10**9):
+        monkeypatch.setattr(licences, "document_counts", lambda f, t: (total, np.full(len(t), total / 10)))
+        got = {int(r.path): r.own_licence for r in licences.matched(files, licences.TEMPLATES).collect()}
+        assert [got[k] for k in range(len(lines))] == [name for name, _ in lines]
+
+
 # language
 
 
