@@ -246,6 +246,23 @@ def test_html_text_by_line_blocks_alone():
     assert [g[-2:] for g in got] == [f"{k}." for k in range(6)]
 
 
+@pytest.mark.parametrize(
+    "names", ["class='content has-sidebar'", "class=with-sidebar", "class=content-sidebar-wrap", "class=no-comments", "id=header-and-content"]
+)
+def test_html_text_in_wrappers_named_like_what_stands_beside(names):
+    for tag in ("article", "main", "section"):
+        page = f"<body><div class=nav-menu><p>Menu</div><div {names}><{tag}><p>First one.<p>Second one.</{tag}></div><div id=comment-list><p>Reader</div>"
+        assert html_text.main_text(page) == "First one.\n\nSecond one.", tag
+
+
+def test_html_text_article_ends_an_open_mark():
+    for before in ("<div class=ad>Buy", "<div class='ad ad-300x250'><p>Buy", "<aside>Buy", "<div class=comments>", "<form>", "<div class=sidebar>"):
+        assert html_text.main_text(f"<body>{before}<article><p>First<div class=ad>Ad</div><p>Second</article>") == "First\n\nSecond", before
+    beside = "<aside><article>Teaser</article></aside><ol class=comment-list><li><article class=comment-body>Reader</article></ol>"
+    article = "<article><p>First</p><section class=comments><article>Reader</article></section></article>"
+    assert html_text.main_text(f"<body>{beside}{article}{beside}<article class=ad>Buy</article>") == "First"
+
+
 def test_html_text_of_odd_rows(spark):
     rows = [(1, "u", None), (1, "u", None), (2, None, ""), (3, "u", "<p>open <b>text"), (None, "u", "&am"), (5, "u", "<article></article>"), (6, "u", "<" * 5000)]
     pages = spark.createDataFrame([(*r, 9) for r in rows], "page_id long, url string, html string, text int")
