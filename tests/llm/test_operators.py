@@ -263,6 +263,18 @@ def test_html_text_article_ends_an_open_mark():
     assert html_text.main_text(f"<body>{beside}{article}{beside}<article class=ad>Buy</article>") == "First"
 
 
+def test_html_text_keeps_every_stretch():
+    links = "".join(f"<li><a href=x>Link number {k}</a></li>" for k in range(5))
+    half = lambda a, b: "".join(f"<p>{'word ' * 30}{k}.</p>" for k in range(a, b))
+    ends = lambda page: [g[-2:] for g in html_text.main_text(page).split("\n\n")]
+    want = [f"{k}." for k in range(6)]
+    assert ends(f"<body><ul>{links}</ul>{half(0, 3)}<ul>{links}</ul>{half(3, 6)}<ul>{links}</ul>") == want
+    assert ends(f"<body><p>{'long ' * 2000}0.</p><ul>{links}</ul>{half(1, 6)}") == want
+    assert ends(f"<body><article>{half(0, 2)}</article>{'<div>Between</div>' * 4}<article>{half(2, 6)}</article>") == want
+    label = "<p>See:</p><div><a href=x>A long link that says much</a></div><p>And:</p>"
+    assert ends(f"<body>{half(0, 6)}<ul>{links}</ul>{label}<ul>{links}</ul>") == want
+
+
 def test_html_text_of_odd_rows(spark):
     rows = [(1, "u", None), (1, "u", None), (2, None, ""), (3, "u", "<p>open <b>text"), (None, "u", "&am"), (5, "u", "<article></article>"), (6, "u", "<" * 5000)]
     pages = spark.createDataFrame([(*r, 9) for r in rows], "page_id long, url string, html string, text int")
