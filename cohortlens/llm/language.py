@@ -195,11 +195,11 @@ def trained(rows: DataFrame, sample_rows: int = SAMPLE_ROWS) -> Model | None:
     return fit(np.array([x for v in by_lang.values() for x in v], np.float64), langs)
 
 
-def identified(docs: DataFrame, model: Model | None) -> DataFrame:
+def identified(docs: DataFrame, model: Model | None, unnamed: str | None = UNKNOWN) -> DataFrame:
     """``docs`` with ``lang_pred`` and ``score``, from the whole text alone.
 
-    Null texts, texts without a letter and all texts where there is no model: ``und``,
-    score 0. Columns of these names are replaced.
+    Null texts and texts without a letter: ``und``, score 0. Where there is no model, all
+    others: ``unnamed``, score 0. Columns of these names are replaced.
     """
     from pyspark.sql import types as T
 
@@ -211,7 +211,7 @@ def identified(docs: DataFrame, model: Model | None) -> DataFrame:
             own = batch.select(kept)
             for at, texts in text_slices(column):
                 x, has = features(texts)
-                names, score = predict(model, x) if model else ([UNKNOWN] * len(texts), np.zeros(len(texts)))
+                names, score = predict(model, x) if model else ([unnamed] * len(texts), np.zeros(len(texts)))
                 names = [n if h else UNKNOWN for n, h in zip(names, has)]
                 yield pa.record_batch(
                     [*own.slice(at, len(texts)).columns, pa.array(names, pa.string()), pa.array(np.where(has, score, 0.0))],
@@ -234,8 +234,12 @@ def languages(docs: DataFrame) -> DataFrame:
 
 
 def in_known_language(docs: DataFrame) -> DataFrame:
-    """``docs`` without those that no language is found for (``und``)."""
+    """``docs`` without those that have no letter; a null ``lang`` becomes the predicted one.
+
+    Without any labelled row there is no model: the same rows stay and ``lang`` stays null.
+    """
     model = trained(docs.filter(~is_held_out(F.col("doc_id"), 4, 2)))
     names = {c: f"own {c}" for c in ("lang_pred", "score") if c in docs.columns}
-    found = identified(docs.withColumnsRenamed(names), model).filter(F.col("lang_pred") != UNKNOWN)
+    found = identified(docs.withColumnsRenamed(names), model, unnamed=None).filter(~F.col("lang_pred").eqNullSafe(UNKNOWN))
+    found = found.withColumn("lang", F.coalesce("lang", "lang_pred"))
     return found.drop("lang_pred", "score").withColumnsRenamed({b: a for a, b in names.items()}).select(*docs.columns)

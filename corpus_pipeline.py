@@ -13,7 +13,7 @@ from cohortlens.llm.stage import staged, table
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that a language is found for."""
+    """Documents with a letter; those without a language get the predicted one."""
     return in_known_language(docs)
 
 

@@ -172,6 +172,19 @@ def test_language_of_odd_texts(spark):
     assert {r.lang_pred for r in language.languages(unlabelled).collect()} == {"und"}
 
 
+def test_language_stage_without_labels_and_with_some(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text", "lang")
+    odd = spark.createDataFrame([(-1, None, None), (-2, "12 !?", None), (-3, "a word", None)], docs.schema)
+    unlabelled = docs.withColumn("lang", F.lit(None).cast("string")).union(odd)
+    kept = language.in_known_language(unlabelled).collect()
+    assert len(kept) == docs.count() + 1 and {r.lang for r in kept} == {None}
+    true = {r.doc_id: r.lang for r in docs.collect()}
+    some = docs.withColumn("lang", F.when(F.col("doc_id") % 5 != 0, F.col("lang")))
+    got = language.in_known_language(some).collect()
+    assert len(got) == len(true) and np.mean([r.lang == true[r.doc_id] for r in got]) > 0.95
+    assert all(r.lang == true[r.doc_id] for r in got if r.doc_id % 5)
+
+
 # quality
 
 
