@@ -403,3 +403,22 @@ def without_near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -
     """``docs`` without the rows that aren't kept."""
     gone = near_duplicates(docs, size, percent).filter("not kept").select("doc_id").distinct()
     return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+
+
+def one_of_each(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
+    """``docs`` with one row of each group of near-duplicates, also among rows without an id of their own.
+
+    Where every row has its own doc_id, these are the rows that ``near_duplicates`` keeps.
+    Otherwise each row is a node by itself, known by a number. The row with the smallest
+    doc_id of a group stays, a null one last. Rows without a word all stay.
+    """
+    ids = docs.groupBy("doc_id").agg(F.count("*").alias("n"))
+    if ids.filter("doc_id is null or n > 1").isEmpty():
+        return without_near_duplicates(docs, size, percent)
+    rows = staged(docs.withColumn("own row", F.monotonically_increasing_id()), "rows")
+    nodes = rows.select(F.col("own row").alias("doc_id"), "text")
+    found = near_duplicates(nodes, size, percent).select(F.col("doc_id").alias("own row"), "component_id")
+    order = F.struct(F.col("doc_id").isNull(), "doc_id", F.xxhash64("text"), "own row")
+    named = found.join(rows.select("own row", order.alias("order")), "own row")
+    first = named.groupBy("component_id").agg(F.min("order").alias("order")).select(F.col("order.own row"))
+    return rows.join(first, "own row", "left_semi").select(*docs.columns)

@@ -8,7 +8,7 @@ from cohortlens.llm.byte_bpe import decoded, encoded, split_pattern, vocabulary
 from cohortlens.llm.decontaminate import without_contaminated
 from cohortlens.llm.language import in_known_language
 from cohortlens.llm.line_dedup import without_repeated_lines
-from cohortlens.llm.near_dedup import without_near_duplicates
+from cohortlens.llm.near_dedup import one_of_each
 from cohortlens.llm.stage import staged, table
 
 
@@ -23,8 +23,8 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates (five words, 0.8)."""
-    return without_near_duplicates(docs)
+    """One document of each group of near-duplicates (five words, 0.8), whatever its id."""
+    return one_of_each(docs)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -386,6 +386,19 @@ def test_near_duplicates_of_repeated_and_null_ids(spark):
     assert near_dedup.near_duplicates(docs.limit(0)).isEmpty()
 
 
+def test_one_row_of_each_group_stays_whatever_its_id(spark):
+    a, b, c = prose(60, 1), prose(60, 2), prose(60, 3)
+    rows = [(5, a), (5, b), (7, a), (8, b), (None, a), (None, a + " more"), (None, c), (None, c), (9, c + " x"), (4, prose(60, 4)), (4, prose(60, 4)), (None, prose(60, 5)), (2, ""), (2, "")]
+    docs = documents(spark, rows)
+    kept = near_dedup.one_of_each(docs)
+    got = sorted((r.doc_id or -1, r.text) for r in kept.collect())
+    assert kept.columns == docs.columns
+    assert got == sorted([(5, a), (5, b), (9, c + " x"), (4, prose(60, 4)), (-1, prose(60, 5)), (2, ""), (2, "")])
+    own = documents(spark, [(3, a), (1, a + " more"), (6, b), (7, "")])
+    assert sorted(r.doc_id for r in near_dedup.one_of_each(own).collect()) == [1, 6, 7]
+    assert near_dedup.one_of_each(docs.limit(0)).isEmpty()
+
+
 def test_components_of_a_chain_a_star_and_loops(spark):
     edges = [(k, k + 1) for k in range(40)] + [(100, 100 + k) for k in range(30)] + [(60, 60), (None, 3)]
     got = {r.node: r.component for r in components.components(spark.createDataFrame(edges, "u long, v long")).collect()}
