@@ -172,6 +172,17 @@ def test_language_of_odd_texts(spark):
     assert {r.lang_pred for r in language.languages(unlabelled).collect()} == {"und"}
 
 
+def test_language_sample_counts_usable_rows(spark, monkeypatch):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text", "lang").filter("lang in ('en', 'de')")
+    used = docs.filter("lang = 'de'").limit(1).select(F.explode(F.expr("sequence(1, 60000)")).alias("k"), "text", "lang")
+    odd = used.select(F.expr("if(k % 2 = 0, -k, -1)").alias("doc_id"), F.expr("if(k % 2 = 0, '12 !', text)").alias("text"), "lang")
+    sizes = []
+    monkeypatch.setattr(language, "fit", lambda x, langs: sizes.append({s: langs.count(s) for s in set(langs)}))
+    language.trained(docs, 100)
+    language.trained(docs.union(odd), 100)
+    assert sizes[0] == sizes[1] == {"en": 50, "de": 50}
+
+
 def test_language_stage_without_labels_and_with_some(spark):
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text", "lang")
     odd = spark.createDataFrame([(-1, None, None), (-2, "12 !?", None), (-3, "a word", None)], docs.schema)
