@@ -15,8 +15,8 @@ from pyspark.sql import functions as F
 BLOCK, QUERY_BLOCK, GROUP_BLOCKS, QUERY_GROUP_BLOCKS = 2048, 256, 16, 256
 #: Dimensions added up before candidates are dropped.
 STEP = 16
-#: Components are held within this range, so that a score of 500 dimensions fits a long.
-MOST = float(1 << 27)
+#: What a long holds.
+LEAST_LONG, MOST_LONG = -(1 << 63), (1 << 63) - 1
 
 PACKED = "id_block binary, vectors binary, dims int, n int"
 
@@ -26,13 +26,15 @@ def packed(rows: DataFrame, size: int) -> DataFrame:
 
     A component x becomes floor(256 x). Vectors that are null or empty of meaning (a null
     or non-finite component) and rows without an id take no part. Shorter vectors of a
-    block are filled up with zeros.
+    block are filled up with zeros. A block holds 32-bit numbers, or doubles where one
+    doesn't fit them.
     """
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def block(ids: list, vectors: list) -> pa.RecordBatch:
             dims = max(len(v) for v in vectors)
-            table = np.zeros((dims, len(vectors)), np.int32)
+            largest = max((np.abs(v).max() for v in vectors if len(v)), default=0)
+            table = np.zeros((dims, len(vectors)), np.int32 if largest < 2**31 else np.float64)
             for k, v in enumerate(vectors):
                 table[: len(v), k] = v
             values = [np.array(ids, np.int64).tobytes(), table.tobytes(), dims, len(ids)]
@@ -46,7 +48,7 @@ def packed(rows: DataFrame, size: int) -> DataFrame:
             valid = pc.is_valid(flat).to_numpy(zero_copy_only=False) if len(flat) else np.zeros(0, bool)
             x = flat.cast(pa.float64()).fill_null(0).to_numpy(zero_copy_only=False) if len(flat) else np.zeros(0)
             good = np.concatenate(([0], np.cumsum(~(valid & np.isfinite(x)))))
-            whole = np.clip(np.floor(np.where(np.isfinite(x), x, 0) * 256), -MOST, MOST).astype(np.int32)
+            whole = np.floor(np.where(np.isfinite(x), x, 0) * 256) + 0.0
             for k, (i, present) in enumerate(zip(batch.column("vec_id").to_pylist(), column.is_valid().to_pylist())):
                 a, b = off[k], off[k + 1]
                 if i is not None and present and good[a] == good[b]:
@@ -64,7 +66,8 @@ def packed(rows: DataFrame, size: int) -> DataFrame:
 class Block:
     def __init__(self, ids: bytes, vectors: bytes, dims: int, n: int):
         self.ids = np.frombuffer(ids, np.int64)
-        self.table = np.frombuffer(vectors, np.int32).reshape(dims, n).astype(np.float64)
+        kind = np.int32 if len(vectors) == 4 * dims * n else np.float64
+        self.table = np.frombuffer(vectors, kind).reshape(dims, n).astype(np.float64)
         self.dims, self.n = dims, n
         squares = np.vstack((self.table**2, np.zeros((1, n))))
         #: Length of what a vector has left from each dimension on.
@@ -77,10 +80,12 @@ def best(q: Block, c: Block, k: int, floor: np.ndarray) -> Iterator[tuple[int, n
 
     ``floor``: of each query a score that k known candidates reach; only those below it are
     dropped, so ties stay. Dimensions are added in steps; after each, a candidate goes if
-    even its remaining length (by Cauchy and Schwarz) can't lift it to the floor.
+    even its remaining length (by Cauchy and Schwarz) can't lift it to the floor. Scores are
+    exact: longs where doubles don't hold them, Python's numbers where longs don't either.
     """
     dims = min(q.dims, c.dims)
-    exact = q.largest * c.largest * max(1, dims) < 2.0**52
+    most = q.largest * c.largest * max(1, dims)
+    exact, wide = most < 2.0**52, most >= 2.0**62
     sums = np.zeros((q.n, c.n))
     live = np.ones((q.n, c.n), bool)
     live &= q.ids[:, None] != c.ids[None, :]
@@ -92,11 +97,23 @@ def best(q: Block, c: Block, k: int, floor: np.ndarray) -> Iterator[tuple[int, n
         at = stop
         if at < dims and len(columns):
             slack = 1 + 1e-9 * np.abs(floor[:, None])
+            if not exact:  # what rounding may have taken from the sums
+                slack = slack + dims * 2.0**-50 * q.rest[0][:, None] * c.rest[0][columns][None, :]
             bound = sums + q.rest[at][:, None] * c.rest[at][columns][None, :] + slack
             live &= bound >= floor[:, None]
             keep = live.any(axis=0)
             if keep.mean() < 0.7:  # compact what survives
                 columns, sums, live, whole = columns[keep], sums[:, keep], live[:, keep], whole[:, keep]
+    if wide:
+        whole_numbers = np.vectorize(int, otypes=[object])
+        others = whole_numbers(whole[:dims])
+        for i in range(q.n):
+            at = np.flatnonzero(live[i])
+            if len(at):
+                score = whole_numbers(q.table[:dims, i]) @ others[:, at]
+                top = sorted(zip(score.tolist(), c.ids[columns[at]].tolist()), key=lambda x: (-x[0], x[1]))[:k]
+                yield i, np.array([v for _, v in top]), np.array([s for s, _ in top], object)
+        return
     if not exact:  # beyond what doubles hold, add in whole numbers
         sums = q.table[:dims].T.astype(np.int64) @ whole[:dims].astype(np.int64)
     for i in range(q.n):
@@ -117,7 +134,8 @@ def top_k(queries: DataFrame, candidates: DataFrame, k: int = 5) -> DataFrame:
     Both have ``vec_id`` and ``embedding``. Score: the integer inner product; ties go to
     the smaller vec_id; a candidate with the query's vec_id is its own row and left out.
     Queries with one vec_id and different vectors are asked each; equal ones once. A
-    candidate row that is there twice counts twice. An empty side gives no rows.
+    candidate row that is there twice counts twice. An empty side gives no rows. A score
+    that a long can't hold is ranked by its exact value and shown as the nearest long.
 
     Both sides are packed into blocks and dealt to groups: about 16 blocks of candidates,
     about 256 of queries. Each two groups meet once (a join on their numbers, whose rows are
@@ -141,9 +159,12 @@ def top_k(queries: DataFrame, candidates: DataFrame, k: int = 5) -> DataFrame:
         name, q, found, floor, key = None, None, [], np.zeros(0), []
 
         def results() -> pa.RecordBatch:
-            rows = [(int(q.ids[i]), int(v), int(s), key[i]) for i, f in enumerate(found) for s, v in f]
-            kinds = (pa.int64(),) * 4
-            return pa.record_batch([pa.array([r[j] for r in rows], t) for j, t in enumerate(kinds)], ["query_id", "vec_id", "score", "ask"])
+            held = lambda s: min(max(s, LEAST_LONG), MOST_LONG)
+            # numbers as text of one length that sorts like them
+            beyond = lambda s: f"{10**100 + s:0102d}" if abs(s) >= MOST_LONG else None
+            rows = [(int(q.ids[i]), int(v), held(int(s)), key[i], beyond(int(s))) for i, f in enumerate(found) for s, v in f]
+            kinds = (*(pa.int64(),) * 4, pa.string())
+            return pa.record_batch([pa.array([r[j] for r in rows], t) for j, t in enumerate(kinds)], ["query_id", "vec_id", "score", "ask", "beyond"])
 
         for batch in batches:
             for r in range(batch.num_rows):
@@ -163,8 +184,8 @@ def top_k(queries: DataFrame, candidates: DataFrame, k: int = 5) -> DataFrame:
         if q is not None:
             yield results()
 
-    some = pairs.mapInArrow(of, "query_id long, vec_id long, score long, ask long")
-    rank = Window.partitionBy("query_id", "ask").orderBy(F.desc("score"), "vec_id")
+    some = pairs.mapInArrow(of, "query_id long, vec_id long, score long, ask long, beyond string")
+    rank = Window.partitionBy("query_id", "ask").orderBy(F.desc("score"), F.desc("beyond"), "vec_id")
     return some.withColumn("rank", F.row_number().over(rank)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 

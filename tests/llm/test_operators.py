@@ -93,6 +93,19 @@ def test_pii_base_spans_and_added_ones(spark):
     assert pii.personal_data(documents(spark, [])).isEmpty()
 
 
+def test_topk_of_large_components_equals_brute_force(spark, monkeypatch):
+    monkeypatch.setattr(topk, "BLOCK", 16)
+    monkeypatch.setattr(topk, "QUERY_BLOCK", 2)
+    r = np.random.default_rng(2)
+    for scale in (1e6, 1e8, 1e30):
+        rows = [(int(i), (r.normal(size=40) * scale).astype(np.float32).tolist()) for i in range(120)]
+        rows += [(120 + i, rows[3][1]) for i in range(8)]  # ties
+        rows += [(200 + i, r.normal(size=40).astype(np.float32).tolist()) for i in range(40)]
+        got = {tuple(x) for x in topk.every_fiftieth(vectors(spark, rows)).collect()}
+        held = lambda s: min(max(s, -(2**63)), 2**63 - 1)
+        assert got == {(q, n, i, held(s)) for q, n, i, s in best_of(rows)}, scale
+
+
 # licences
 
 
