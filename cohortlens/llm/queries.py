@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cohortlens.llm import byte_bpe, decontaminate, html_text, language, licences, line_dedup, near_dedup, pii, quality, topk
+from cohortlens.llm import (
+    alignment, byte_bpe, decontaminate, html_text, language, licences, line_dedup, near_dedup, packing, pii, quality, repair, topk,
+)
 from cohortlens.llm.stage import table
 
 
@@ -49,11 +51,23 @@ def op10_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_duplicates(table(spark, sf_dir, "documents"), size=3, percent=85)
 
 
+def op11_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.packed(table(spark, sf_dir, "documents"))
+
+
+def op12_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.alignment(table(spark, sf_dir, "documents"))
+
+
+def op13_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repair.repaired(table(spark, sf_dir, "conversations"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         op1_exact_topk, op2_pii, op3_licences, op4_language, op5_quality, op6_decontaminate, op7_html_text,
-        op8_line_dedup, op9_byte_bpe, op10_near_dedup,
+        op8_line_dedup, op9_byte_bpe, op10_near_dedup, op11_packing, op12_alignment, op13_repair,
     )
 }
 
@@ -144,4 +158,67 @@ ORACLE = {
         SELECT d.doc_id, coalesce(n, 0) AS n_shingles, component_id, d.doc_id = component_id AS kept
         FROM d JOIN least ON least.doc_id = d.doc_id LEFT JOIN sizes ON sizes.doc_id = d.doc_id
     """,
+    "op13_repair": r"""
+        WITH RECURSIVE c AS (
+          SELECT *, list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(key, ''), lambda x: ascii(x)::BIGINT)),
+            lambda a, b: list_reduce(list_prepend(xor(a, b), range(8)), lambda v, _: xor(v >> 1, 3988292384 * (v & 1)))) AS crc
+          FROM (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+            coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' ') AS key FROM conversations)
+        ), d AS (
+          SELECT conv_id, turn, CASE WHEN kind = 4 THEN 'user' ELSE role END AS role,
+            CASE kind WHEN 1 THEN '' WHEN 2 THEN translate(text, '.!?', '') ELSE text END AS text, unnest(range(CASE WHEN kind = 3 THEN 2 ELSE 1 END)) AS copy
+          FROM (SELECT *, (4294967295 - crc) % 20 AS kind FROM c) WHERE kind <> 0
+        ), o AS (
+          SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, sha256(text), copy) AS i, left(role, 1) AS initial FROM d
+        ), f AS (
+          SELECT conv_id, turn, role, text, i, initial, lag(initial) OVER (PARTITION BY conv_id ORDER BY i) || initial AS pair,
+            CASE WHEN NOT regexp_matches(text, '[^\x20\x09-\x0D]') THEN 'blank'
+              WHEN row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) > 1 THEN 'duplicate'
+              WHEN NOT regexp_matches(text, '[.!?][\x20\x09-\x0D]*\z') THEN 'truncated' ELSE 'sound' END AS fault
+          FROM o
+        ), n AS (
+          SELECT conv_id, max(turn) - min(turn) + 1 - count(DISTINCT turn) AS gaps, count(*) FILTER (fault = 'blank') AS blank,
+            count(*) FILTER (fault = 'duplicate') AS duplicate, count(*) FILTER (fault = 'truncated') AS truncated,
+            count(*) FILTER (pair NOT IN ('su', 'ua', 'au')) AS illegal, max(i) AS rows
+          FROM f GROUP BY conv_id
+        ), moves AS (
+          SELECT * FROM (VALUES ('0', 's', '1'), ('0', 'u', '2'), ('1', 'u', '2'), ('2', 'a', '3'), ('3', 'u', '2')) AS m(state, initial, state_after)
+        ), inserts AS (
+          SELECT state, state AS state_after, '' AS audit, '' AS lines, 0 AS cost FROM (VALUES ('0'), ('1'), ('2'), ('3')) AS s(state)
+          UNION ALL
+          SELECT i.state, m.state_after, i.audit || 'I', i.lines || chr(10) || CASE m.initial WHEN 'u' THEN 'user:' ELSE 'assistant:' END, i.cost + 5
+          FROM inserts i JOIN moves m ON m.state = i.state_after AND m.initial <> 's' WHERE i.cost < 10
+        ), edits AS (
+          SELECT f.conv_id, f.i, e.state, e.state_after, e.audit, e.cost, e.lines FROM f, LATERAL (
+            SELECT state, state AS state_after, 'D' AS audit, 2 AS cost, '' AS lines FROM (VALUES ('0'), ('1'), ('2'), ('3')) AS s(state)
+            UNION ALL
+            SELECT state, state_after, 'K', CASE WHEN f.fault = 'truncated' THEN 5 ELSE 0 END, chr(10) || f.role || ':' || f.text
+            FROM moves WHERE moves.initial = f.initial AND f.fault NOT IN ('blank', 'duplicate')
+            UNION ALL
+            SELECT state, state_after, 'R', 1 + CASE WHEN f.fault = 'truncated' THEN 5 ELSE 0 END,
+              chr(10) || CASE moves.initial WHEN 'u' THEN 'user:' ELSE 'assistant:' END || f.text
+            FROM moves WHERE moves.initial <> 's' AND f.fault NOT IN ('blank', 'duplicate')
+          ) e
+        ), steps AS (
+          SELECT e.conv_id, e.i, i.state, e.state_after, i.audit || e.audit AS audit, i.lines || e.lines AS lines, i.cost + e.cost AS cost
+          FROM edits e JOIN inserts i ON i.state_after = e.state
+        ), best AS (
+          SELECT conv_id, 0::BIGINT AS i, '0' AS state, '' AS audit, '' AS lines, 0 AS cost FROM n
+          UNION ALL
+          SELECT * FROM (
+            SELECT s.conv_id, s.i, s.state_after, b.audit || s.audit AS audit, b.lines || s.lines, b.cost + s.cost AS cost
+            FROM best b JOIN steps s ON s.conv_id IS NOT DISTINCT FROM b.conv_id AND s.i = b.i + 1 AND s.state = b.state
+            QUALIFY row_number() OVER (PARTITION BY s.conv_id, s.i, s.state_after ORDER BY b.cost + s.cost, b.audit || s.audit) = 1
+          )
+        ), repaired AS (
+          SELECT b.conv_id, b.cost + i.cost AS cost, b.audit || i.audit AS audit, b.lines || i.lines AS lines
+          FROM best b JOIN n ON n.conv_id IS NOT DISTINCT FROM b.conv_id AND n.rows = b.i JOIN inserts i ON i.state = b.state AND i.state_after IN ('0', '3')
+          QUALIFY row_number() OVER (PARTITION BY b.conv_id ORDER BY b.cost + i.cost, b.audit || i.audit) = 1
+        )
+        SELECT a.conv_id, coalesce(gaps, 0)::BIGINT AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate,
+          coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal, coalesce(cost, 0)::BIGINT AS cost, coalesce(audit, '') AS audit,
+          sha256(coalesce(lines[2:], '')) AS repaired_sha256
+        FROM (SELECT DISTINCT conv_id FROM conversations) a LEFT JOIN n ON n.conv_id IS NOT DISTINCT FROM a.conv_id
+        LEFT JOIN repaired r ON r.conv_id IS NOT DISTINCT FROM a.conv_id
+    """,
 }

@@ -23,7 +23,7 @@ def test_query_matches_sql(spark, name):
 
 def test_all_are_registered():
     numbers = {int(n[2:].split("_")[0]) for n in entry_point.queries() if n.startswith("op")}
-    assert numbers == set(range(1, 11)) and "pipeline" in entry_point.queries()
+    assert numbers == set(range(1, 14)) and "pipeline" in entry_point.queries()
 
 
 def test_pii_query_equals_brute_force(spark):
