@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable
+
 import numpy as np
 import pyarrow as pa
 
@@ -24,14 +26,19 @@ def chunk_starts(data: np.ndarray, off: np.ndarray) -> np.ndarray:
     ``public_tokenizers.PATTERN`` and in piece vocabularies in which no piece holds a space
     behind another character and none a line end.
     """
-    at = np.flatnonzero((data == 0x20) | (data == 0x0A))
-    at = at[at > 2]
+    cut = (data == 0x20) | (data == 0x0A)
+    cut[:3] = False
+    cut[1:] &= ~_BLANK[data[:-1]]
+    at = np.flatnonzero(cut)
+    at = at[data[at - 1] >= 0x80]
     one, two, three = data[at - 1], data[at - 2], data[at - 3]
     # white space beyond ASCII: U+0085 U+00A0 U+1680 U+2000-200A U+2028 U+2029 U+202F U+205F U+3000
     wide = (two == 0xC2) & ((one == 0x85) | (one == 0xA0)) | (three == 0xE1) & (two == 0x9A) & (one == 0x80)
     general = (one <= 0x8A) | (one == 0xA8) | (one == 0xA9) | (one == 0xAF)
     wide |= (three == 0xE2) & ((two == 0x80) & general | (two == 0x81) & (one == 0x9F)) | (three == 0xE3) & (two == 0x80) & (one == 0x80)
-    return np.union1d(at[~_BLANK[one] & ~wide], off[:-1][np.diff(off) > 0])
+    cut[at[wide]] = False
+    cut[off[:-1][np.diff(off) > 0]] = True
+    return np.flatnonzero(cut)
 
 
 class Chunks:
@@ -52,6 +59,10 @@ class Chunks:
         """Keep what the chunks hold, in order; the number of their tokens."""
         raise NotImplementedError
 
+    def sorted(self, chunks: Iterable[str]) -> Iterable[str]:
+        """The chunks in the order they are learnt."""
+        return chunks
+
     def forget(self, n: int) -> None:
         """Forget all but the first ``n`` chunks."""
         raise NotImplementedError
@@ -69,11 +80,9 @@ class Chunks:
         bounds = np.searchsorted(starts, off)
         chunks = pa.LargeStringArray.from_buffers(len(starts), pa.py_buffer(np.append(starts, off[-1]).astype(np.int64)), pa.py_buffer(data))
         coded = chunks.dictionary_encode()
-        distinct = coded.dictionary.to_pylist()
+        distinct = coded.dictionary.to_numpy(zero_copy_only=False).tolist()
         run, length = [], 0
-        for chunk in distinct:
-            if chunk in known:
-                continue
+        for chunk in self.sorted(c for c in distinct if c not in known):
             if chunk[0] in " \n" and not chunk[-1].isspace() and len(chunk) < CALL_CHARS:
                 if length + len(chunk) > CALL_CHARS:
                     self._add(run)

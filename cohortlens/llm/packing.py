@@ -12,18 +12,19 @@ import bisect
 import json
 import os
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from functools import lru_cache
 from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from cohortlens.llm.byte_bpe import byte_of_character, vocabulary
+from cohortlens.llm.byte_bpe import byte_of_character, split_pattern, vocabulary
 from cohortlens.llm.chunks import Chunks, Column
 from cohortlens.llm.stage import staged
 from cohortlens.llm.words import byte_rows, slices
@@ -31,29 +32,58 @@ from cohortlens.llm.words import byte_rows, slices
 #: Tokens of a sequence, and the token that ends a document.
 CAPACITY, END = 1024, 2
 SLICE_TEXT_BYTES = 1 << 22
+#: Pieces of a pattern that a task keeps, and the longest that it keeps.
+PIECES, PIECE_CHARS = 200_000, 40
+#: Characters below this one have been in Unicode for long, so every pattern reads them alike.
+PLAIN_BELOW = "\u0370"
 
 
 class Tokens(Chunks):
     """Token ids of texts by a ``tokenizers`` file, without special tokens added."""
 
-    def __init__(self, vocab: str):
+    def __init__(self, vocab: str, pattern: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks are the parallelism
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_str(vocab)
+        self.model, self.pattern = self.tokenizer.model, regex.compile(pattern)
         spec, back = json.loads(vocab), byte_of_character()
         special = {t["id"]: t["content"] for t in spec["added_tokens"]}
         sizes = {i: len(t) for t, i in spec["model"]["vocab"].items()} | {i: len(t.encode()) for i, t in special.items()}
         self.sizes = np.array([sizes.get(i, 0) for i in range(max(sizes) + 1)], np.int64)
         if not all(c in back for t, i in spec["model"]["vocab"].items() if i not in special for c in t):
             raise ValueError("this is no byte-level vocabulary")
+        self.characters = {b: c for c, b in back.items()}
+        self.special = tuple(special.values())
         self.found = Column(np.uint32)
+        self.pieces: dict[str, list[int]] = {}
         super().__init__()
 
     def forget(self, n: int) -> None:
         self.found.cut(n)
 
+    def sorted(self, chunks: Iterable[str]) -> Iterable[str]:
+        return sorted(chunks, key=lambda c: max(c) >= PLAIN_BELOW)
+
+    def _piece(self, piece: str) -> list[int]:
+        ids = [t.id for t in self.model.tokenize(piece.encode().decode("latin-1").translate(self.characters))]
+        if len(piece) <= PIECE_CHARS:
+            if len(self.pieces) >= PIECES:
+                self.pieces.clear()
+            self.pieces[piece] = ids
+        return ids
+
     def learn(self, run: list[str]) -> int:
+        """Latin text is cut by the pattern here, and each piece of it encoded once; for other
+        text, and for names of special tokens, the whole run goes to the tokenizer."""
+        if max(map(max, run)) < PLAIN_BELOW and not any(s in c for s in self.special for c in run):
+            known, ids, ends = self.pieces, [], []
+            for chunk in run:
+                for piece in self.pattern.findall(chunk):
+                    ids += known.get(piece) or self._piece(piece)
+                ends.append(len(ids))
+            self.found.add(np.array(ids, np.int64), np.array(ends))
+            return len(ids)
         ids = np.array(self.tokenizer.encode("".join(run), add_special_tokens=False).ids, np.int64)
         cuts = np.cumsum([len(c.encode()) for c in run])
         self.found.add(ids, np.searchsorted(np.cumsum(self.sizes[ids]), cuts, "right"))
@@ -67,8 +97,8 @@ class Tokens(Chunks):
 
 
 @lru_cache(maxsize=2)
-def _tokens(vocab: str) -> Tokens:
-    return Tokens(vocab)
+def _tokens(vocab: str, pattern: str) -> Tokens:
+    return Tokens(vocab, pattern)
 
 
 def cut(size: int, capacity: int) -> list[int]:
@@ -84,10 +114,11 @@ def pieces(docs: DataFrame, vocab: str, capacity: int = CAPACITY, end: int = END
     those of its whole text (null: empty) and ``end``. With ``keep_ids`` also ``ids``, the
     tokens as little-endian unsigned 32-bit integers.
     """
+    pattern = split_pattern()
     names = ["doc_id", "piece", "start", "length", "ids_crc32", "part", "nth"] + ["ids"] * keep_ids
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model, part, seen = _tokens(vocab), TaskContext.get().partitionId(), np.zeros(capacity + 1, np.int64)
+        model, part, seen = _tokens(vocab, pattern), TaskContext.get().partitionId(), np.zeros(capacity + 1, np.int64)
         last = np.array([end], "<u4").tobytes()
         for batch in batches:
             doc_ids, (data, off) = batch.column(0).to_pylist(), byte_rows(batch.column(1))

@@ -123,12 +123,12 @@ def test_packing_query_on_whole_documents(spark):
 
 
 def test_chunks_forget_and_learn_again(monkeypatch):
-    from cohortlens.llm.byte_bpe import vocabulary
+    from cohortlens.llm.byte_bpe import split_pattern, vocabulary
     import pyarrow as pa
 
     from cohortlens.llm.words import byte_rows
 
-    tokens, library, r = packing.Tokens(vocabulary()), model(), random.Random(3)
+    tokens, library, r = packing.Tokens(vocabulary(), split_pattern()), model(), random.Random(3)
     tokens.kept_bytes = 20_000
     monkeypatch.setattr(chunks, "CALL_CHARS", 50)
     for _ in range(30):
