@@ -13,6 +13,7 @@ from ..functions.dates import MICROS_PER_DAY, micros_to_days, span_micros
 from ..functions.stats import round1
 from .joins import null_safe_join
 from .quantiles import weighted_median
+from .sketches import sketched_quantile, value_sketches
 
 OLD, NEW = "old", "new"
 
@@ -136,13 +137,33 @@ def numeric_profile(
     value: str = "age_months",
     limit: float = AGE_MONTHS_MAX,
     weight: str | None = None,
+    accuracy: float | None = None,
 ) -> DataFrame:
     """Min, exact median, mean, max, missing values and values above a limit per snapshot.
 
     The rows are first counted by value, which bounds everything that follows by the
     number of distinct values. Rows without a snapshot are one of their own. ``weight``
     names the count of rows that were counted already.
+
+    With ``accuracy`` the median is a sketch's, off by at most that share of the ranks (see
+    ``sketches``), and all comes from one shuffle of a row per task and snapshot.
     """
+    if accuracy is not None:
+        _unweighted(weight)
+        v = F.col(value)
+        stats = {
+            "mean": round1(F.avg(v)),
+            "n_above_limit": F.count_if(v > F.lit(limit)),
+        }
+        return _sketched(tagged, v, accuracy, stats).select(
+            "snapshot",
+            F.col("low").cast(tagged.schema[value].dataType).alias("min"),
+            F.col("median"),
+            "mean",
+            F.col("high").cast(tagged.schema[value].dataType).alias("max"),
+            "n_null",
+            "n_above_limit",
+        )
     missing = F.col(value).isNull()
     hist = tagged.groupBy(
         "snapshot",
@@ -164,14 +185,43 @@ def numeric_profile(
     )
 
 
-def stay_stats(tagged: DataFrame, weight: str | None = None) -> DataFrame:
+def _unweighted(weight: str | None) -> None:
+    if weight is not None:
+        raise ValueError("a sketch is made from rows: give either weight or accuracy")
+
+
+def _sketched(
+    tagged: DataFrame, value: Column, accuracy: float, stats: Mapping[str, Column]
+) -> DataFrame:
+    """Sketch, median and other aggregates per snapshot, in one grouping."""
+    sketches = value_sketches(tagged, ["snapshot"], value, accuracy, stats)
+    return sketches.withColumn("median", sketched_quantile(0.5)).drop("sketch")
+
+
+def stay_stats(
+    tagged: DataFrame, weight: str | None = None, accuracy: float | None = None
+) -> DataFrame:
     """Min, exact median and max stay in days, zero and negative stays per snapshot.
 
     Rows without both dates do not count. Stays are whole microseconds until the end,
     so equality with zero and the median's order are exact. Rows without a snapshot are
     one of their own. Takes ``stay_counts`` too, with ``weight`` n.
+
+    With ``accuracy`` the median is a sketch's, off by at most that share of the ranks, and
+    all comes from one shuffle of a row per task and snapshot.
     """
     stay = _stay(tagged)
+    if accuracy is not None:
+        _unweighted(weight)
+        stats = {"n_zero": F.count_if(stay == 0), "n_negative": F.count_if(stay < 0)}
+        return _sketched(tagged, stay, accuracy, stats).select(
+            "snapshot",
+            round1(micros_to_days(F.col("low"))).alias("min_days"),
+            round1(micros_to_days(F.col("median"))).alias("median_days"),
+            round1(micros_to_days(F.col("high"))).alias("max_days"),
+            "n_zero",
+            "n_negative",
+        )
     hist = tagged.groupBy(
         "snapshot",
         stay.isNull().alias("missing"),
