@@ -30,6 +30,8 @@ _YMD_HMS = (
     r"^\s*(\d{4})[^0-9]*(\d{1,2}(?=[^0-9])|\d{2})[^0-9]*(\d{1,2}(?=[^0-9])|\d{2})[^0-9]*(\d{1,2}(?=[^0-9])|\d{2})"
     r"[^0-9]*(\d{1,2}(?=[^0-9])|\d{2})[^0-9]*(\d{1,2}(?:[.]\d{1,6})?)\s*(?:([Zz])|([+-])(\d{2}):?(\d{2})?)?\s*$"
 )
+# An offset in the rewritten form.
+_OFFSET = r":\d+(?:[.]\d+)?[Zz+-]"
 _PLAIN = r"^\s*\d{4}-\d{1,2}-\d{1,2}[ T]\d{1,2}:\d{1,2}:\d{1,2}(?:[.]\d{1,6})?\s*$"
 
 
@@ -43,22 +45,23 @@ def parse_ymd_hms(col: Column, data_type: str = "string") -> Column:
     if data_type != "string":
         return col.cast("timestamp_ntz")
 
-    def part(i: int) -> Column:
-        return F.regexp_extract(col, _YMD_HMS, i)
-
-    day, clock = F.concat_ws("-", *map(part, (1, 2, 3))), F.concat_ws(":", *map(part, (4, 5, 6)))
-    local = F.concat_ws(" ", day, clock).try_cast("timestamp_ntz")
-    sign = F.when(part(8) == "-", 1).otherwise(-1)
-    minutes = sign * (
-        F.coalesce(part(9).try_cast("int"), F.lit(0)) * 60
-        + F.coalesce(part(10).try_cast("int"), F.lit(0))
-    )
+    # One match rewrites the text into the form that a cast reads, with its offset if any;
+    # text that doesn't match stays as it is, and must not be cast.
+    usual = F.regexp_replace(col, _YMD_HMS, "=$1-$2-$3 $4:$5:$6$7$8$9$10")
+    text = F.when(usual.startswith("="), F.upper(F.substring(usual, 2, 99)))
+    local, at = text.try_cast("timestamp_ntz"), text.try_cast("timestamp")
     # The pattern is only matched where the text isn't in the plain form.
     return F.when(col.rlike(_PLAIN), F.trim(col).try_cast("timestamp_ntz")).otherwise(
-        F.timestamp_add("MINUTE", minutes, local)
+        F.when(text.rlike(_OFFSET), _utc(at)).otherwise(local)
     )
 
 
+def _utc(ts: Column) -> Column:
+    """A moment as zone-free timestamp in UTC, whatever the session's zone."""
+    start = F.lit(dt.datetime(1970, 1, 1)).cast("timestamp_ntz")
+    return F.timestamp_add("MICROSECOND", F.unix_micros(ts), start)
+
+
 def span_days(start: Column, end: Column) -> Column:
     """Whole days between two dates."""
     return F.datediff(end, start)

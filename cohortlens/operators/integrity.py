@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..constants import SUBGROUPS
 from .joins import null_safe_join
 
-# Numbers looked at together when a sequence is searched for gaps.
+# Numbers of a site that are looked at together when its sequence is searched for gaps.
 GAP_BLOCK = 1024
 
 
@@ -107,36 +107,61 @@ def sequence_check(sample: DataFrame) -> DataFrame:
     )
 
 
-def sequence_gaps(sample: DataFrame, block: int = GAP_BLOCK) -> DataFrame:
-    """Every number of 1..max that a site does not use, one row each.
+def sequence_gap_ranges(sample: DataFrame, block: int = GAP_BLOCK) -> DataFrame:
+    """The stretches of 1..max that a site does not use: one row for each gap.
 
-    Numbers are compared in blocks of fixed size: no task holds more than one block of a
-    site at a time, however long its sequence, and the full sequence is never shuffled.
+    ``first_missing`` and ``last_missing`` are its ends, ``n_missing`` its length. Gaps and
+    islands: a gap lies between a slot and the next one. Used slots are gathered in blocks of
+    a site, and compared inside a block; then each block's start is compared with the end of
+    the used block before. No array is longer than a block, no task sorts more than one row
+    for each used block of a site, and what is written depends on the slots there are, not
+    on the highest number.
     """
-    seen = (
+    slot = F.col("slot_no").cast("long")
+    # Both sides read the same blocks, so the rows are read and shuffled once.
+    used = (
         distinct_slots(sample)
         .filter(F.col("slot_no") >= 1)
         .groupBy("site", F.expr(f"(slot_no - 1) div {block}").alias("block_no"))
-        .agg(F.collect_list("slot_no").alias("used"))
+        .agg(F.collect_list(slot).alias("used"))
+    )
+    of_site = Window.partitionBy("site").orderBy("block_no")
+    between = used.select(
+        "site",
+        F.lag(F.array_max("used"), 1, 0).over(of_site).alias("before"),
+        F.array_min("used").alias("after"),
     )
-    # The maximum comes from the same blocks, so the rows are read and shuffled once.
-    spine = (
-        seen.groupBy("site")
-        .agg(F.max(F.array_max("used")).alias("max_slot"))
+    ordered = used.select("site", F.sort_array("used").alias("used")).filter(F.size("used") > 1)
+    pairs = F.arrays_zip(
+        F.expr("slice(used, 1, size(used) - 1)").alias("before"),
+        F.expr("slice(used, 2, size(used) - 1)").alias("after"),
+    )
+    within = ordered.select("site", F.inline(pairs))
+    return (
+        within.unionByName(between)
+        .filter(F.col("after") > F.col("before") + 1)
         .select(
             "site",
-            "max_slot",
-            F.explode(F.expr(f"sequence(0L, (max_slot - 1) div {block})")).alias("block_no"),
+            (F.col("before") + 1).cast("int").alias("first_missing"),
+            (F.col("after") - 1).cast("int").alias("last_missing"),
+            (F.col("after") - F.col("before") - 1).alias("n_missing"),
         )
     )
-    first = F.col("block_no") * F.lit(block) + 1
-    last = F.least(F.col("block_no") * F.lit(block) + F.lit(block), F.col("max_slot"))
-    missing = F.array_except(
-        F.sequence(first.cast("int"), last.cast("int")),
-        F.coalesce("used", F.array().cast("array<int>")),
+
+
+def sequence_gaps(sample: DataFrame, block: int = GAP_BLOCK) -> DataFrame:
+    """Every number of 1..max that a site does not use, one row each.
+
+    Listed from the gaps, in arrays of at most ``block`` numbers. A stray slot number far
+    beyond the others makes as many rows as lie between; ``sequence_gap_ranges`` has one.
+    """
+    first, last = F.col("first_missing").cast("long"), F.col("last_missing").cast("long")
+    pieces = sequence_gap_ranges(sample, block).select(
+        "site", last.alias("last"), F.explode(F.sequence(first, last, F.lit(block))).alias("from")
     )
-    return null_safe_join(spine, seen, ["site", "block_no"], "left").select(
-        "site", F.explode(missing).alias("missing_slot")
+    upto = F.least(F.col("from") + F.lit(block - 1), F.col("last"))
+    return pieces.select("site", F.explode(F.sequence("from", upto)).alias("missing_slot")).select(
+        "site", F.col("missing_slot").cast("int").alias("missing_slot")
     )
 
 

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from .joins import null_safe_join
 
 # Rounds by magnitude: parts of a unit of the logarithm, as powers of two.
-MAGNITUDE_BITS = (3, 19, 35)
+MAGNITUDE_BITS = (12, 35)
 _LARGEST = 1.7976931348623157e308
 
 
@@ -36,8 +36,8 @@ def weighted_median(
     in one buffer. Here each round sums the counts by buckets, finds by a running sum the
     at most two buckets that hold the middle ranks, and only their rows go on to the
     next, finer round; the last round looks at single values. Buckets are parts of the
-    values' magnitude: some 11,000 in the first round and 65,536 inside one of the round
-    before, whatever the range of the values. The last round sorts the single values that
+    values' magnitude: at most 5.8 million in the first round and 2**23 inside one of the
+    round before, whatever the range of the values. The last round sorts the single values that
     lie within 2**-35 of each other (near 0 in absolute terms, else relative). Callers
     that know the range may give falling widths instead, each a multiple of the next.
     What is broadcast is at most two rows per group.

@@ -138,10 +138,24 @@ def common_event_keys(key_counts: DataFrame) -> DataFrame:
 
 
 def events_only_in(
-    tagged: DataFrame, snapshot: str, keys: Sequence[str] = EVENT_KEYS
+    tagged: DataFrame,
+    snapshot: str,
+    keys: Sequence[str] = EVENT_KEYS,
+    key_counts: DataFrame | None = None,
 ) -> DataFrame:
-    """Rows of one snapshot whose event key is absent from the other; duplicates stay."""
+    """Rows of one snapshot whose event key is absent from the other; duplicates stay.
+
+    With ``key_counts`` (``event_key_counts`` of the same rows and keys, stored) the rows are
+    read once and kept if their key was counted in their snapshot alone: the keys joined are
+    those of one side only, and Spark may put a Bloom filter of them on the rows' scan
+    (``spark.sql.optimizer.runtime.bloomFilter.enabled``). Without, the other snapshot's
+    keys are found first, from a second reading.
+    """
     other = NEW if snapshot == OLD else OLD
-    known = tagged.filter(F.col("snapshot") == other).select(*keys).distinct()
     rows = tagged.filter(F.col("snapshot") == snapshot)
-    return null_safe_join(rows, known, keys, "left_anti")
+    if key_counts is None:
+        known = tagged.filter(F.col("snapshot") == other).select(*keys).distinct()
+        return null_safe_join(rows, known, keys, "left_anti")
+    own, elsewhere = ("n_old", "n_new") if snapshot == OLD else ("n_new", "n_old")
+    one_sided = key_counts.filter((F.col(own) > 0) & (F.col(elsewhere) == 0)).select(*keys)
+    return null_safe_join(rows, one_sided, keys, "left_semi")

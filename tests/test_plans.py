@@ -167,6 +167,13 @@ def test_a_hot_key_is_split_over_tasks(spark, tmp_path, small_partitions):
     only = reconcile.events_only_in(rows, "new", ["person_type", "person_id"])
     assert "SortMergeJoin(skew=true)" in plan_of(only)
     assert only.count() == 3000 + 3000
+    keys = ["person_type", "person_id"]
+    reconcile.event_key_counts(rows, keys).write.parquet(str(tmp_path / "counts"))
+    counts = spark.read.parquet(str(tmp_path / "counts"))
+    once = reconcile.events_only_in(rows, "new", keys, counts)
+    plan = plan_of(once)
+    assert "SortMergeJoin(skew=true)" in plan and plan.count("n_old") and scans(plan) == 2  # rows and counts
+    assert rows_of(once) == rows_of(only)
 
 
 def test_a_patient_with_many_slots_is_split_over_tasks(spark, tmp_path, small_partitions):

@@ -95,11 +95,11 @@ def test_timestamps_parse_or_are_null(spark):
 def test_slots_are_whole_numbers_and_unread_values_are_counted(spark):
     from cohortlens.operators.ingest import unread_counts, whole_number
 
-    given = ["12", "12.0", " 7 ", "12.7", "x", None, "99999999999", "-3.00"]
-    assert values(spark, "string", given, whole_number) == [12, 12, 7, None, None, None, None, -3]
+    given = ["12", "12.0", " 7 ", "12.7", "x", None, "99999999999", "-3.00", "12.0000001"]
+    assert values(spark, "string", given, whole_number) == [12, 12, 7, None, None, None, None, -3, None]
     assert values(spark, "double", [12.0, 12.7, None, float("nan")], whole_number) == [12, None, None, None]
     df = spark.createDataFrame([(x,) for x in given], "slot string")
-    assert [tuple(r) for r in unread_counts(df, {"slot": whole_number(F.col("slot"))}).collect()] == [("slot", 3)]
+    assert [tuple(r) for r in unread_counts(df, {"slot": whole_number(F.col("slot"))}).collect()] == [("slot", 4)]
 
 
 def test_duplicate_detail_of_more_keys_than_a_group_limit(spark):
@@ -379,3 +379,26 @@ def test_profiles_of_one_sided_data(spark, kind):
     rows = [{"admit_ts": DAY, "discharge_ts": None}]
     got = one(getattr(profile, kind)(admissions(spark, rows)))
     assert got["snapshot"] == "old"
+
+
+def test_one_stray_slot_is_one_gap(spark):
+    top = 2_000_000_000
+    rows = [{"slot_no": n} for n in (1, 2, 5, 5, None, 1024, 1025, 1030, top)] + [{"site": None, "slot_no": 3}, {"site": "Z", "slot_no": -4}]
+    df = sample_rows(spark, rows)
+    got = {(r["site"], r["first_missing"], r["last_missing"], r["n_missing"]) for r in integrity.sequence_gap_ranges(df).collect()}
+    assert got == {("S", 3, 4, 2), ("S", 6, 1023, 1018), ("S", 1026, 1029, 4), ("S", 1031, top - 1, top - 1031), (None, 1, 2, 2)}
+    missing = {r["site"]: r["n_missing"] for r in integrity.sequence_check(df).collect()}
+    assert missing == {"S": sum(r[3] for r in got if r[0] == "S"), None: 2, "Z": 0}
+
+
+def test_events_of_one_side_from_stored_counts(spark, tmp_path):
+    rows = [
+        {"person_id": p, "person_type": t, "snapshot": s}
+        for p, t, s in (("1", "A", "old"), ("1", "A", "old"), ("1", "A", "new"), ("2", None, "old"), ("2", None, "old"), (None, None, "new"), ("3", None, "new"), ("3", None, "old"))
+    ]
+    df = admissions(spark, rows)
+    reconcile.event_key_counts(df).write.parquet(str(tmp_path / "keys"))
+    counts = spark.read.parquet(str(tmp_path / "keys"))
+    for side in ("old", "new"):
+        assert rows_of(reconcile.events_only_in(df, side, key_counts=counts)) == rows_of(reconcile.events_only_in(df, side))
+    assert reconcile.events_only_in(df, "old", key_counts=counts).count() == 2
