@@ -461,6 +461,39 @@ SELECT person_type, person_id FROM tagged WHERE snapshot = 'new'"""),
     ),
     "events_only_in_new": _only_in("new", "old"),
     "events_only_in_old": _only_in("old", "new"),
+    "events_only_new_by_stored_counts": _only_in("new", "old"),
+    "sketched_ages": _episode("""SELECT snapshot, count(age_months) AS n, count(*) - count(age_months) AS n_null,
+       min(age_months) AS low, max(age_months) AS high, true AS not_above, true AS not_below
+FROM tagged GROUP BY snapshot"""),
+    "read_parts": """
+SELECT 'open' AS part, o_orderkey, o_orderpriority, NULL::DOUBLE AS o_totalprice FROM orders WHERE o_orderkey % 2 = 0
+UNION ALL
+SELECT 'closed', o_orderkey, NULL, o_totalprice FROM orders WHERE o_orderkey % 2 = 1""",
+    "read_part_folder": "SELECT o_orderkey, o_totalprice, o_orderpriority FROM orders",
+    "read_named_part": """SELECT o_orderkey, o_totalprice, o_orderpriority FROM orders
+WHERE o_orderpriority = '5-LOW'""",
+    "read_saved": "SELECT o_orderpriority, count(*) AS n FROM orders GROUP BY o_orderpriority",
+    "sources_by_schema": _sample("SELECT * FROM sample"),
+    "unread_values": _sample(""", known AS (SELECT DISTINCT site FROM landed)
+SELECT site AS source, c AS "column",
+       CASE WHEN c = 'event_end' THEN (SELECT count(*) FROM sample s WHERE s.site = known.site AND event_end IS NULL)
+            ELSE 0 END AS n_unread
+FROM known, (VALUES ('slot_no'), ('event_start'), ('event_end')) AS v(c)"""),
+    "written_report": _episode("""SELECT "Indicador", old AS "Base old", new AS "Base new" FROM (
+  SELECT 'NAs en fecha egreso' AS "Indicador",
+         CAST(count(*) FILTER (snapshot = 'old' AND discharge_ts IS NULL) AS VARCHAR) AS old,
+         CAST(count(*) FILTER (snapshot = 'new' AND discharge_ts IS NULL) AS VARCHAR) AS new FROM tagged
+  UNION ALL
+  SELECT 'Fecha mínima', CAST(min(discharge_ts) FILTER (snapshot = 'old') AS VARCHAR),
+         CAST(min(discharge_ts) FILTER (snapshot = 'new') AS VARCHAR) FROM tagged
+  UNION ALL
+  SELECT 'Fecha máxima', CAST(max(discharge_ts) FILTER (snapshot = 'old') AS VARCHAR),
+         CAST(max(discharge_ts) FILTER (snapshot = 'new') AS VARCHAR) FROM tagged
+  UNION ALL
+  SELECT 'Egresos antes del ingreso',
+         CAST(count(*) FILTER (snapshot = 'old' AND discharge_ts < admit_ts) AS VARCHAR),
+         CAST(count(*) FILTER (snapshot = 'new' AND discharge_ts < admit_ts) AS VARCHAR) FROM tagged
+)"""),
     "study_counts": _sample("""SELECT 'unique_events' AS metric, count(*) AS value FROM events_u
 UNION ALL SELECT 'site_patients', count(DISTINCT row(site, patient_id)) FROM events_u
 UNION ALL SELECT 'patients', count(DISTINCT row(patient_id)) FROM events_u
@@ -489,6 +522,13 @@ FROM events_u GROUP BY site"""),
 ), spine AS (SELECT site, CAST(unnest(range(1, m + 1)) AS INTEGER) AS missing_slot FROM top)
 SELECT site, missing_slot FROM spine s
 WHERE NOT EXISTS (SELECT 1 FROM events_u e WHERE e.site = s.site AND e.slot_no = s.missing_slot)"""),
+    "sequence_gap_ranges": _sample(""", slots AS (
+  SELECT DISTINCT site, slot_no FROM sample WHERE slot_no >= 1
+), steps AS (
+  SELECT site, slot_no, lag(slot_no, 1, 0) OVER (PARTITION BY site ORDER BY slot_no) AS before FROM slots
+)
+SELECT site, before + 1 AS first_missing, slot_no - 1 AS last_missing, CAST(slot_no - before - 1 AS BIGINT) AS n_missing
+FROM steps WHERE slot_no > before + 1"""),
     "multi_slot_patients": _sample(""", d AS (SELECT DISTINCT site, patient_id, slot_no FROM events_u)
 SELECT site, patient_id, slot_no
 FROM (SELECT *, count(*) OVER (PARTITION BY site, patient_id) AS n FROM d) WHERE n > 1"""),
@@ -527,6 +567,12 @@ SELECT e.collector, t.display, t.site, t.display || chr(10) || t.site AS panel_l
        CAST(date_trunc('week', reg_date) AS DATE) = DATE '2024-01-15' AS is_cutoff_week
 FROM enrol e JOIN targets t ON e.collector = t.collector
 GROUP BY ALL"""),
+    "care_findings": _care("""SELECT rule, submission_id, event_index, collector, site, birth_date, event_start,
+       event_end, CAST(months AS INTEGER) AS age_months
+FROM care, (VALUES ('birth_after_event'), ('age_out_of_range'), ('events_without_care')) AS r(rule)
+WHERE rule = 'birth_after_event' AND birth_date > event_start
+   OR rule = 'age_out_of_range' AND (birth_date > event_start OR months > 59)
+   OR rule = 'events_without_care' AND lvl = 0"""),
     "birth_after_event": _care("""SELECT submission_id, event_index, collector, site, birth_date,
        event_start FROM care WHERE birth_date > event_start"""),
     "age_out_of_range": _care("""SELECT submission_id, event_index, collector, site, birth_date,
@@ -547,6 +593,17 @@ FROM care GROUP BY patient_id HAVING count(*) = count(*) FILTER (lvl = 0)"""),
     SELECT patient_id FROM care GROUP BY patient_id HAVING max(lvl) = 0)
 )
 SELECT *, CASE WHEN n_affected > 0 THEN 'Requiere revisión' ELSE 'Sin errores' END AS status
+FROM e"""),
+    "error_summary_from_counts": _care(""", e AS (
+  SELECT 'birth_after_event' AS error_type, count(*) AS n_affected FROM care
+  WHERE birth_date > event_start
+  UNION ALL SELECT 'age_out_of_range', count(*) FROM care
+  WHERE birth_date > event_start OR months > 59
+  UNION ALL SELECT 'events_without_care', count(*) FROM care WHERE lvl = 0
+  UNION ALL SELECT 'patients_without_care', count(*) FROM (
+    SELECT patient_id FROM care GROUP BY patient_id HAVING max(lvl) = 0)
+)
+SELECT *, CASE WHEN n_affected > 0 THEN 'Requiere revisión' ELSE 'Sin errores' END AS status
 FROM e"""),
     "max_care_level": _care_levels(),
     "dimension_audit": """

@@ -46,6 +46,60 @@ def without_care() -> Column:
     return care_level().isNull()
 
 
+# Columns of each listing; a rule has the name of its listing.
+LISTINGS = {
+    "birth_after_event": (*EVENT_COLUMNS, "birth_date", "event_start"),
+    "age_out_of_range": (*EVENT_COLUMNS, "birth_date", "event_start", "age_months"),
+    "events_without_care": (*EVENT_COLUMNS, "event_start", "event_end"),
+}
+
+
+def rules(low: int = AGE_MONTHS_MIN, high: int = AGE_MONTHS_MAX) -> dict[str, Column]:
+    return {
+        "birth_after_event": born_after_start(),
+        "age_out_of_range": outside_age(low, high),
+        "events_without_care": without_care(),
+    }
+
+
+def findings(
+    events: DataFrame, low: int = AGE_MONTHS_MIN, high: int = AGE_MONTHS_MAX
+) -> DataFrame:
+    """Every event with every rule it breaks: all listings from one reading of the events.
+
+    The rules an event breaks are an array, unfolded once. Store the frame partitioned by
+    ``rule`` and each ``listing`` reads its own part alone.
+    """
+    broken = F.array_compact(F.array(*[F.when(c, name) for name, c in rules(low, high).items()]))
+    details = [*EVENT_COLUMNS, "birth_date", "event_start", "event_end"]
+    return events.select(
+        F.explode(broken).alias("rule"), *details, age_at_start().alias("age_months")
+    )
+
+
+def listing(found: DataFrame, rule: str) -> DataFrame:
+    """One of the listings, from ``findings``."""
+    return found.filter(F.col("rule") == F.lit(rule)).select(*LISTINGS[rule])
+
+
+def care_counts(
+    events: DataFrame,
+    keys: Sequence[str],
+    by: Sequence[str] = ("site", "collector"),
+    low: int = AGE_MONTHS_MIN,
+    high: int = AGE_MONTHS_MAX,
+) -> DataFrame:
+    """Events and broken rules by patient, group and highest care level.
+
+    The summary, the patients without care and the care levels start from these counts, so
+    the events are read and shuffled once for the three.
+    """
+    broken = [F.count_if(c).alias(name) for name, c in rules(low, high).items()]
+    return events.groupBy(*dict.fromkeys([*keys, *by]), care_level().alias("level")).agg(
+        F.count(F.lit(1)).alias("n"), *broken
+    )
+
+
 def birth_after_event(events: DataFrame) -> DataFrame:
     """Events that start before the patient's birth."""
     return events.filter(born_after_start()).select(*EVENT_COLUMNS, "birth_date", "event_start")
@@ -73,10 +127,22 @@ def care_by_patient(events: DataFrame, keys: Sequence[str]) -> DataFrame:
 
 
 def patients_without_care(
-    events: DataFrame, keys: Sequence[str] = ("submission_id", "collector", "site")
+    events: DataFrame,
+    keys: Sequence[str] = ("submission_id", "collector", "site"),
+    counted: bool = False,
 ) -> DataFrame:
-    """Patients of whom every event lacks care. ``keys`` identify a patient."""
-    return care_by_patient(events, keys).filter("n_events = n_events_without_care")
+    """Patients of whom every event lacks care. ``keys`` identify a patient.
+
+    With ``counted``, ``events`` are the ``care_counts`` of these keys.
+    """
+    if counted:
+        patients = events.groupBy(*keys).agg(
+            F.sum("n").alias("n_events"),
+            F.sum("events_without_care").alias("n_events_without_care"),
+        )
+    else:
+        patients = care_by_patient(events, keys)
+    return patients.filter("n_events = n_events_without_care")
 
 
 def error_summary(
@@ -84,15 +150,19 @@ def error_summary(
     keys: Sequence[str] = ("submission_id", "collector", "site"),
     low: int = AGE_MONTHS_MIN,
     high: int = AGE_MONTHS_MAX,
+    counted: bool = False,
 ) -> DataFrame:
-    """Records affected and status per error type, all four from one pass over the events."""
-    per_patient = events.groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("n"),
-        F.count_if(born_after_start()).alias("birth_after_event"),
-        F.count_if(outside_age(low, high)).alias("age_out_of_range"),
-        F.count_if(without_care()).alias("events_without_care"),
-    )
-    types = ["birth_after_event", "age_out_of_range", "events_without_care"]
+    """Records affected and status per error type, all four from one pass over the events.
+
+    With ``counted``, ``events`` are the ``care_counts`` of these keys and ages.
+    """
+    types = list(LISTINGS)
+    if counted:
+        sums = [F.sum(c).alias(c) for c in ("n", *types)]
+    else:
+        broken = [F.count_if(c).alias(name) for name, c in rules(low, high).items()]
+        sums = [F.count(F.lit(1)).alias("n"), *broken]
+    per_patient = events.groupBy(*keys).agg(*sums)
     totals = per_patient.agg(
         *[F.coalesce(F.sum(t), F.lit(0)).alias(t) for t in types],
         F.count_if(F.col("n") == F.col("events_without_care")).alias("patients_without_care"),
@@ -106,23 +176,33 @@ def error_summary(
     )
 
 
-def max_care_level(events: DataFrame, by: Sequence[str] = ("site", "collector")) -> DataFrame:
+def max_care_level(
+    events: DataFrame, by: Sequence[str] = ("site", "collector"), counted: bool = False
+) -> DataFrame:
     """Episodes by the highest care level reached, per site and collector, with the total.
 
     Episodes without any level are an error of their own and are not counted here. A
-    level nobody reached is ``0 (0%)``.
+    level nobody reached is ``0 (0%)``. With ``counted``, ``events`` are ``care_counts``.
     """
     names = [name for name, _ in CARE_LEVELS]
     sums = ["total", *[f"{name}_n" for name in names]]
     level = F.col("level")
-    counts = (
-        events.select(*by, care_level(names).alias("level"))
-        .filter(level.isNotNull())
-        .groupBy(*by)
-        .agg(
-            F.count(F.lit(1)).alias("total"),
-            *[F.count_if(level == i).alias(f"{name}_n") for i, name in enumerate(names, 1)],
-        )
+    if counted:
+        rows = events.select(*by, "level", "n").filter(level.isNotNull())
+        total = F.sum("n")
+
+        def reached(i: int) -> Column:
+            return F.sum(F.when(level == i, F.col("n")).otherwise(0))
+    else:
+        rows = events.select(*by, care_level(names).alias("level")).filter(level.isNotNull())
+        total = F.count(F.lit(1))
+
+        def reached(i: int) -> Column:
+            return F.count_if(level == i)
+
+    counts = rows.groupBy(*by).agg(
+        total.alias("total"),
+        *[reached(i).alias(f"{name}_n") for i, name in enumerate(names, 1)],
     )
     detail = counts.select(F.lit(0).alias("row_ord"), *by, *sums)
     total = totals_of(counts, sums).select(

@@ -5,12 +5,12 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.dates import parse_dmy, parse_ymd_hms
 from ..functions.text import clean_upper, id_text, subgroup_prefix
-from ..sources.readers import read_sources
+from ..sources.readers import SOURCE, read_by_schema
 from ..sources.schemas import (
     NEW_EXTRACT,
     OLD_EXTRACT,
@@ -21,18 +21,60 @@ from ..sources.schemas import (
 )
 
 
+class Unread:
+    """Counts the values that reading loses, in the pass that reads them.
+
+    Give one to the harmonising functions, run the action that writes their rows, then ask
+    for ``counts``: what was there and became NULL, by source and column. Nothing is read
+    again. A task that is run again after a lost executor may count its rows twice.
+    """
+
+    def __init__(self) -> None:
+        self.observed: dict[str, Observation] = {}
+
+    def watch(
+        self, df: DataFrame, source: str, raw: Mapping[str, Column], read: Mapping[str, Column]
+    ) -> DataFrame:
+        """``df`` with the columns ``read``, its losses counted against ``raw`` as it runs."""
+        kept = {name: f"__raw_{name}" for name in raw}
+        both = df.select(
+            *[c.alias(name) for name, c in read.items()],
+            *[raw[name].isNotNull().alias(k) for name, k in kept.items()],
+        )
+        seen = self.observed[source] = Observation()
+        losses = [F.count_if(F.col(k) & F.col(n).isNull()).alias(n) for n, k in kept.items()]
+        return both.observe(seen, *losses).drop(*kept.values())
+
+    def counts(self, spark: SparkSession) -> DataFrame:
+        """``source, column, n_unread``, one row for each source and column watched."""
+        rows = [
+            F.struct(
+                F.lit(source).alias("source"),
+                F.lit(column).alias("column"),
+                F.lit(n).cast("long").alias("n_unread"),
+            )
+            for source, seen in self.observed.items()
+            for column, n in seen.get.items()
+        ]
+        return spark.range(1).select(F.inline(F.array(*rows)))
+
+
 def union_all(frames: Sequence[DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, frames)
 
 
 def harmonise_snapshot(
-    df: DataFrame, snapshot: str | Column, columns: Mapping[str, str]
+    df: DataFrame,
+    snapshot: str | Column,
+    columns: Mapping[str, str],
+    unread: Unread | None = None,
 ) -> DataFrame:
     """One admission extract in the target schema, tagged with its snapshot.
 
     ``columns`` maps target names to the names in this extract. Codes and person types
     are trimmed and upper-cased, ages lose their sign, identifiers become text, and
-    timestamps or ages that cannot be read become NULL. Sex is left as it is.
+    timestamps or ages that cannot be read become NULL. Sex is left as it is. ``unread``
+    counts what becomes NULL, of an extract with a label of its own.
     """
     types = dict(df.dtypes)
 
@@ -56,7 +98,23 @@ def harmonise_snapshot(
         "dx": clean_upper(source("dx")),
         "sex": source("sex"),
     }
-    return df.select(*[values[f.name].cast(f.dataType).alias(f.name) for f in SNAPSHOT_SCHEMA])
+    read = {f.name: values[f.name].cast(f.dataType) for f in SNAPSHOT_SCHEMA}
+    lossy = {name: source(name) for name in ("admit_ts", "discharge_ts", "age_months")}
+    return _read(df, snapshot, read, lossy, unread)
+
+
+def _read(
+    df: DataFrame,
+    label: str | Column,
+    read: Mapping[str, Column],
+    lossy: Mapping[str, Column],
+    unread: Unread | None,
+) -> DataFrame:
+    if unread is None:
+        return df.select(*[c.alias(name) for name, c in read.items()])
+    if not isinstance(label, str):
+        raise ValueError("losses are counted by source: give each source's rows its label")
+    return unread.watch(df, label, lossy, read)
 
 
 def tagged_snapshots(
@@ -64,12 +122,13 @@ def tagged_snapshots(
     new: DataFrame,
     old_columns: Mapping[str, str] = OLD_EXTRACT,
     new_columns: Mapping[str, str] = NEW_EXTRACT,
+    unread: Unread | None = None,
 ) -> DataFrame:
     """Both extracts in one frame; the snapshot column tells them apart."""
     return union_all(
         [
-            harmonise_snapshot(old, "old", old_columns),
-            harmonise_snapshot(new, "new", new_columns),
+            harmonise_snapshot(old, "old", old_columns, unread),
+            harmonise_snapshot(new, "new", new_columns, unread),
         ]
     )
 
@@ -79,12 +138,14 @@ def harmonise_sample(
     site: str | Column,
     columns: Mapping[str, Sequence[str]] = SAMPLE_COLUMNS,
     optional: Sequence[str] = SAMPLE_OPTIONAL,
+    unread: Unread | None = None,
 ) -> DataFrame:
     """One site sample in the target schema.
 
     The key column has one of two names and two columns may be missing; a missing
     column becomes a typed NULL. The label passed in always wins over a column of the
-    data that happens to be called the same.
+    data that happens to be called the same. ``unread`` counts the slots and dates that
+    become NULL, of a source with a label of its own.
     """
     types = dict(df.dtypes)
 
@@ -112,12 +173,17 @@ def harmonise_sample(
         "event_start": parse_dmy(source("event_start"), type_of("event_start")),
         "event_end": parse_dmy(source("event_end"), type_of("event_end")),
     }
-    return df.select(*[values[f.name].cast(f.dataType).alias(f.name) for f in SAMPLE_SCHEMA])
+    read = {f.name: values[f.name].cast(f.dataType) for f in SAMPLE_SCHEMA}
+    lossy = {name: source(name) for name in ("slot_no", "event_start", "event_end")}
+    return _read(df, site, read, lossy, unread)
 
 
 def whole_number(col: Column) -> Column:
-    """A whole number however it is written (``12``, ``12.0``); a fraction is NULL, not cut."""
-    exact = col.try_cast("decimal(38,6)")
+    """A whole number however it is written (``12``, ``12.0``); a fraction is NULL, not cut.
+
+    Fractions are seen to 18 decimals.
+    """
+    exact = col.try_cast("decimal(38,18)")
     return F.when(exact == F.floor(exact), exact.try_cast("int"))
 
 
@@ -133,16 +199,23 @@ def unread_counts(df: DataFrame, parsed: Mapping[str, Column]) -> DataFrame:
     return counts.select(F.inline(F.array(*rows)))
 
 
-def consolidate(sources: Mapping[str, DataFrame]) -> DataFrame:
+def consolidate(sources: Mapping[str, DataFrame], unread: Unread | None = None) -> DataFrame:
     """Harmonise every labelled source and stack them. Types agree before the union."""
-    return union_all([harmonise_sample(df, label) for label, df in sources.items()])
+    return union_all(
+        [harmonise_sample(df, label, unread=unread) for label, df in sources.items()]
+    )
 
 
 def consolidate_sources(
     spark: SparkSession, catalogue: Mapping[str, str], fmt: str = "parquet", **options: str
 ) -> DataFrame:
-    """Read a catalogue of label -> path and consolidate it."""
-    return consolidate(read_sources(spark, catalogue, fmt, **options))
+    """Read a catalogue of label -> path and consolidate it.
+
+    Sources with the same columns are one scan, labelled by the file a row comes from: the
+    plan has a branch for each schema, however many sources there are.
+    """
+    groups = read_by_schema(spark, catalogue, fmt, **options)
+    return union_all([harmonise_sample(df, F.col(SOURCE)) for df in groups])
 
 
 def unique_events(sample: DataFrame) -> DataFrame:

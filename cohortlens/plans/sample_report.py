@@ -31,7 +31,11 @@ _DURATION = {
     "site": "Centro",
     **{f"bin_{i}_text": label for i, (_, label) in enumerate(DURATION_CLASSES, 1)},
 }
-HEADERS = {"duration_group_1_original": _DURATION, "duration_group_1": _DURATION}
+HEADERS = {
+    "duration_group_1_original": _DURATION,
+    "duration_group_1": _DURATION,
+    "unread": {"source": "Fuente", "column": "Columna", "n_unread": "Valores no leídos"},
+}
 
 
 def sample_tables(events: DataFrame) -> dict[str, DataFrame]:
@@ -60,11 +64,18 @@ def write_sample_report(
     root: str,
     fmt: str = "parquet",
     headers: Mapping[str, Mapping[str, str]] | None = None,
+    unread: ingest.Unread | None = None,
 ) -> dict[str, str]:
     """Write the report. The unique events are computed once.
 
-    Pass ``HEADERS`` for the columns' display names.
+    Pass ``HEADERS`` for the columns' display names. With the ``unread`` that the sample was
+    consolidated with, the table ``unread`` tells what its sources lost, counted while the
+    unique events were computed.
     """
-    with staging(sample.sparkSession) as staged:
+    spark = sample.sparkSession
+    with staging(spark) as staged:
         events = staged(ingest.unique_events(sample), "unique-events")
-        return write_report(sample_tables(events), root, fmt, ORDER, headers)
+        tables = sample_tables(events)
+        if unread is not None:
+            tables["unread"] = unread.counts(spark).orderBy("source", "column")
+        return write_report(tables, root, fmt, ORDER, headers)

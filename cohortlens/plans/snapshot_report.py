@@ -7,9 +7,9 @@ from collections.abc import Callable, Mapping, Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..constants import STUDY_CODES
+from ..constants import AGE_MONTHS_MAX, STUDY_CODES
 from ..functions.text import thousands
-from ..operators import compare, profile, reconcile
+from ..operators import compare, ingest, profile, reconcile
 from ..sources.sinks import staging, write_report
 
 ORDER = {
@@ -30,6 +30,7 @@ ORDER = {
 # Names shown to readers. Fixed values.
 _COUNTS = {"n_old": "n old", "n_new": "n new", "difference": "Diferencia"}
 _BASES = {"old": "Base old", "new": "Base new"}
+_CODES = {"dx": "DX", "n_old": "n_old", "n_new": "n_new", "difference": "Diferencia", "status": "Estado"}
 HEADERS = {
     "overview": {"indicator": "Elemento", **_BASES},
     "duplicates": {
@@ -47,10 +48,64 @@ HEADERS = {
         "admit_ts": "Fecha ingreso",
         "n_times": "Veces repetido",
     },
+    "complexity": {"complexity": "COMPLEJIDAD", "difference": "Diferencia"},
     "age": {"indicator": "Indicador", **_BASES},
     "age_distribution": {"age_months": "Edad (meses)", **_COUNTS},
+    "codes": _CODES,
+    "codes_summary": {"status": "Estado", "n_codes": "Códigos"},
+    "codes_problems": _CODES,
     "codes_common": {"dx": "Código CIE-10", **_COUNTS},
     "discharge": {"indicator": "Indicador", **_BASES},
+    "stays": {
+        "snapshot": "Base",
+        "min_days": "Minimo",
+        "median_days": "Mediana",
+        "max_days": "Maximo",
+        "n_zero": "N_cero",
+        "n_negative": "N_negativas",
+    },
+    "long_stays": {"snapshot": "Base", "stay_range": "Rango", "complexity": "COMPLEJIDAD"},
+    "sex": {"sex": "SEXO", "difference": "Diferencia"},
+    "crossing": {"metric": "Indicador", "value": "Valor"},
+    "unread": {"source": "Base", "column": "Columna", "n_unread": "Valores no leídos"},
+}
+
+# Texts shown for the indicators of a table. Fixed values.
+LABELS = {
+    "overview": {
+        "indicator": {
+            "n_rows": "Total registros",
+            "min_admit": "Fecha mínima ingreso",
+            "max_admit": "Fecha máxima ingreso",
+            "null_discharge": "NAs fecha egreso",
+        }
+    },
+    "age": {
+        "indicator": {
+            "min": "Mínimo",
+            "median": "Mediana",
+            "mean": "Media",
+            "max": "Máximo",
+            "n_null": "NAs",
+            "n_above_limit": f"Registros > {AGE_MONTHS_MAX} meses",
+        }
+    },
+    "discharge": {
+        "indicator": {
+            "null_discharge": "NAs en fecha egreso",
+            "min_discharge": "Fecha mínima",
+            "max_discharge": "Fecha máxima",
+            "discharge_before_admit": "Egresos antes del ingreso",
+        }
+    },
+    "crossing": {
+        "metric": {
+            "common_persons": "Personas comunes",
+            "common_events": "Eventos comunes (match exacto)",
+            "events_only_new": "Eventos solo en new",
+            "events_only_old": "Eventos solo en old",
+        }
+    },
 }
 
 
@@ -108,11 +163,19 @@ def write_snapshot_report(
     fmt: str = "parquet",
     codes: Sequence[str] | DataFrame = STUDY_CODES,
     headers: Mapping[str, Mapping[str, str]] | None = None,
+    labels: Mapping[str, Mapping[str, Mapping[str, str]]] | None = None,
+    unread: ingest.Unread | None = None,
 ) -> dict[str, str]:
     """Write the report. The harmonised rows and what several tables share is computed once.
 
-    Pass ``HEADERS`` for the columns' display names.
+    Pass ``HEADERS`` for the columns' display names and ``LABELS`` for the indicators'. With
+    the ``unread`` that the rows were harmonised with, the table ``unread`` tells what each
+    extract lost, counted while its rows were stored.
     """
-    with staging(tagged.sparkSession) as staged:
+    spark = tagged.sparkSession
+    with staging(spark) as staged:
         rows = staged(tagged, "snapshots")
-        return write_report(snapshot_tables(rows, codes, staged), root, fmt, ORDER, headers)
+        tables = snapshot_tables(rows, codes, staged)
+        if unread is not None:
+            tables["unread"] = unread.counts(spark).orderBy("source", "column")
+        return write_report(tables, root, fmt, ORDER, headers, labels)

@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 import datetime as dt
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.sql import DataFrame
 
+from ..constants import AGE_MONTHS_MAX, AGE_MONTHS_MIN
 from ..operators import care, compliance
-from ..sources.sinks import write_report
+from ..sources.sinks import staging, write_report
 
 ORDER = {
     "site_compliance": ["row_ord", "site"],
@@ -61,6 +62,18 @@ HEADERS = {
     },
 }
 
+# Texts shown for the error types.
+LABELS = {
+    "error_summary": {
+        "error_type": {
+            "birth_after_event": "Fecha de nacimiento posterior al evento",
+            "age_out_of_range": f"Edad fuera de {AGE_MONTHS_MIN}-{AGE_MONTHS_MAX} meses",
+            "events_without_care": "Eventos sin estancia",
+            "patients_without_care": "Pacientes sin estancia",
+        }
+    }
+}
+
 
 def weekly_tables(
     enrolment: DataFrame,
@@ -70,20 +83,26 @@ def weekly_tables(
     site_labels: Mapping[str, str],
     cutoff: dt.date,
     patient_keys: Sequence[str] = ("submission_id", "collector", "site"),
+    keep: Callable[[DataFrame, str, Sequence[str]], DataFrame] = lambda df, name, partition_by: df,
 ) -> dict[str, DataFrame]:
-    """All tables of the report for one cutoff date."""
+    """All tables of the report for one cutoff date.
+
+    ``keep`` may store the two frames that the tables of care events start from, partitioned
+    as it is told: the findings by rule, and the counts by patient. The events are then read
+    twice, and each listing reads its own findings alone. By default they stay lazy.
+    """
+    found = keep(care.findings(care_events), "findings", ("rule",))
+    counts = keep(care.care_counts(care_events, patient_keys), "care-counts", ())
     sites = compliance.site_status(enrolment, samples, cutoff)
     collectors = compliance.collector_status(enrolment, targets, cutoff)
     return {
         "site_compliance": compliance.site_compliance(sites, site_labels),
         "collector_compliance": compliance.collector_compliance(collectors, targets),
         "weekly_enrolment": compliance.weekly_enrolment(enrolment, targets, cutoff),
-        "error_summary": care.error_summary(care_events, patient_keys),
-        "birth_after_event": care.birth_after_event(care_events),
-        "age_out_of_range": care.age_out_of_range(care_events),
-        "events_without_care": care.events_without_care(care_events),
-        "patients_without_care": care.patients_without_care(care_events, patient_keys),
-        "max_care_level": care.max_care_level(care_events),
+        "error_summary": care.error_summary(counts, patient_keys, counted=True),
+        **{rule: care.listing(found, rule) for rule in care.LISTINGS},
+        "patients_without_care": care.patients_without_care(counts, patient_keys, counted=True),
+        "max_care_level": care.max_care_level(counts, counted=True),
     }
 
 
@@ -91,13 +110,15 @@ def write_weekly_report(
     root: str,
     fmt: str = "parquet",
     headers: Mapping[str, Mapping[str, str]] | None = None,
+    labels: Mapping[str, Mapping[str, Mapping[str, str]]] | None = None,
     **inputs,
 ) -> dict[str, str]:
-    """Write the report. Every table reads its stored input; nothing is worth staging.
+    """Write the report. What several tables of care events share is computed once.
 
-    Pass ``HEADERS`` for the columns' display names.
+    Pass ``HEADERS`` for the columns' display names and ``LABELS`` for the error types'.
     """
     order = {**ORDER}
-    for listing in ("birth_after_event", "age_out_of_range", "events_without_care"):
-        order[listing] = ["submission_id", "event_index"]
-    return write_report(weekly_tables(**inputs), root, fmt, order, headers)
+    for rule in care.LISTINGS:
+        order[rule] = ["submission_id", "event_index"]
+    with staging(inputs["care_events"].sparkSession) as staged:
+        return write_report(weekly_tables(**inputs, keep=staged), root, fmt, order, headers, labels)

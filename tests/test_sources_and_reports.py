@@ -171,3 +171,105 @@ def test_weekly_report(spark, tmp_path):
     assert set(weekly_report.ORDER) <= set(paths) and len(paths) == 9
     shown = spark.read.parquet(paths["collector_compliance"])
     assert shown.filter("row_ord = 1").count() == 1
+
+
+def test_many_sources_of_few_schemas_are_few_scans(spark, tmp_path):
+    catalogue, want = {}, []
+    for k in range(12):
+        rows = spark.range(k, k + 3).selectExpr(
+            "string(id) as id" if k % 2 else "string(id) as ingreso", "'1' as evento_vsr", "'Grupo 1' as subgrupo",
+            "'01/02/2024' as fecha_inicial_evento", "'x' as fecha_final_evento", "'data' as __source",
+        )
+        catalogue[f"site {k}"] = str(tmp_path / f"a folder {k}")
+        rows.coalesce(1).write.parquet(catalogue[f"site {k}"])
+        want += [(f"site {k}", str(n)) for n in range(k, k + 3)]
+    one_file = next((tmp_path / "a folder 1").glob("part-*.parquet"))
+    got = ingest.consolidate_sources(spark, catalogue)
+    assert sorted((r["site"], r["patient_id"]) for r in got.collect()) == sorted(want)
+    assert plan_of(got).count("FileScan") == 2
+    alone = readers.read_by_schema(spark, {"file": str(one_file)})
+    assert {r[readers.SOURCE] for r in alone[0].collect()} == {"file"}
+
+
+def test_losses_are_counted_while_the_report_is_written(spark, tmp_path):
+    unread = ingest.Unread()
+    sources = views.sample_sources(spark, SF)
+    paths = sample_report.write_sample_report(ingest.consolidate(sources, unread), str(tmp_path / "s"), unread=unread)
+    got = {(r["source"], r["column"]): r["n_unread"] for r in spark.read.parquet(paths["unread"]).collect()}
+    for label, df in sources.items():
+        assert got[label, "event_end"] == df.filter("fecha_final_evento = 'sin dato'").count() > 0
+        assert got[label, "event_start"] == got[label, "slot_no"] == 0
+    assert rows_of(ingest.consolidate(sources, ingest.Unread())) == rows_of(ingest.consolidate(sources))
+    with pytest.raises(ValueError):
+        ingest.harmonise_sample(sources["ASIA"], F.lit("x"), unread=ingest.Unread())
+
+    unread, extracts = ingest.Unread(), [views.extract(spark, SF, s) for s in ("old", "new")]
+    extracts[1] = extracts[1].withColumn("EDAD_MESES", F.lit("old"))
+    tagged = ingest.tagged_snapshots(*extracts, unread=unread)
+    paths = snapshot_report.write_snapshot_report(tagged, str(tmp_path / "r"), codes=views.CODES, headers=snapshot_report.HEADERS, unread=unread)
+    got = {(r["Base"], r["Columna"]): r["Valores no leídos"] for r in spark.read.parquet(paths["unread"]).collect()}
+    assert got["new", "age_months"] == extracts[1].count() and got["old", "age_months"] == 0
+
+
+def test_a_failing_table_leaves_the_old_report(spark, tmp_path):
+    root, first = str(tmp_path / "r"), spark.createDataFrame([(1,)], "x int")
+    with pytest.raises(FileNotFoundError):
+        sinks.read_report(spark, root)
+    sinks.write_report({"a": first, "b": first}, root)
+    broken = spark.range(2).select(F.raise_error(F.lit("no")).alias("x"))
+    with pytest.raises(Exception, match="no"):
+        sinks.write_report({"a": first.selectExpr("x + 1 as x"), "b": broken}, root)
+    assert {n: rows_of(df) for n, df in sinks.read_report(spark, root).items()} == {"a": [(1,)], "b": [(1,)]}
+    assert len(os.listdir(f"{root}/runs")) == 1
+    for k in range(3):
+        sinks.write_report({"a": first.selectExpr(f"x + {k + 5} as x")}, root, "csv")
+    assert rows_of(sinks.read_report(spark, root)["a"]) == [("8",)] and sinks.report_paths(spark, root).keys() == {"a"}
+    assert len(os.listdir(f"{root}/runs")) == len([n for n in os.listdir(f"{root}/manifests") if n.endswith(".json")]) == 2
+    assert sinks.write_report({}, root) == {}
+
+
+def test_every_label_is_read_back(spark, tmp_path):
+    tagged = views.tagged(spark, SF, persons=True)
+    root = str(tmp_path / "s")
+    snapshot_report.write_snapshot_report(tagged, root, codes=views.CODES, headers=snapshot_report.HEADERS, labels=snapshot_report.LABELS)
+    shown = sinks.read_report(spark, root)
+    assert set(snapshot_report.HEADERS) - {"unread"} == set(shown)
+    for name, df in shown.items():
+        assert set(snapshot_report.HEADERS[name].values()) <= set(df.columns), name
+    for name, columns in snapshot_report.LABELS.items():
+        for column, texts in columns.items():
+            header = snapshot_report.HEADERS[name][column]
+            assert {r[header] for r in shown[name].collect()} == set(texts.values()), name
+
+
+def test_care_tables_read_the_events_twice(spark, tmp_path):
+    path = str(tmp_path / "care")
+    views.care_events(spark, SF).write.parquet(path)
+    events = spark.read.parquet(path)
+    inputs = dict(
+        enrolment=views.enrolment(spark, SF), samples=views.samples(spark), targets=views.targets(spark),
+        site_labels=views.SITE_LABELS, cutoff=dt.date(2024, 1, 21), patient_keys=["patient_id"],
+    )
+    source, scans = set(events.inputFiles()), []
+
+    def keep(df, name, partition_by):
+        scans.append(plan_of(df, run=False).count("FileScan"))
+        return sinks.stored(df, name, partition_by)
+
+    tables = weekly_report.weekly_tables(care_events=events, keep=keep, **inputs)
+    assert scans == [1, 1] and not any(source & set(df.inputFiles()) for df in tables.values())
+    assert "PartitionFilters: [isnotnull(rule" in plan_of(tables["age_out_of_range"])
+    lazy = weekly_report.weekly_tables(care_events=events, **inputs)
+    from cohortlens.operators import care
+
+    want = {
+        "error_summary": care.error_summary(events, ["patient_id"]), "max_care_level": care.max_care_level(events),
+        "patients_without_care": care.patients_without_care(events, ["patient_id"]), "birth_after_event": care.birth_after_event(events),
+        "age_out_of_range": care.age_out_of_range(events), "events_without_care": care.events_without_care(events),
+    }
+    for name, df in want.items():
+        assert rows_of(tables[name]) == rows_of(df) == rows_of(lazy[name]), name
+        assert tables[name].dtypes == df.dtypes
+    paths = weekly_report.write_weekly_report(str(tmp_path / "w"), headers=weekly_report.HEADERS, labels=weekly_report.LABELS, care_events=events, **inputs)
+    shown = {r["Tipo de error"] for r in spark.read.parquet(paths["error_summary"]).collect()}
+    assert shown == set(weekly_report.LABELS["error_summary"]["error_type"].values())
