@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 from html.parser import HTMLParser
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -24,6 +26,7 @@ BLOCKS = set(
     "summary table tbody td tfoot th thead title tr ul".split()
 )
 NOT_SHOWN = set("head script style noscript template title iframe object svg math canvas audio video select datalist textarea button".split())
+HEADINGS = set("h1 h2 h3 h4 h5 h6".split())
 BESIDE = set("nav header footer aside form menu dialog".split())
 BESIDE_ROLES = set("navigation banner contentinfo complementary search form menu menubar dialog alert alertdialog toolbar".split())
 BESIDE_NAMES = set(
@@ -31,8 +34,10 @@ BESIDE_NAMES = set(
     "breadcrumbs sidebar header masthead footer cookie cookies consent gdpr notice notices popup modal newsletter subscribe "
     "signup login comment comments commentlist disqus respond replies related share sharing social widget toolbar pagination pager".split()
 )
-#: Parts that may stand beside these in a name: ``comment-list``, ``site-header``. Others make it a name of its own.
-NAME_PARTS = set("area author block body box form item items link links list meta section site slot unit".split())
+#: With one of these parts a name tells what is not there or is there too: ``no-comments``, ``with-sidebar``.
+OTHERWISE = set("and has have hide is layout no not show toggle with without".split())
+#: A name with one of each names what holds the text and more: ``content-sidebar-wrap``.
+TEXT_PARTS, WRAPPERS = set("article content entry main story text".split()), set("container wrap wrapper".split())
 ADVERTS = set("ad ads advert adverts advertisement advertising sponsored sponsor promo promotion".split())
 COMMENTS = set("comment comments commentlist disqus respond replies".split())
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
@@ -42,60 +47,90 @@ ENDS = {
     "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "option": {"option", "optgroup"},
     "tr": {"tr", "tbody", "tfoot", "thead"}, "td": {"td", "th", "tr", "tbody", "tfoot"}, "th": {"td", "th", "tr", "tbody", "tfoot"},
 }
+BARRIERS = {"article", "main", "body", "html"}
 _PART = re.compile(r"[a-z][a-z0-9]*")
+#: What short lines of notices and footers say. Only looked for where no element marks the article.
+_NOTICE = re.compile(r"©|\(c\) *[0-9]{4}|copyright|all rights reserved|\bcookies?\b|privacy policy|terms of (?:use|service)", re.I)
+_SENTENCE = re.compile(r"[.!?…:;。！？؟।][\"'”’»)\]]*$")
+#: Characters of a line that is text whatever it ends with, and that a notice has at most.
+TEXT_CHARS, NOTICE_CHARS = 80, 300
 
 
 def marks(names: str) -> set[str]:
-    """The listed words of those class or id tokens that hold nothing else."""
+    """The listed words in the class or id tokens that name what stands beside the text."""
     out = set()
     for token in names.lower().split():
         parts = {x.rstrip("0123456789") for x in _PART.findall(re.sub(r"[0-9]+x[0-9]+", " ", token))}
-        if parts <= BESIDE_NAMES | NAME_PARTS:
+        if not parts & OTHERWISE and not (parts & TEXT_PARTS and parts & WRAPPERS):
             out |= parts & BESIDE_NAMES
     return out
 
 
+class Line(NamedTuple):
+    text: str
+    beside: int  # 0 no; 1 by a name alone; 2 by an element, a role, or as comments or an advert
+    main: int  # number of the article or main element that it stands in, or 0
+    linked: int  # characters of link text
+    heading: bool
+
+
 class Lines(HTMLParser):
     """Strips markup: the page's blocks, each with what it stands in.
 
-    ``lines``: text, whether it stands beside the main text, whether in an article or main
-    element, and how many of its characters are link text.
-
     An article or main element ends the mark of what it stands in, unless it is an advert or
     a comment itself. An article in an aside or among comments or related pages is one of
-    those; but an aside that nothing closes doesn't hold it.
+    those; but an aside that nothing closes doesn't hold it. Work and memory grow with the
+    page, however deep its elements are nested.
     """
 
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
-        self.lines: list[tuple[str, bool, int, int]] = []
-        self.open: list[tuple[str, bool, bool, bool, int, int]] = []  # tag, hidden, beside, main, holder, own number
-        self.n_open = 0
+        self.lines: list[Line] = []
+        self.open: list[tuple[str, bool, int, bool, int, int]] = []  # tag, hidden, beside, main, holder, own number
+        self.scopes: list[Counter] = [Counter()]  # open elements since each barrier
+        self.n_barriers = self.n_links = self.n_open = 0
         self.closed: set[int] = set()
         self.holders: list[int] = []  # of each line
         self.text: list[str] = []
         self.linked = 0
+        self.heading = False
         self.n_main = 0
         self.main_at = 0
 
-    def _state(self) -> tuple[bool, bool, bool, int]:
+    def _state(self) -> tuple[bool, int, bool, int]:
         """Hidden, beside, main, and the number of the aside that the text stands in, if any."""
-        return self.open[-1][1:5] if self.open else (False, False, False, 0)
+        return self.open[-1][1:5] if self.open else (False, 0, False, 0)
 
     def _cut(self) -> None:
         if self.text:
             line = " ".join("".join(self.text).split())
             if line:
                 _, beside, main, holder = self._state()
-                self.lines.append((line, beside, self.main_at if main else 0, self.linked))
+                self.lines.append(Line(line, beside, self.main_at if main else 0, self.linked, self.heading))
                 self.holders.append(holder)
-        self.text, self.linked = [], 0
+        self.text, self.linked, self.heading = [], 0, False
+
+    def _push(self, tag: str, hidden: bool, beside: int, main: bool, holder: int) -> None:
+        self.open.append((tag, hidden, beside, main, holder, self.n_open))
+        self.scopes[-1][tag] += 1
+        self.n_links += tag == "a"
+        if tag in BARRIERS:
+            self.scopes.append(Counter())
+
+    def _pop(self) -> str:
+        tag, *_, number = self.open.pop()
+        if tag in BARRIERS:
+            self.scopes.pop()
+        self.scopes[-1][tag] -= 1
+        self.n_links -= tag == "a"
+        self.closed.add(number)
+        return tag
 
     def handle_starttag(self, tag: str, attrs: list) -> None:
         if tag in BLOCKS:
             self._cut()
         while self.open and tag in ENDS.get(self.open[-1][0], ()):
-            self.closed.add(self.open.pop()[5])
+            self._pop()
         if tag in VOID:
             return
         hidden, beside, main, holder = self._state()
@@ -105,7 +140,7 @@ class Lines(HTMLParser):
         role = (names.get("role") or "").lower()
         hidden |= tag in NOT_SHOWN or "hidden" in names or "none" in (names.get("style") or "").replace(" ", "").partition("display:")[2][:4]
         if tag in ("article", "main") or role in ("article", "main"):
-            beside = bool(named & (ADVERTS | COMMENTS))
+            beside = 2 if named & (ADVERTS | COMMENTS) else 0
             if "main" in (tag, role):
                 holder = 0
             if not main and not beside:
@@ -116,10 +151,13 @@ class Lines(HTMLParser):
             inner = tag == "header" and main  # an article's own header holds its headline
             if main:
                 named -= {"header", "masthead", "banner", "menu"}
-            beside |= (tag in BESIDE and not inner) or role in BESIDE_ROLES or bool(named)
+            if (tag in BESIDE and not inner) or role in BESIDE_ROLES or named & (ADVERTS | COMMENTS):
+                beside = 2
+            elif named:
+                beside = max(beside, 1)
             if tag == "aside" or role == "complementary" or named & (COMMENTS | {"related"}):
                 holder = holder or self.n_open
-        self.open.append((tag, hidden, beside, main, holder, self.n_open))
+        self._push(tag, hidden, beside, main, holder)
 
     def handle_startendtag(self, tag: str, attrs: list) -> None:
         self.handle_starttag(tag, attrs)
@@ -129,24 +167,24 @@ class Lines(HTMLParser):
     def handle_endtag(self, tag: str) -> None:
         if tag in BLOCKS:
             self._cut()
-        for k in range(len(self.open) - 1, -1, -1):
-            if self.open[k][0] == tag:
-                self.closed.add(self.open[k][5])
-                del self.open[k:]
-                return
-            if self.open[k][0] in ("article", "main", "body") and tag not in ("html", "body", "article", "main"):
-                return  # a stray end tag closes nothing outside its article
+        # a stray end tag closes nothing outside its article
+        scopes = self.scopes if tag in BARRIERS else self.scopes[-1:]
+        if any(scope[tag] > 0 for scope in scopes):
+            while self._pop() != tag:
+                pass
 
     def handle_data(self, data: str) -> None:
         if not self._state()[0]:
             self.text.append(data)
-            if any(o[0] == "a" for o in self.open):
+            if self.n_links:
                 self.linked += len(data.strip())
+            if self.open and self.open[-1][0] in HEADINGS:
+                self.heading = True
 
     def close(self) -> None:
         super().close()
         self._cut()
-        self.lines = [(text, beside or holder in self.closed, main, linked) for (text, beside, main, linked), holder in zip(self.lines, self.holders)]
+        self.lines = [line._replace(beside=2) if holder in self.closed else line for line, holder in zip(self.lines, self.holders)]
 
 
 def main_regions(lengths: np.ndarray, linked: np.ndarray, total: np.ndarray, window: int = WINDOW, surge: float = SURGE) -> list[tuple[int, int]]:
@@ -165,22 +203,49 @@ def main_regions(lengths: np.ndarray, linked: np.ndarray, total: np.ndarray, win
     return [(a, b) for a, b in regions if linked[a:b].sum() <= LINKS * total[a:b].sum() or sums[a : b + window - 1].max() >= surge * sums.max()]
 
 
+def text_lengths(lines: list[Line]) -> np.ndarray:
+    """The length that each line has in the distribution: 0 for what is not the main text.
+
+    Where the page marks articles or main elements, all lines in them count, others don't.
+    Where it marks none, lines that are mostly links don't, nor short ones that speak as
+    notices do, nor those in elements named like what stands beside a text, unless these
+    hold more than twice as much text as all others do: then the names mean something else.
+    """
+    total, linked = np.array([len(x.text) for x in lines], float), np.array([x.linked for x in lines], float)
+    beside = np.array([x.beside for x in lines], int)
+    if any(x.main and not x.beside for x in lines):
+        return np.where([x.main > 0 for x in lines] & (beside == 0), total, 0)
+    plain = np.where(linked <= LINKS * total, total, 0)
+    notice = [len(x.text) <= NOTICE_CHARS and bool(_NOTICE.search(x.text)) for x in lines]
+    plain[np.array(notice, bool)] = 0
+    named = plain[beside == 1].sum() > 2 * plain[beside == 0].sum()
+    return np.where(beside <= int(named), plain, 0)
+
+
 def main_text(html: str | None) -> str:
     """The main text's blocks, joined by an empty line; empty if there is none.
 
-    Lines beside the main text are left out. Where the page marks articles or main elements,
-    their lines are the main text, all of them. Where it marks none, lines that are mostly
-    links have length 0 in the distribution, and every stretch of text is kept.
+    On every page, the stretches from a surge to a dive of the text summed over line windows
+    are kept, less the lines in them that have no length (``text_lengths``). Where no
+    element marks the article, short lines at a stretch's ends that are neither headings nor
+    sentences are left out, as bars of words at the top and the bottom of a page are.
     """
     parser = Lines()
     parser.feed(html or "")
     parser.close()
-    lines = [line for line in parser.lines if not line[1]]
-    if any(main for _, _, main, _ in lines):
-        return "\n\n".join(text for text, _, main, _ in lines if main)
-    total, linked = (np.array([x(line) for line in lines], float) for x in (lambda line: len(line[0]), lambda line: line[3]))
-    lengths = np.where(linked <= LINKS * total, total, 0)
-    return "\n\n".join(lines[k][0] for a, b in main_regions(lengths, linked, total) for k in range(a, b) if lengths[k])
+    lines = [line for line in parser.lines if line.beside < 2]
+    if not lines:
+        return ""
+    lengths = text_lengths(lines)
+    total, linked = np.array([len(x.text) for x in lines], float), np.array([x.linked for x in lines], float)
+    marked = any(x.main and not x.beside for x in lines)
+    texty = [marked or x.heading or len(x.text) >= TEXT_CHARS or bool(_SENTENCE.search(x.text)) for x in lines]
+    out = []
+    for a, b in main_regions(lengths, np.where(marked, 0, linked), total):
+        kept = [k for k in range(a, b) if lengths[k]]
+        ends = [k for k in kept if texty[k]] or kept
+        out += [lines[k].text for k in kept if ends[0] <= k <= ends[-1]]
+    return "\n\n".join(out)
 
 
 def extracted(pages: DataFrame) -> DataFrame:
