@@ -107,6 +107,41 @@ def _candidate(kind: str, form: int) -> str:
         if(s.m rlike r"{GAZETTEER[kind]}", 1, -1) as gazetteer, if(s.before rlike r"{CONTEXT[kind]}", 1, 0) as context, {shape} as shape)"""
 
 
+CANDIDATE = "struct<kind: string, start: bigint, end: bigint, form: int, gazetteer: int, context: int, shape: string>"
+
+
+def _swept(steps: str, value: str, best: str, none: str) -> str:
+    """SQL: the further spans in ``steps``, each with the ``best`` ``value`` of base spans before it.
+
+    Chunk by chunk: the best of each chunk first, then, inside a chunk, from the best of all
+    chunks before it. So the work grows with the number of spans.
+    """
+    step = lambda m: f"if(s.o = 0, {best}({m}, s.{value}), {m})"
+    part = f"slice(steps, c * {CHUNK} + 1, {CHUNK})"
+    chunks = f"sequence(0, int((size(steps) - 1) div {CHUNK}))"
+    before = f"coalesce(array_{'max' if best == 'greatest' else 'min'}(slice(tops, 1, c)), {none})"
+    inside = f"""aggregate({part}, struct({before} as m, cast(array() as array<struct<x: {CANDIDATE}, m: bigint>>) as found),
+        (a, s) -> struct({step('a.m')} as m, if(s.o = 0, a.found, concat(a.found, array(struct(s.x as x, a.m as m)))) as found),
+        a -> a.found)"""
+    tops = f"transform({chunks}, c -> aggregate({part}, {none}, (m, s) -> {step('m')}))"
+    return f"transform(array({steps}), steps -> transform(array({tops}), tops -> flatten(transform({chunks}, c -> {inside})))[0])[0]"
+
+
+def _apart() -> str:
+    """SQL: the spans of ``loose`` that overlap none of ``base``, by start.
+
+    All spans in order of their starts: one of ``loose`` is apart if no base span before it
+    ends later than it starts, and the next one starts no earlier than it ends.
+    """
+    every = f"""array_sort(concat(
+        transform(base, b -> struct(b.start as start, 0 as o, b.end as end, cast(null as {CANDIDATE}) as x)),
+        transform(loose, l -> struct(l.start as start, 1 as o, l.end as end, cast(l as {CANDIDATE}) as x))))"""
+    left = _swept(every, "end", "greatest", "-1L")
+    right = f"reverse({_swept(f'reverse({every})', 'start', 'least', '9223372036854775807L')})"
+    kept = f"filter(zip_with({left}, {right}, (l, r) -> struct(l, r)), z -> z.l.m <= z.l.x.start and z.r.m >= z.l.x.end)"
+    return f"if(size(loose) = 0 or size(base) = 0, cast(loose as array<{CANDIDATE}>), transform({kept}, z -> z.l.x))"
+
+
 def candidates(docs: DataFrame) -> DataFrame:
     """``doc_id, base, loose``: the valid base spans, and further ones to vote on.
 
@@ -123,8 +158,7 @@ def candidates(docs: DataFrame) -> DataFrame:
     more = [f"transform(loose_{k}_s, s -> {_candidate(k, 0)})" for k in LOOSE]
     more.append(f"transform(filter(base_card_s, s -> {_SIZED} and not {_LUHN}), s -> {_candidate('card', -1)})")
     rows = rows.select("doc_id", F.expr(f"concat({', '.join(base)})").alias("base"), F.expr(f"concat({', '.join(more)})").alias("loose"))
-    apart = "filter(loose, x -> not exists(base, b -> b.start < x.end and x.start < b.end))"
-    return rows.select("doc_id", "base", F.expr(f"if(size(loose) = 0, loose, {apart})").alias("loose"))
+    return rows.select("doc_id", "base", F.expr(_apart()).alias("loose"))
 
 
 def _table(values: dict[str, float]) -> Column:
