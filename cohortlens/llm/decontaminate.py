@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterator
 from typing import NamedTuple
 
@@ -10,10 +11,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from cohortlens.llm.stage import staged
 from cohortlens.llm.words import ALNUM, hashed, words_of
 
 #: Benchmark text given to the tasks at once. More is searched block after block.
 BLOCK_CHARS = 16 << 20
+#: Bytes of a row in which windows come from the task that makes them.
+PART_BYTES = 8 << 20
 #: Every so many-th text position of an index keeps its place; others walk to one.
 SAMPLE = 8
 #: Words of document text that one index covers (or one document, where that is longer).
@@ -53,9 +57,9 @@ def phrases(items: pa.Table, size: int) -> Phrases:
     for k, x in enumerate(order):
         one = np.frombuffer(x, np.int64)
         windows[k, : len(one)] = one
-    names = sorted({i for s in found.values() for i in s}, key=str)
+    names = sorted({i for s in found.values() for i in s if i is not None}, key=str)
     place = {i: k for k, i in enumerate(names)}
-    owners = [sorted(place[i] for i in found[x]) for x in order]
+    owners = [sorted(place[i] for i in found[x] if i is not None) for x in order]
     return Phrases(
         hashes, np.unique(np.concatenate(grams)), windows,
         np.array([len(x) // 8 for x in order], np.int64),
@@ -263,12 +267,14 @@ def contaminated_spans(docs: DataFrame, benchmark: DataFrame, size: int = 10, bl
     each: suffix array by prefix doubling, its last column in a wavelet matrix, every
     eighth position sampled. All windows search it together.
 
-    The benchmark is read in blocks of at most ``block_chars`` characters (one item, if it
-    is longer), dealt by a hash of the item; a block goes to all tasks, and the documents
-    pass once for each block. Null texts have no words; items with a null id are left out.
+    The benchmark is taken in blocks of at most ``block_chars`` characters (one item, if it
+    is longer), dealt by a hash of the item. A task makes the windows of a block, which go
+    to all tasks, and the documents pass once for each block; between two blocks they are
+    written with what was found, so no more than one block is held anywhere. Null texts have
+    no words; the windows of an item with a null id are searched too, but it is not listed.
     No benchmark or no documents: no spans, or no rows.
     """
-    items = benchmark.filter("item_id is not null and text is not null").select("item_id", "text")
+    items = benchmark.filter("text is not null").select("item_id", "text")
     total = items.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("n")).first()["n"]
     n_blocks = max(1, -(-total // max(1, block_chars // 2))) if total > block_chars else 1
     names = [c for c in docs.columns if c not in ("n_words", "spans", "item_ids")]
@@ -278,10 +284,30 @@ def contaminated_spans(docs: DataFrame, benchmark: DataFrame, size: int = 10, bl
     )
     for k in range(n_blocks):
         part = items.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(n_blocks)) == k) if n_blocks > 1 else items
-        out = _searched(out, phrases(part.toArrow(), size))
+        if k:
+            out = staged(out, "found")
+        out = _searched(out, block_phrases(part, size))
     return out
 
 
+def block_phrases(items: DataFrame, size: int) -> Phrases:
+    """``phrases`` of a block of items, made by one task: at most ``BLOCK_CHARS`` and an item."""
+
+    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = pa.Table.from_batches(list(batches), schema)
+        raw = pickle.dumps(phrases(held, size))
+        parts = [raw[k : k + PART_BYTES] for k in range(0, len(raw), PART_BYTES)]
+        for k, part in enumerate(parts):
+            yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([part], pa.binary())], ["k", "part"])
+
+    schema = pa.schema([("item_id", pa.string()), ("text", pa.string())])
+    texts = items.select(F.col("item_id").cast("string").alias("item_id"), "text").coalesce(1)
+    found = texts.mapInArrow(of, "k int, part binary").collect()
+    if not found:
+        return phrases(schema.empty_table(), size)
+    return pickle.loads(b"".join(bytes(r["part"]) for r in sorted(found, key=lambda r: r["k"])))
+
+
 def contamination(docs: DataFrame, benchmark: DataFrame, size: int = 10) -> DataFrame:
     """``doc_id, n_words, n_hit, n_items, items_sha256, contaminated`` of each document."""
     found = contaminated_spans(docs.select("doc_id", "text"), benchmark, size)
