@@ -28,7 +28,7 @@ LACKS = {START: USER, AFTER_S: USER, AFTER_U: ASSISTANT, AFTER_A: USER}
 #: Relaxed states of the bound: s may stand alone, so after s is as after a.
 RELAXED = [0, 1, 2, 1]
 NEVER = 1 << 40
-_SPACES = r" \t\n\x0B\f\r"
+_SPACES = " \t\n\x0b\f\r"
 
 
 class Edits(NamedTuple):
@@ -147,7 +147,7 @@ def faults(rows: DataFrame) -> DataFrame:
     text of an earlier row; truncated does not end with ``.``, ``!`` or ``?``. All copies of
     a row but the first are duplicates, unless blank.
     """
-    shown = F.expr(f"trim(trailing '{_SPACES}' from text)")
+    shown = F.rtrim("text", F.lit(_SPACES))
     flag = F.when(shown == "", BLANK).when(F.right(shown, F.lit(1)).isin(".", "!", "?"), SOUND).otherwise(CUT)
     rows = rows.filter("n > 0").select("conv_id", "turn", "role", F.sha2("text", 256).alias("digest"), flag.alias("fault"), "n")
     rows = staged(rows.groupBy("conv_id", "turn", "role", "digest", "fault").agg(F.sum("n").alias("n")), "turns")
