@@ -7,9 +7,11 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from cohortlens.llm.stage import field, in_struct, staged, with_fields
 from cohortlens.llm.words import byte_rows, random_numbers, slices
 
 #: Hashed character n-grams of 1 to 3 letters.
@@ -95,19 +97,20 @@ def _descend(gradient, w: np.ndarray, step: float, rounds: int) -> np.ndarray:
     return w
 
 
-def _with_constant(x: np.ndarray) -> np.ndarray:
-    return np.hstack((x, np.ones((len(x), 1))))
-
-
 def softmax(x: np.ndarray) -> np.ndarray:
     e = np.exp(x - x.max(axis=1, keepdims=True))
     return e / e.sum(axis=1, keepdims=True)
 
 
 def fit(x: np.ndarray, langs: list[str], ridge: float = 1e-4, rounds: int = 150) -> Model:
-    """Multinomial regression for the family; a squared-hinge SVM for each pair in one."""
-    x, langs = _with_constant(x), np.array(langs)
+    """Multinomial regression for the family; a squared-hinge SVM for each pair in one.
+
+    ``x`` has a column of ones last, and a language's rows stand together: a pair is fitted
+    on two views of them.
+    """
+    langs = np.array(langs)
     own = np.array([family_of(s) for s in langs])
+    rows_of = {s: slice(int(at[0]), int(at[-1]) + 1) for s in sorted(set(langs)) for at in [np.flatnonzero(langs == s)]}
     families = sorted(set(own))
     y = (own[:, None] == np.array(families)).astype(float)
     weights = _descend(
@@ -118,12 +121,10 @@ def fit(x: np.ndarray, langs: list[str], ridge: float = 1e-4, rounds: int = 150)
     for names in languages.values():
         for i, a in enumerate(names):
             for b in names[i + 1 :]:
-                rows = (langs == a) | (langs == b)
-                z, t = x[rows], np.where(langs[rows] == a, 1.0, -1.0)
-                weight = np.where(t > 0, 0.5 / (t > 0).sum(), 0.5 / (t < 0).sum())
+                sides = [(x[rows_of[s]], t) for s, t in ((a, 1.0), (b, -1.0))]
                 w = _descend(
-                    lambda w: -2 * z.T @ (weight * t * np.maximum(0, 1 - t * (z @ w))) + ridge * w,
-                    np.zeros(z.shape[1]), 0.2, rounds,
+                    lambda w: sum(-2 * z.T @ ((0.5 / len(z) * t) * np.maximum(0, 1 - t * (z @ w))) for z, t in sides) + ridge * w,
+                    np.zeros(x.shape[1]), 0.2, rounds,
                 )
                 pairs[a, b] = (w, 4.0)
     return Model(families, weights, languages, pairs)
@@ -134,8 +135,7 @@ def predict(model: Model, x: np.ndarray) -> tuple[list[str], np.ndarray]:
 
     Score: the family's probability times the mean of the winner's pairwise probabilities.
     """
-    x = _with_constant(x)
-    shares = softmax(x @ model.family_weights)
+    shares = softmax(x @ model.family_weights[:-1] + model.family_weights[-1])
     best, names, score = shares.argmax(axis=1), [""] * len(x), shares.max(axis=1)
     for k, family in enumerate(model.families):
         rows = np.flatnonzero(best == k)
@@ -143,7 +143,7 @@ def predict(model: Model, x: np.ndarray) -> tuple[list[str], np.ndarray]:
         wins, sums = np.zeros((len(rows), len(langs))), np.zeros((len(rows), len(langs)))
         for (a, b), (w, scale) in model.pairs.items():
             if a in langs and b in langs:
-                share = 1 / (1 + np.exp(-scale * np.clip(x[rows] @ w, -50, 50)))
+                share = 1 / (1 + np.exp(-scale * np.clip(x[rows] @ w[:-1] + w[-1], -50, 50)))
                 for lang, s in ((a, share), (b, 1 - share)):
                     wins[:, langs.index(lang)] += s > 0.5
                     sums[:, langs.index(lang)] += s
@@ -186,15 +186,19 @@ def trained(rows: DataFrame, sample_rows: int = SAMPLE_ROWS) -> Model | None:
                 out = pa.array([v.astype(np.float32).tobytes() if h else None for v, h in zip(x, has)], pa.binary())
                 yield pa.record_batch([part.column("lang"), part.column("drawn"), out], ["lang", "drawn", "x"])
 
-    found = rows.mapInArrow(of, "lang string, drawn long, x binary").filter("x is not null").toArrow().to_pylist()
-    by_lang: dict[str, list] = {}
-    for r in sorted(found, key=lambda r: (r["lang"], r["drawn"], r["x"])):
-        if len(by_lang.setdefault(r["lang"], [])) < most:
-            by_lang[r["lang"]].append(np.frombuffer(r["x"], np.float32))
-    if not by_lang:
+    found = staged(rows.mapInArrow(of, "lang string, drawn long, x binary").filter("x is not null"), "drawn")
+    first = F.row_number().over(Window.partitionBy("lang").orderBy("drawn", "x"))
+    found = found.withColumn("nth", first).filter(F.col("nth") <= most).drop("nth")
+    sizes = {r["lang"]: r["n"] for r in found.groupBy("lang").agg(F.count("*").alias("n")).collect()}
+    if not sizes:
         return None
-    langs = [s for s, v in by_lang.items() for _ in v]
-    return fit(np.array([x for v in by_lang.values() for x in v], np.float64), langs)
+    # one matrix, filled row by row: nothing else of the sample is held here
+    at = dict(zip(sorted(sizes), np.concatenate(([0], np.cumsum([sizes[s] for s in sorted(sizes)])))[:-1].tolist()))
+    x = np.ones((sum(sizes.values()), DIMS + 1))
+    for r in found.orderBy("lang", "drawn", "x").coalesce(4).toLocalIterator():
+        x[at[r["lang"]], :DIMS] = np.frombuffer(r["x"], np.float32)
+        at[r["lang"]] += 1
+    return fit(x, [s for s in sorted(sizes) for _ in range(sizes[s])])
 
 
 def identified(docs: DataFrame, model: Model | None, unnamed: str | None = UNKNOWN) -> DataFrame:
@@ -203,25 +207,25 @@ def identified(docs: DataFrame, model: Model | None, unnamed: str | None = UNKNO
     Null texts and texts without a letter: ``und``, score 0. Where there is no model, all
     others: ``unnamed``, score 0. Columns of these names are replaced.
     """
-    from pyspark.sql import types as T
-
     kept = [c for c in docs.columns if c not in ("lang_pred", "score")]
+    return _identified(in_struct(docs, kept), model, unnamed).select("row.*", "lang_pred", "score")
+
+
+def _identified(carried: DataFrame, model: Model | None, unnamed: str | None) -> DataFrame:
+    """``row, lang_pred, score`` of rows ``row``, a struct with a ``text``."""
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            column = batch.column(batch.schema.names.index("_text"))
-            own = batch.select(kept)
-            for at, texts in text_slices(column):
+            for at, texts in text_slices(field(batch, "text")):
                 x, has = features(texts)
                 names, score = predict(model, x) if model else ([unnamed] * len(texts), np.zeros(len(texts)))
                 names = [n if h else UNKNOWN for n, h in zip(names, has)]
                 yield pa.record_batch(
-                    [*own.slice(at, len(texts)).columns, pa.array(names, pa.string()), pa.array(np.where(has, score, 0.0))],
-                    [*kept, "lang_pred", "score"],
+                    [batch.column("row").slice(at, len(texts)), pa.array(names, pa.string()), pa.array(np.where(has, score, 0.0))],
+                    ["row", "lang_pred", "score"],
                 )
 
-    schema = T.StructType([docs.schema[c] for c in kept] + [T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
-    return docs.select(*kept, F.col("text").alias("_text")).mapInArrow(of, schema)
+    return carried.mapInArrow(of, with_fields(carried, "row", lang_pred=T.StringType(), score=T.DoubleType()))
 
 
 def languages(docs: DataFrame) -> DataFrame:
@@ -241,7 +245,5 @@ def in_known_language(docs: DataFrame) -> DataFrame:
     Without any labelled row there is no model: the same rows stay and ``lang`` stays null.
     """
     model = trained(docs.filter(~is_held_out(F.col("doc_id"), 4, 2)))
-    names = {c: f"own {c}" for c in ("lang_pred", "score") if c in docs.columns}
-    found = identified(docs.withColumnsRenamed(names), model, unnamed=None).filter(~F.col("lang_pred").eqNullSafe(UNKNOWN))
-    found = found.withColumn("lang", F.coalesce("lang", "lang_pred"))
-    return found.drop("lang_pred", "score").withColumnsRenamed({b: a for a, b in names.items()}).select(*docs.columns)
+    found = _identified(in_struct(docs, docs.columns), model, None).filter(~F.col("lang_pred").eqNullSafe(UNKNOWN))
+    return found.select(*[F.coalesce("row.lang", "lang_pred").alias(c) if c == "lang" else F.col("row").getField(c).alias(c) for c in docs.columns])

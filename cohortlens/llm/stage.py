@@ -2,40 +2,76 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
+from collections.abc import Iterator, Sequence
+from contextlib import contextmanager
 
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from cohortlens.sources.sinks import shared_folder
 
-def shared_folder(spark: SparkSession) -> str:
-    """``spark.checkpoint.dir`` of the session.
 
-    Where it is unset (tests, a notebook on one machine) a fresh folder of this machine
-    becomes the session's; a session on a cluster must name its own.
-    """
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        if not spark.sparkContext.master.startswith("local["):
-            raise ValueError("set spark.checkpoint.dir to a folder all executors share")
-        folder = tempfile.mkdtemp(prefix="cohortlens-")
-        spark.conf.set("spark.checkpoint.dir", folder)
-    return folder.rstrip("/")
+#: Paths written since each ``released`` block that is open, the innermost last.
+_written: list[list[str]] = []
 
 
 def staged(df: DataFrame, name: str) -> DataFrame:
     """Write a frame once as Parquet and read it back.
 
     Cuts the lineage, survives lost executors and keeps column pruning for the readers.
-    The files go when the session's file system is closed.
+    The files go at the end of a ``released`` block, or when the session's file system is
+    closed.
     """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/llm/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
-    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(hadoop)
+    _files(spark, path)[0].deleteOnExit(_files(spark, path)[1])
+    if _written:
+        _written[-1].append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def _files(spark: SparkSession, path: str):
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), hadoop
+
+
+def removed(spark: SparkSession, path: str) -> None:
+    files, hadoop = _files(spark, path)
+    files.delete(hadoop, True)
+
+
+@contextmanager
+def released(spark: SparkSession) -> Iterator[list[str]]:
+    """Tables staged inside the block are deleted at its end, but for those taken off the list."""
+    _written.append([])
+    try:
+        yield _written[-1]
+    finally:
+        for path in _written.pop():
+            removed(spark, path)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def in_struct(df: DataFrame, kept: Sequence[str], **own: Column) -> DataFrame:
+    """``row``, a struct of the columns ``kept``, beside columns of our own names.
+
+    So no name of a user's column meets one of ours, in a plan or in an Arrow batch.
+    """
+    return df.select(F.struct(*[df[c] for c in kept]).alias("row"), *[c.alias(name) for name, c in own.items()])
+
+
+def field(batch: pa.RecordBatch, name: str) -> pa.Array:
+    """A column of a batch of ``in_struct``: one of the struct's, or one beside it."""
+    return batch.column(name) if name in batch.schema.names and name != "row" else batch.column("row").field(name)
+
+
+def with_fields(df: DataFrame, *kept: str, **new: T.DataType) -> T.StructType:
+    """The schema of columns ``kept`` of a frame, and new ones."""
+    return T.StructType([df.schema[c] for c in kept] + [T.StructField(name, kind) for name, kind in new.items()])
