@@ -16,13 +16,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from cohortlens.llm.stage import field, in_struct, with_fields
 from cohortlens.llm.words import byte_rows, slices
 
 #: Text bytes encoded, or token ids decoded, at once.
 ENCODE_BYTES = 1 << 21
 DECODE_IDS = 1 << 18
-#: Words, and pieces of words, whose ids a task keeps.
-CACHED = 300_000
+#: Estimated bytes of the words, and of the pieces of words, whose ids a task keeps, and the
+#: longest of them; longer ones are encoded each time.
+KEPT_BYTES, KEPT_CHARS = 48 << 20, 64
 VISIBLE_SPACE = re.compile(r"(?<=\S) (?=\S)")
 
 
@@ -51,16 +53,22 @@ class _Apart(Exception):
 
 
 class _Parts(dict):
-    """Ids, as bytes, of texts met before; emptied when it holds ``CACHED`` of them."""
+    """Ids, as bytes, of short texts met before; emptied when they take ``KEPT_BYTES``."""
 
     def __init__(self, encode):
         self.encode = encode
+        self.n_bytes = 0
 
     def __missing__(self, part: str) -> bytes:
         ids = self.encode(part)
-        if len(self) >= CACHED:
+        if len(part) > KEPT_CHARS:
+            return ids
+        size = 150 + 2 * len(part) + len(ids)  # of both objects and their place here
+        if self.n_bytes + size > KEPT_BYTES:
             self.clear()
+            self.n_bytes = 0
         self[part] = ids
+        self.n_bytes += size
         return ids
 
 
@@ -162,28 +170,25 @@ def encoded(df: DataFrame, vocab: str, pattern: str, text: str = "text", ids: st
     of the new names are replaced. Whole texts are encoded; a task holds one slice of about
     2 MB of text, or one text, at a time.
     """
-    new = [T.StructField(ids, T.BinaryType())]
-    if offsets:
-        new += [T.StructField(n, T.ArrayType(T.IntegerType())) for n in ("starts", "ends")]
-    names = [f.name for f in new]
+    names = [ids, *["starts", "ends"] * offsets]
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = _model(vocab, pattern)
         for batch in batches:
-            data, off = byte_rows(batch.column(batch.schema.names.index("_text")))
-            kept = batch.select([n for n in batch.schema.names if n != "_text"])
+            data, off = byte_rows(field(batch, text))
             for a, b in slices(off, ENCODE_BYTES):
                 raw = [data[off[k] : off[k + 1]].tobytes() for k in range(a, b)]
                 found = [model.ids(x.decode()) for x in raw]
-                columns = [pa.array([x.tobytes() for x in found], pa.binary())]
+                columns = [batch.column("row").slice(a, b - a), pa.array([x.tobytes() for x in found], pa.binary())]
                 if offsets:
                     both = [model.offsets(x, i) for x, i in zip(raw, found)]
                     columns += [pa.array([x[k] for x in both], pa.list_(pa.int32())) for k in (0, 1)]
-                yield pa.record_batch([*kept.slice(a, b - a).columns, *columns], [*kept.schema.names, *names])
+                yield pa.record_batch(columns, ["row", "ids", *names[1:]])
 
     kept = [c for c in df.columns if c not in names]
-    schema = T.StructType([df.schema[c] for c in kept] + new)
-    return df.select(*kept, F.col(text).alias("_text")).mapInArrow(of, schema)
+    carried = in_struct(df, kept, **({} if text in kept else {text: df[text]}))
+    kinds = {"ids": T.BinaryType()} | {n: T.ArrayType(T.IntegerType()) for n in names[1:]}
+    return carried.mapInArrow(of, with_fields(carried, "row", **kinds)).select("row.*", F.col("ids").alias(ids), *names[1:])
 
 
 def decoded(df: DataFrame, vocab: str, pattern: str, ids: str = "ids", into: str = "decoded") -> DataFrame:
@@ -197,16 +202,17 @@ def decoded(df: DataFrame, vocab: str, pattern: str, ids: str = "ids", into: str
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = _model(vocab, pattern)
         for batch in batches:
-            column = batch.column(batch.schema.names.index(ids))
+            column = field(batch, ids)
             sizes = np.array([len(x.as_buffer()) if x.is_valid else 0 for x in column], np.int64)
             for a, b in slices(np.concatenate(([0], np.cumsum(sizes))), 4 * DECODE_IDS):
                 back = [
                     model.bytes_of(np.frombuffer(x.as_buffer(), np.uint32)) if x.is_valid else None
                     for x in column.slice(a, b - a)
                 ]
-                yield pa.record_batch([*batch.slice(a, b - a).columns, pa.array(back, pa.binary())], [*kept, into])
+                yield pa.record_batch([batch.column("row").slice(a, b - a), pa.array(back, pa.binary())], ["row", "bytes"])
 
-    return df.select(*kept).mapInArrow(of, T.StructType([df.schema[c] for c in kept] + [T.StructField(into, T.BinaryType())]))
+    carried = in_struct(df, kept, **({} if ids in kept else {ids: df[ids]}))
+    return carried.mapInArrow(of, with_fields(carried, "row", bytes=T.BinaryType())).select("row.*", F.col("bytes").alias(into))
 
 
 def round_trip(docs: DataFrame, vocab: str, pattern: str) -> DataFrame:
