@@ -294,7 +294,8 @@ def block_phrases(items: DataFrame, size: int) -> Phrases:
     """``phrases`` of a block of items, made by one task: at most ``BLOCK_CHARS`` and an item."""
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = pa.Table.from_batches(list(batches), schema)
+        given = list(batches)
+        held = pa.Table.from_batches(given) if given else schema.empty_table()
         raw = pickle.dumps(phrases(held, size))
         parts = [raw[k : k + PART_BYTES] for k in range(0, len(raw), PART_BYTES)]
         for k, part in enumerate(parts):

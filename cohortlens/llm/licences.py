@@ -8,8 +8,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from cohortlens.llm.stage import staged
+from cohortlens.llm.stage import in_struct, staged, with_fields
 from cohortlens.llm.words import ALNUM, byte_rows, hashed, words_of
 
 # Openings, grants and notices by which licences are known.
@@ -142,7 +143,7 @@ def matched(files: DataFrame, templates: dict[str, list[str]], least: float = LE
         np.add.at(vectors[k], np.searchsorted(terms, h), 1)
     vectors *= idf
     vectors /= np.linalg.norm(vectors, axis=1, keepdims=True)
-    kept = [c for c in files.columns if c != "text"]
+    carried = in_struct(files, [c for c in files.columns if c != "text"], text=files["text"])
     lengths: dict[int, list[int]] = {}
     for k, h in enumerate(rows):
         for size in {int(np.ceil(x * len(h))) for x in WINDOWS if needs[k] == least or x == 1}:
@@ -153,7 +154,6 @@ def matched(files: DataFrame, templates: dict[str, list[str]], least: float = LE
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             column = batch.column("text")
-            own = batch.select(kept)
             best = [(None, 0.0)] * batch.num_rows
             share = np.zeros(batch.num_rows)
             for w, lines in zip(words_of(column, ALNUM), words_of(column, _LINE)):
@@ -201,14 +201,12 @@ def matched(files: DataFrame, templates: dict[str, list[str]], least: float = LE
                 counted = np.concatenate(([0], np.cumsum(np.cumsum(inside[:-1]) > 0)))
                 share[w.first : w.first + len(w.counts)] = np.diff(counted[bounds]) / np.maximum(w.counts, 1)
             yield pa.record_batch(
-                [*own.columns, pa.array([b[0] for b in best], pa.string()), pa.array([b[1] for b in best], pa.float64()), pa.array(share)],
-                [*kept, "own_licence", "cosine", "share"],
+                [batch.column("row"), pa.array([b[0] for b in best], pa.string()), pa.array([b[1] for b in best], pa.float64()), pa.array(share)],
+                ["row", *new],
             )
 
-    from pyspark.sql import types as T
-
-    new = [T.StructField("own_licence", T.StringType()), T.StructField("cosine", T.DoubleType()), T.StructField("share", T.DoubleType())]
-    return files.select(*kept, "text").mapInArrow(of, T.StructType([files.schema[c] for c in kept] + new))
+    new = {"own_licence": T.StringType(), "cosine": T.DoubleType(), "share": T.DoubleType()}
+    return carried.mapInArrow(of, with_fields(carried, "row", **new)).select("row.*", *new)
 
 
 def parent(path: Column) -> Column:
@@ -233,19 +231,22 @@ def inherited(files: DataFrame) -> DataFrame:
     licence that most of them have, then the first by name. Directories are resolved first,
     each once: its ancestors are joined to the directories that hold licence files.
     """
-    rows = files.withColumn("_folder", parent(F.coalesce("path", F.lit(""))))
-    votes = rows.filter("is_licence_file and own_licence is not null").groupBy("_folder", "own_licence").agg(F.count("*").alias("n"))
-    owned = votes.groupBy(F.col("_folder").alias("folder")).agg(
+    rows = in_struct(
+        files, files.columns, folder=parent(F.coalesce(files["path"], F.lit(""))), own_licence=files["own_licence"],
+        is_licence_file=files["is_licence_file"],
+    )
+    votes = rows.filter("is_licence_file and own_licence is not null").groupBy("folder", "own_licence").agg(F.count("*").alias("n"))
+    owned = votes.groupBy(F.col("folder").alias("owner")).agg(
         F.min_by("own_licence", F.struct(-F.col("n"), F.col("own_licence"))).alias("given")
     )
-    folders = rows.select("_folder").distinct()
-    above = folders.select("_folder", F.explode(ancestors(F.col("_folder"))).alias("a")).select("_folder", "a.*")
-    nearest = above.join(owned, "folder").groupBy("_folder").agg(F.max_by("given", "depth").alias("_given"))
+    folders = rows.select("folder").distinct()
+    above = folders.select("folder", F.explode(ancestors(F.col("folder"))).alias("a")).select("folder", F.col("a.depth").alias("depth"), F.col("a.folder").alias("owner"))
+    nearest = above.join(owned, "owner").groupBy("folder").agg(F.max_by("given", "depth").alias("given"))
     own = F.col("own_licence").isNotNull()
-    return rows.join(nearest, "_folder", "left").select(
-        *files.columns,
-        F.coalesce("own_licence", "_given").alias("licence"),
-        F.when(own, "own").when(F.col("_given").isNotNull(), "directory").otherwise("none").alias("origin"),
+    return rows.join(nearest, "folder", "left").select(
+        "row.*",
+        F.coalesce("own_licence", "given").alias("licence"),
+        F.when(own, "own").when(F.col("given").isNotNull(), "directory").otherwise("none").alias("origin"),
     )
 
 
@@ -265,15 +266,27 @@ def licences(files: DataFrame, templates: dict[str, list[str]] | None = None, le
     return inherited(found)
 
 
-def document_licences(docs: DataFrame) -> DataFrame:
-    """``doc_id, path, own_licence, cosine, licence, origin`` of each document.
+def url_path(url: Column) -> Column:
+    """The path of a file as its address has it: host and path, without scheme, query or fragment."""
+    bare = F.regexp_replace(F.regexp_replace(url, "^[A-Za-z][A-Za-z0-9+.-]*://", ""), "[?#].*$", "")
+    return F.regexp_replace(bare, "/+", "/")
+
+
+def all_licences(docs: DataFrame, pages: DataFrame) -> DataFrame:
+    """``kind, id, path, own_licence, cosine, licence, origin`` of each document and page.
 
-    Documents have no paths, so one is made of their source and id: 1000 ids share a folder
-    below the source and 100 of them one below that. The first of 100 opens its folder: a
-    licence in it stands for the folder.
+    A page stands in the directories of its address, and takes the licence of the nearest
+    one that holds a licence file; one without an address neither gives nor takes. Documents have no path: their own licence is all there is.
+    Null texts and addresses, see ``licences``; ids are carried as they are.
     """
-    i = F.col("doc_id")
-    part = lambda n: F.floor(i / n).cast("string")
-    path = F.concat_ws("/", F.coalesce("source", F.lit("unknown")), F.coalesce(part(1000), F.lit("none")), F.coalesce(part(100), F.lit("none")), F.concat(F.coalesce(i.cast("string"), F.lit("none")), F.lit(".txt")))
-    files = docs.select("doc_id", "text", path.alias("path"), (i % 100 == 0).alias("opens_folder"))
-    return licences(files).select("doc_id", "path", "own_licence", "cosine", "licence", "origin")
+    alone = matched(docs.select(F.col("doc_id").cast("long").alias("id"), "text"), TEMPLATES, LEAST)
+    own = F.col("own_licence")
+    first = alone.select(
+        F.lit("document").alias("kind"), "id", F.lit(None).cast("string").alias("path"), "own_licence", "cosine",
+        own.alias("licence"), F.when(own.isNotNull(), "own").otherwise("none").alias("origin"),
+    )
+    apart = F.concat(F.lit("?"), F.monotonically_increasing_id().cast("string"), F.lit("/"))  # no address has a question mark now
+    files = pages.select(F.col("page_id").cast("long").alias("id"), F.coalesce(url_path(F.col("url")), apart).alias("path"), F.col("html").alias("text"))
+    path = F.when(~F.col("path").startswith("?"), F.col("path")).alias("path")
+    second = licences(files).select(F.lit("page").alias("kind"), "id", path, "own_licence", "cosine", "licence", "origin")
+    return first.unionByName(second)

@@ -8,12 +8,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from cohortlens.llm.stage import staged
+from cohortlens.llm.stage import in_struct, staged
 
 #: Words from which a repeated run of lines is deleted.
 LEAST_WORDS = 50
-#: Texts with deleted runs up to which their list is broadcast, so that no text is shuffled.
-BROADCAST_TEXTS = 250_000
+#: Bytes up to which the list of deleted runs is broadcast, so that no text is shuffled.
+BROADCAST_BYTES = 16 << 20
 
 
 def line_table(docs: DataFrame) -> DataFrame:
@@ -130,36 +130,38 @@ def line_dedup(docs: DataFrame, least: int = LEAST_WORDS) -> DataFrame:
     plain = docs.select("doc_id", "text")
     seq = staged(sequence_table(staged(line_table(plain), "hashes"), least), "sequence")
     gone = staged(maximal_runs(later_copies(seq, least)), "removed").select(
-        F.col("doc_id").alias("_id"), F.col("th").alias("_th"), F.col("removed").alias("_gone")
+        F.col("doc_id").alias("gone_id"), F.col("th").alias("gone_th"), F.col("removed").alias("gone")
     )
-    if gone.count() <= BROADCAST_TEXTS:
+    # broadcast by the bytes it takes: 32 a text and 16 a run
+    if gone.agg(F.coalesce(F.sum(32 + 16 * F.size("gone")), F.lit(0))).first()[0] <= BROADCAST_BYTES:
         gone = F.broadcast(gone)
     kept = [c for c in docs.columns if c not in ("n_lines", "n_removed", "removed")]
-    rows = docs.select(*kept, F.xxhash64("text").alias("_text_hash"))
-    joined = rows.join(gone, rows["doc_id"].eqNullSafe(gone["_id"]) & (rows["_text_hash"] == gone["_th"]), "left")
-    lines = joined.withColumn("_lines", F.split("text", "\n"))
+    rows = in_struct(docs, [c for c in kept if c != "text"], id=docs["doc_id"], text=docs["text"], th=F.xxhash64(docs["text"]))
+    joined = rows.join(gone, F.col("id").eqNullSafe(F.col("gone_id")) & (F.col("th") == F.col("gone_th")), "left")
+    lines = joined.withColumn("lines", F.split("text", "\n"))
     cut = lines.withColumn(
-        "_cut",
+        "cut",
         F.expr(
-            """if(_gone is null, null, transform(
-                 array(filter(transform(_lines, (l, i) -> if(l rlike '\\\\S', i, null)), i -> i is not null)),
-                 full -> transform(_gone, g -> struct(full[int(g.a)] as a, coalesce(get(full, int(g.b)), size(_lines)) as b))
+            """if(gone is null, null, transform(
+                 array(filter(transform(lines, (l, i) -> if(l rlike '\\\\S', i, null)), i -> i is not null)),
+                 full -> transform(gone, g -> struct(full[int(g.a)] as a, coalesce(get(full, int(g.b)), size(lines)) as b))
                )[0])"""
         ),
     )
     # what lies between the deleted ranges, before the first and after the last
     left = F.expr(
-        """flatten(transform(sequence(0, size(_cut)), k -> slice(_lines,
-             if(k = 0, 0, _cut[k - 1].b) + 1,
-             if(k = size(_cut), size(_lines), _cut[k].a) - if(k = 0, 0, _cut[k - 1].b))))"""
+        """flatten(transform(sequence(0, size(cut)), k -> slice(lines,
+             if(k = 0, 0, cut[k - 1].b) + 1,
+             if(k = size(cut), size(lines), cut[k].a) - if(k = 0, 0, cut[k - 1].b))))"""
     )
     none = F.array().cast("array<struct<a: int, b: int>>")
-    gap = F.aggregate("_cut", F.lit(0), lambda n, c: n + c["b"] - c["a"])
+    gap = F.aggregate("cut", F.lit(0), lambda n, c: n + c["b"] - c["a"])
+    shortened = F.when(F.col("cut").isNull(), F.col("text")).otherwise(F.array_join(left, "\n"))
     return cut.select(
-        *[F.when(F.col("_cut").isNull(), F.col("text")).otherwise(F.array_join(left, "\n")).alias("text") if c == "text" else F.col(c) for c in kept],
-        F.when(F.col("text").isNull(), 0).otherwise(F.size("_lines")).alias("n_lines"),
+        *[(shortened if c == "text" else F.col("row").getField(c)).alias(c) for c in kept],
+        F.when(F.col("text").isNull(), 0).otherwise(F.size("lines")).alias("n_lines"),
         F.coalesce(gap, F.lit(0)).alias("n_removed"),
-        F.coalesce("_cut", none).alias("removed"),
+        F.coalesce("cut", none).alias("removed"),
     )
 
 

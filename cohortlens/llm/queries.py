@@ -19,7 +19,7 @@ def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return licences.document_licences(table(spark, sf_dir, "documents"))
+    return licences.all_licences(table(spark, sf_dir, "documents"), table(spark, sf_dir, "pages"))
 
 
 def op4_language(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -91,7 +91,6 @@ ORACLE = {
           SELECT doc_id, regexp_extract_all({_LOWER}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents
         ), b AS (
           SELECT item_id, regexp_extract_all({_LOWER}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark
-          WHERE item_id IS NOT NULL
         ), windows AS (
           SELECT DISTINCT item_id, unnest(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 10 THEN [w]
             ELSE list_transform(range(1, len(w) - 8), lambda i: w[i:i + 9]) END) AS x FROM b

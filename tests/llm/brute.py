@@ -47,13 +47,13 @@ def contamination(docs, items, size=10):
     for i, text in items:
         w = alnum_words(text)
         for a in range(max(1, len(w) - size + 1) if w else 0):
-            windows.setdefault(tuple(w[a : a + size]), set()).add(str(i))
+            windows.setdefault(tuple(w[a : a + size]), set()).update([str(i)] if i is not None else [])  # no name, but its words are hit
     out = []
     for text in docs:
         w, hit, met = alnum_words(text), set(), set()
         for n in {len(x) for x in windows}:
             for a in range(len(w) - n + 1):
-                if found := windows.get(tuple(w[a : a + n])):
+                if (found := windows.get(tuple(w[a : a + n]))) is not None:
                     hit |= set(range(a, a + n))
                     met |= found
         out.append((len(w), len(hit), len(met), sha(",".join(sorted(met)))))

@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import base64
+import html
 import hashlib
 import random
+import re
 
 import numpy as np
 import pytest
@@ -129,8 +131,25 @@ def test_licence_lines_of_documents(spark):
     docs = spark.read.parquet(f"{sf}/documents.parquet")
     marks = {"Apache-2.0": "Apache License, Version 2.0", "MIT": "MIT License", "GPL-3.0": "GNU General Public License, version 3", "CC-BY-NC-4.0": "CC BY-NC 4.0"}
     text = {r.doc_id: r.text for r in docs.collect()}
-    for r in licences.document_licences(docs).collect():
-        assert {k for k, v in marks.items() if v in text[r.doc_id]} == {r.own_licence} - {None}
+    pages = spark.createDataFrame([], "page_id long, url string, html string")
+    for r in licences.all_licences(docs, pages).collect():
+        assert {k for k, v in marks.items() if v in text[r.id]} == {r.own_licence} - {None} == {r.licence} - {None}
+        assert (r.kind, r.path, r.origin) == ("document", None, "own" if r.licence else "none")
+
+
+def test_licences_of_pages_go_down_their_addresses(spark):
+    apache = licences.TEMPLATES["Apache-2.0"][1]
+    rows = [
+        (1, "https://a.org/lib/LICENSE?raw=1", apache), (2, "http://a.org/lib//src/x.html#top", prose(30)), (3, "https://a.org/other/y", prose(30)),
+        (4, "https://b.org/z", None), (None, None, "Released under the MIT License."), (2, "ftp://a.org/lib/src/x.html", prose(5)),
+    ]
+    docs = spark.createDataFrame([(7, None)], "doc_id long, text string")
+    got = sorted((r.kind, r.id or 0, r.path or "", r.licence or "", r.origin) for r in licences.all_licences(docs, spark.createDataFrame(rows, "page_id long, url string, html string")).collect())
+    assert got == [
+        ("document", 7, "", "", "none"), ("page", 0, "", "MIT", "own"), ("page", 1, "a.org/lib/LICENSE", "Apache-2.0", "own"),
+        ("page", 2, "a.org/lib/src/x.html", "Apache-2.0", "directory"), ("page", 2, "a.org/lib/src/x.html", "Apache-2.0", "directory"),
+        ("page", 3, "a.org/other/y", "", "none"), ("page", 4, "b.org/z", "", "none"),
+    ]
 
 
 def test_licences_do_not_depend_on_the_number_of_files(spark, monkeypatch):
@@ -239,12 +258,12 @@ def test_quality_without_labels_and_with_odd_texts(spark):
 def test_contamination_equals_brute_force(spark, block_chars):
     items = [(k, prose(rng.choice([3, 9, 10, 11, 40]), k)) for k in range(25)] + [(50, None), (51, ""), (52, prose(40, 3)), (None, prose(12, 5))]
     copies = [f"{prose(5)} {t.upper()}! {prose(4)} {t}" for _, t in items[:12]]
-    texts = [None, "", prose(3000), " ".join(copies), *copies, copies[0], items[1][1], ("w1 " * 4000).strip()]
+    texts = [None, "", prose(3000), " ".join(copies), *copies, copies[0], items[1][1], ("w1 " * 4000).strip(), prose(3) + " " + items[-1][1]]
     docs = documents(spark, list(enumerate(texts))).withColumn("spans", F.lit(1))
     bench = spark.createDataFrame(items, "item_id long, text string")
     found = decontaminate.contaminated_spans(docs, bench, 10, block_chars)
     got = {r.doc_id: r for r in found.collect()}
-    want = brute.contamination(texts, [x for x in items if x[0] is not None])
+    want = brute.contamination(texts, items)
     for k, (n_words, n_hit, n_items, digest) in enumerate(want):
         r = got[k]
         assert (r.n_words, sum(s.end - s.start for s in r.spans), len(r.item_ids)) == (n_words, n_hit, n_items)
@@ -428,3 +447,69 @@ def test_components_of_a_chain_a_star_and_loops(spark):
     got = {r.node: r.component for r in components.components(spark.createDataFrame(edges, "u long, v long")).collect()}
     assert {k: got[k] for k in range(1, 41)} == dict.fromkeys(range(1, 41), 0)
     assert {got[k] for k in range(101, 130)} == {100} and 60 not in got
+
+
+def test_html_text_without_marks_loses_bars_and_notices():
+    body = [f"Paragraph number {k} goes on for a while, as paragraphs of an article do." for k in range(4)]
+    plain = "".join(f"<div>{x}</div>" for x in body)
+    page = f"<body><div>Site menu words here</div>{plain}<p>We use cookies to improve this site.</p><div>Copyright 2024 The Site</div></body>"
+    assert html_text.main_text(page).split("\n\n") == body
+    for name in ("id='post-comments'", "class='user-comments'", "class='comments-wrapper'", "id=respond"):
+        for tag in ("div", "section"):
+            page = f"<body>{plain}<{tag} {name}><p>Nice!</p><p>A reader says a whole sentence here.</p></{tag}></body>"
+            assert html_text.main_text(page).split("\n\n") == body, name
+    for name in ("main-menu", "site-footer", "left-sidebar", "newsletter-signup", "top-banner"):
+        assert html_text.main_text(f"<body><div class={name}><p>Some sentence stands here.</p></div>{plain}").split("\n\n") == body, name
+    # a name that holds all the text means something else
+    assert html_text.main_text(f"<body><div class='right-sidebar'>{plain}</div>").split("\n\n") == body
+
+
+def test_html_text_runs_the_distribution_on_every_page(monkeypatch):
+    import pyarrow.parquet as pq
+
+    calls, regions = [], html_text.main_regions
+    monkeypatch.setattr(html_text, "main_regions", lambda *x: calls.append(1) or regions(*x))
+    pages = pq.read_table("/root/testdata/sf0.01/pages.parquet").column("html").to_pylist()
+    hits = [0, 0, 0]
+    for page in pages:
+        # the supplied pages: one article without lists, with <br> and <p> alone
+        inner = page[page.index("<article>") + 9 : page.index("</article>")]
+        cut = re.sub(r"<(?:/?(?:p|h[1-6]|li|ul|ol|blockquote|br)|table|tr|td|th|/table|/tr|/td|/th)(?: [^>]*)?>", "\n", re.sub(r"(?s)<(div|aside|form|script|style)[ >].*?</\1>", "\n", inner))
+        want = [" ".join(html.unescape(re.sub("<[^>]*>", "", x)).split()) for x in cut.split("\n")]
+        want = [x for x in want if x]
+        got = html_text.main_text(page).split("\n\n")
+        hits[0] += len(set(want) & set(got))
+        hits[1] += len(set(got))
+        hits[2] += len(set(want))
+    assert len(calls) == len(pages)
+    assert hits[0] / hits[1] > 0.98 and hits[0] / hits[2] > 0.98, hits
+
+
+def test_html_text_of_deep_pages_takes_time_in_proportion():
+    import time
+
+    def seconds(n):
+        page = "<body>" + "<div><a>" * n + "word. " * 9 + "</b></i>" * n + "</a></div>" * n
+        start = time.process_time()
+        assert html_text.main_text(page) is not None
+        return time.process_time() - start
+
+    seconds(100)
+    assert seconds(16_000) < 12 * max(0.05, seconds(4_000))
+
+
+def test_pii_of_very_many_spans(spark):
+    """Many base spans and many further ones in one text, beside and inside each other."""
+    r = random.Random(4)
+    parts = [r.choice(["a@b.cd", "joe [at] host [dot] org", "555-123-4567", "+49 30 1234567", "10.20.30.40", "4111 1111 1111 1112", "word"]) for _ in range(50_000)]
+    rows = [(1, " ".join(parts)), (2, " ".join(parts[:300])), (3, " ".join(["joe [at] host [dot] org"] * 30)), (4, "a@b.cd " * 30)]
+    found = {x.doc_id: x for x in pii.candidates(documents(spark, rows)).collect()}
+    for i in (2, 3, 4):
+        base, loose = [(b.start, b.end) for b in found[i].base], [(x.start, x.end) for x in found[i].loose]
+        assert loose == sorted(loose) and not any(b[0] < x[1] and x[0] < b[1] for x in loose for b in base)
+    assert len(found[3].loose) == 30 and not found[4].loose
+    n = lambda i, text: sum(s == text for s in (parts if i == 1 else parts[:300]))
+    for i in (1, 2):
+        assert sum(x.kind == "email" for x in found[i].loose) == n(i, "joe [at] host [dot] org")
+    want = [f"{b.kind}:{b.start}:{b.end}" for b in sorted(found[1].base, key=lambda b: (brute.KINDS.index(b.kind), b.start))]
+    assert want == brute.base_spans(rows[0][1])
