@@ -9,7 +9,7 @@ from cohortlens.llm.decontaminate import without_contaminated
 from cohortlens.llm.language import in_known_language
 from cohortlens.llm.line_dedup import without_repeated_lines
 from cohortlens.llm.near_dedup import one_of_each
-from cohortlens.llm.stage import staged, table
+from cohortlens.llm.stage import released, removed, staged, table
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -55,7 +55,20 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    """The stages, one after the other, from the table ``documents`` on.
+
+    Each stage's result is written and read again; what it staged on the way, and the result
+    before, is deleted once it is written. Null or repeated ids, null and empty texts, and
+    columns with any names pass through as the stages' operators say: a row without a letter
+    goes in the first, one of each group of near-duplicates stays whatever its id. An empty
+    table gives no rows.
+    """
+    docs, before = table(spark, sf_dir, "documents"), None
     for name, stage in STAGES[:-1]:
-        docs = staged(stage(spark, docs, sf_dir), name)
+        with released(spark) as paths:
+            docs = staged(stage(spark, docs, sf_dir), name)
+            result = paths.pop()
+        if before:
+            removed(spark, before)
+        before = result
     return STAGES[-1][1](spark, docs, sf_dir)
