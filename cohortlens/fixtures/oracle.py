@@ -618,3 +618,7 @@ SELECT code, label, true AS in_first, false AS in_second FROM (SELECT * FROM a E
 UNION ALL
 SELECT code, label, false, true FROM (SELECT * FROM b EXCEPT SELECT * FROM a)""",
 }
+ORACLE["shown_overview"] = f"""SELECT indicator,
+       CASE WHEN indicator = 'n_rows' THEN format('{{:,}}', CAST(old AS BIGINT)) ELSE old END AS old,
+       CASE WHEN indicator = 'n_rows' THEN format('{{:,}}', CAST(new AS BIGINT)) ELSE new END AS new
+FROM ({ORACLE["snapshot_overview_indicators"]})"""

@@ -170,6 +170,13 @@ QUERIES: dict[str, Query] = {
             profile.snapshot_overview(df), profile.OVERVIEW_METRICS, "string"
         )
     ),
+    "shown_overview": _on_tagged(
+        lambda df: snapshot_report.shown_overview(
+            profile.indicator_table(
+                profile.snapshot_overview(df), profile.OVERVIEW_METRICS, "string"
+            )
+        )
+    ),
     "sketched_ages": _sketched_ages,
     "numeric_profile": _on_tagged(profile.numeric_profile),
     "numeric_profile_indicators": _on_tagged(
