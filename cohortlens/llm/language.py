@@ -18,6 +18,8 @@ from cohortlens.llm.words import byte_rows, random_numbers, slices
 DIMS = 2048
 #: Labelled rows that a model is fitted on, over all languages.
 SAMPLE_ROWS = 4000
+#: Languages that a model learns.
+LANGUAGES = 200
 #: Numbers that rows are drawn by; far more than there are rows.
 DRAWS = 1 << 62
 UNKNOWN = "und"
@@ -160,18 +162,21 @@ def is_held_out(doc_id: Column, of: int, rest: int) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % of == rest, F.lit(False))
 
 
-def trained(rows: DataFrame, sample_rows: int = SAMPLE_ROWS) -> Model | None:
+def trained(rows: DataFrame, sample_rows: int = SAMPLE_ROWS, most_languages: int = LANGUAGES) -> Model | None:
     """A model of the labelled ``rows`` (doc_id, text, lang), or None without any.
 
     Every language gives at most its equal part of ``sample_rows``, by the order of a hash
     of id and text; features are of whole texts and made by the tasks. Rows that repeat both
     are drawn once, so the rows that reach the driver are bounded whatever repeats. How many
     to draw follows from the distinct rows with a letter, estimated to a few hundredths.
+    Where ``lang`` has more than ``most_languages`` values, those with the most such rows
+    are learned; rows of the others are still predicted, as one of these.
     """
     rows = rows.filter("lang is not null and text is not null and doc_id is not null").select("doc_id", "text", "lang")
     drawn = F.pmod(F.xxhash64("doc_id", "text", F.lit("draw")), F.lit(DRAWS))
     usable = F.approx_count_distinct(F.when(F.col("text").rlike("\\p{L}"), drawn), 0.02)
-    counts = {r["lang"]: max(1, r["n"]) for r in rows.groupBy("lang").agg(usable.alias("n")).collect()}
+    ranked = rows.groupBy("lang").agg(usable.alias("n")).orderBy(F.desc("n"), "lang").limit(most_languages)
+    counts = {r["lang"]: max(1, r["n"]) for r in ranked.collect()}
     if not counts:
         return None
     most = max(1, sample_rows // len(counts))

@@ -214,7 +214,7 @@ def fitted(found: DataFrame, rounds: int = ROUNDS) -> dict[str, float]:
 
 
 def personal_data(docs: DataFrame, accept: float = ACCEPT) -> DataFrame:
-    """``doc_id``, counts and ``base_sha256`` of base spans, ``spans`` and ``n_added``.
+    """``doc_id``, counts and ``base_sha256`` of base spans, ``spans``, ``n_added`` and ``n_spans``.
 
     Base spans follow the patterns and checks of ``BASE`` and ``VALID``; they always stay.
     Further spans (forms such as ``name [at] host.org``, national phone numbers, long IP
@@ -246,4 +246,5 @@ def personal_data(docs: DataFrame, accept: float = ACCEPT) -> DataFrame:
         F.sha2(joined("base").cast("binary"), 256).alias("base_sha256"),
         joined("concat(base, added)").alias("spans"),
         F.size("added").cast("long").alias("n_added"),
+        (F.size("base") + F.size("added")).cast("long").alias("n_spans"),
     )

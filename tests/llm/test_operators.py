@@ -90,7 +90,7 @@ def test_pii_base_spans_and_added_ones(spark):
     assert sorted((r.doc_id, r.base_sha256) for r in found) == want
     for r in found:
         counts = [sum(s.startswith(k) for s in r.spans.split(",")) for k in brute.KINDS]
-        assert sum(counts) == r.n_added + sum(r[f"n_{k}"] for k in brute.KINDS)
+        assert sum(counts) == r.n_spans == r.n_added + sum(r[f"n_{k}"] for k in brute.KINDS)
     assert "email:9:32" in by_id(pii.personal_data(documents(spark, rows)).filter("doc_id = 100"))[100].spans
     assert pii.personal_data(documents(spark, [])).isEmpty()
 
