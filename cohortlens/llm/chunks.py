@@ -97,10 +97,8 @@ class Chunks:
         return numbers[coded.indices.to_numpy()], bounds
 
     def _add(self, run: list[str]) -> None:
-        n_bytes = sum(2 * len(c) + CHUNK_BYTES for c in run) + TOKEN_BYTES * self.learn(run)
-        for chunk in run:
-            self.number[chunk] = len(self.number)
-        self.n_bytes += n_bytes
+        self.n_bytes += 2 * sum(map(len, run)) + CHUNK_BYTES * len(run) + TOKEN_BYTES * self.learn(run)
+        self.number.update(zip(run, range(len(self.number), len(self.number) + len(run))))
         if self.n_bytes <= self.kept_bytes // 2 and not self.later:
             self.n_first_bytes = self.n_bytes
         else:

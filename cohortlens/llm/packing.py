@@ -14,6 +14,7 @@ import os
 import zlib
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
+from itertools import chain
 from typing import NamedTuple
 
 import numpy as np
@@ -63,28 +64,42 @@ class Tokens(Chunks):
         self.found.cut(n)
 
     def sorted(self, chunks: Iterable[str]) -> Iterable[str]:
-        return sorted(chunks, key=lambda c: max(c) >= PLAIN_BELOW)
-
-    def _piece(self, piece: str) -> list[int]:
-        ids = [t.id for t in self.model.tokenize(piece.encode().decode("latin-1").translate(self.characters))]
-        if len(piece) <= PIECE_CHARS:
-            if len(self.pieces) >= PIECES:
-                self.pieces.clear()
-            self.pieces[piece] = ids
-        return ids
+        return sorted(chunks, key=lambda c: not c.isascii() and max(c) >= PLAIN_BELOW)
+
+    def _pieces(self, pieces: list[str]) -> list[list[int]]:
+        """The ids of each piece; those that aren't known are brought to the model's alphabet together."""
+        known, more = self.pieces, {}
+        new = list(set(pieces).difference(known))
+        mapped = "".join(new).encode().decode("latin-1").translate(self.characters)
+        at, tokenize, long = 0, self.model.tokenize, []
+        for piece in new:
+            end = at + (len(piece) if piece.isascii() else len(piece.encode()))
+            more[piece] = [t.id for t in tokenize(mapped[at:end])]
+            at = end
+            if len(piece) > PIECE_CHARS:
+                long.append(piece)
+        if len(known) + len(more) > PIECES:
+            found = [more.get(piece) or known[piece] for piece in pieces]
+            known.clear()
+        else:
+            known.update(more)
+            found = list(map(known.__getitem__, pieces))
+        for piece in long:
+            known.pop(piece, None)
+        return found
 
     def learn(self, run: list[str]) -> int:
         """Latin text is cut by the pattern here, and each piece of it encoded once; for other
         text, and for names of special tokens, the whole run goes to the tokenizer."""
-        if max(map(max, run)) < PLAIN_BELOW and not any(s in c for s in self.special for c in run):
-            known, ids, ends = self.pieces, [], []
-            for chunk in run:
-                for piece in self.pattern.findall(chunk):
-                    ids += known.get(piece) or self._piece(piece)
-                ends.append(len(ids))
-            self.found.add(np.array(ids, np.int64), np.array(ends))
+        text = "".join(run)
+        if (text.isascii() or max(text) < PLAIN_BELOW) and not any(s in text for s in self.special):
+            pieces = self.pattern.findall(text)
+            found = self._pieces(pieces)
+            ids = np.array(list(chain.from_iterable(found)), np.int64)
+            ends, of = np.cumsum(list(map(len, found))), np.cumsum(list(map(len, pieces)))
+            self.found.add(ids, ends[np.searchsorted(of, np.cumsum(list(map(len, run))))])
             return len(ids)
-        ids = np.array(self.tokenizer.encode("".join(run), add_special_tokens=False).ids, np.int64)
+        ids = np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.int64)
         cuts = np.cumsum([len(c.encode()) for c in run])
         self.found.add(ids, np.searchsorted(np.cumsum(self.sizes[ids]), cuts, "right"))
         return len(ids)
