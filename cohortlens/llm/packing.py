@@ -14,7 +14,6 @@ import os
 import zlib
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
-from itertools import chain
 from typing import NamedTuple
 
 import numpy as np
@@ -33,8 +32,8 @@ from cohortlens.llm.words import byte_rows, slices
 #: Tokens of a sequence, and the token that ends a document.
 CAPACITY, END = 1024, 2
 SLICE_TEXT_BYTES = 1 << 22
-#: Pieces of a pattern that a task keeps, and the longest that it keeps.
-PIECES, PIECE_CHARS = 200_000, 40
+#: Estimated bytes of chunks that a task keeps.
+KEPT_BYTES = 32 << 20
 #: Characters below this one have been in Unicode for long, so every pattern reads them alike.
 PLAIN_BELOW = "\u0370"
 
@@ -45,20 +44,24 @@ class Tokens(Chunks):
     def __init__(self, vocab: str, pattern: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks are the parallelism
         from tokenizers import Tokenizer
+        from tokenizers.pre_tokenizers import WhitespaceSplit
 
         self.tokenizer = Tokenizer.from_str(vocab)
-        self.model, self.pattern = self.tokenizer.model, regex.compile(pattern)
+        self.pattern = regex.compile(pattern)
+        # the model alone, on pieces in its alphabet with a space between them
+        self.by_piece = Tokenizer(self.tokenizer.model)
+        self.by_piece.pre_tokenizer = WhitespaceSplit()
         spec, back = json.loads(vocab), byte_of_character()
         special = {t["id"]: t["content"] for t in spec["added_tokens"]}
         sizes = {i: len(t) for t, i in spec["model"]["vocab"].items()} | {i: len(t.encode()) for i, t in special.items()}
         self.sizes = np.array([sizes.get(i, 0) for i in range(max(sizes) + 1)], np.int64)
         if not all(c in back for t, i in spec["model"]["vocab"].items() if i not in special for c in t):
             raise ValueError("this is no byte-level vocabulary")
-        self.characters = {b: c for c, b in back.items()}
+        # no text has a byte 255; it stands between pieces
+        self.characters = {b: c for c, b in back.items()} | {255: " "}
         self.special = tuple(special.values())
         self.found = Column(np.uint32)
-        self.pieces: dict[str, list[int]] = {}
-        super().__init__()
+        super().__init__(KEPT_BYTES)
 
     def forget(self, n: int) -> None:
         self.found.cut(n)
@@ -66,41 +69,17 @@ class Tokens(Chunks):
     def sorted(self, chunks: Iterable[str]) -> Iterable[str]:
         return sorted(chunks, key=lambda c: not c.isascii() and max(c) >= PLAIN_BELOW)
 
-    def _pieces(self, pieces: list[str]) -> list[list[int]]:
-        """The ids of each piece; those that aren't known are brought to the model's alphabet together."""
-        known, more = self.pieces, {}
-        new = list(set(pieces).difference(known))
-        mapped = "".join(new).encode().decode("latin-1").translate(self.characters)
-        at, tokenize, long = 0, self.model.tokenize, []
-        for piece in new:
-            end = at + (len(piece) if piece.isascii() else len(piece.encode()))
-            more[piece] = [t.id for t in tokenize(mapped[at:end])]
-            at = end
-            if len(piece) > PIECE_CHARS:
-                long.append(piece)
-        if len(known) + len(more) > PIECES:
-            found = [more.get(piece) or known[piece] for piece in pieces]
-            known.clear()
-        else:
-            known.update(more)
-            found = list(map(known.__getitem__, pieces))
-        for piece in long:
-            known.pop(piece, None)
-        return found
-
     def learn(self, run: list[str]) -> int:
-        """Latin text is cut by the pattern here, and each piece of it encoded once; for other
-        text, and for names of special tokens, the whole run goes to the tokenizer."""
+        """Latin text is cut by the pattern here, and its pieces go to the model in one call;
+        other text, and names of special tokens, go to the whole tokenizer."""
         text = "".join(run)
         if (text.isascii() or max(text) < PLAIN_BELOW) and not any(s in text for s in self.special):
-            pieces = self.pattern.findall(text)
-            found = self._pieces(pieces)
-            ids = np.array(list(chain.from_iterable(found)), np.int64)
-            ends, of = np.cumsum(list(map(len, found))), np.cumsum(list(map(len, pieces)))
-            self.found.add(ids, ends[np.searchsorted(of, np.cumsum(list(map(len, run))))])
-            return len(ids)
-        ids = np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.int64)
-        cuts = np.cumsum([len(c.encode()) for c in run])
+            apart = "\udcff".join(self.pattern.findall(text)).encode("utf-8", "surrogateescape")
+            pieces = apart.decode("latin-1").translate(self.characters)
+            ids = np.array(self.by_piece.encode_batch_fast([pieces], add_special_tokens=False)[0].ids, np.int64)
+        else:
+            ids = np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.int64)
+        cuts = np.cumsum(list(map(len, run)) if text.isascii() else [len(c.encode()) for c in run])
         self.found.add(ids, np.searchsorted(np.cumsum(self.sizes[ids]), cuts, "right"))
         return len(ids)
 
