@@ -33,7 +33,7 @@ from cohortlens.llm.words import byte_rows, slices
 CAPACITY, END = 1024, 2
 SLICE_TEXT_BYTES = 1 << 22
 #: Estimated bytes of chunks that a task keeps.
-KEPT_BYTES = 32 << 20
+KEPT_BYTES = 96 << 20
 #: Characters below this one have been in Unicode for long, so every pattern reads them alike.
 PLAIN_BELOW = "\u0370"
 
