@@ -513,3 +513,10 @@ def test_pii_of_very_many_spans(spark):
         assert sum(x.kind == "email" for x in found[i].loose) == n(i, "joe [at] host [dot] org")
     want = [f"{b.kind}:{b.start}:{b.end}" for b in sorted(found[1].base, key=lambda b: (brute.KINDS.index(b.kind), b.start))]
     assert want == brute.base_spans(rows[0][1])
+
+
+def test_a_model_learns_the_languages_with_most_rows(spark):
+    rows = [(i, f"some words of text {i}", "aa" if i < 30 else f"x{i}") for i in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = language.trained(docs, 100, 1)
+    assert [s for names in model.languages.values() for s in names] == ["aa"]
