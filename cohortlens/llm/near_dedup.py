@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cohortlens.llm.components import components
-from cohortlens.llm.stage import staged
+from cohortlens.llm.stage import files_for, staged
 from cohortlens.llm.words import (
     MULTIPLIER,
     NOT_SPACE,
@@ -33,6 +33,8 @@ STAR_ROUNDS = 1
 QUERY_BLOCK, MEMBER_BLOCK = 256, 1024
 #: Ids of documents or buckets up to which a list of them is broadcast (16 MB of numbers).
 BROADCAST_IDS = 2_000_000
+#: Documents to a file of the tables staged on the way.
+FILE_DOCS = 20_000
 
 _FACTORS, _ADDENDS = random_numbers(HASHES, 11) | np.uint64(1), random_numbers(HASHES, 12)
 
@@ -283,10 +285,12 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
     docs = docs.select("doc_id", "text")
     share = percent / 100 - MARGIN
     signed = staged(signatures(docs, size), "signed")
+    files = files_for(signed.count(), FILE_DOCS)
     known = signed.filter("digest is not null and doc_id is not null")
     classes = staged(
         known.groupBy("digest").agg(F.min("doc_id").alias("rep"), F.first("sig").alias("sig"), F.first("n_shingles").alias("n")),
         "classes",
+        files,
     )
     sigs = classes.select("rep", "sig", "n")
     bands = classes.select(
@@ -296,16 +300,16 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
     buckets = staged(
         bands.groupBy("key").agg(F.count("*").alias("n_members"), F.min("rep").alias("a"), F.max("rep").alias("b")).filter("n_members > 1"),
         "buckets",
+        files,
     )
     large = buckets.filter("n_members > 2").select("key", "n_members")
-    members = staged(among(bands, large, "key"), "members").join(large, "key")
-    members = staged(members, "members")
-    degrees = staged(members.groupBy("rep").agg(F.sum(F.col("n_members") - 1).alias("degree")), "degrees")
-    members = staged(members.join(degrees, "rep"), "members")
+    members = staged(bands.join(F.broadcast(large) if large.count() <= BROADCAST_IDS else large, "key"), "members", files)
+    degrees = staged(members.groupBy("rep").agg(F.sum(F.col("n_members") - 1).alias("degree")), "degrees", files)
+    members = staged(members.join(degrees, "rep"), "members", files)
 
     def by_signature(pairs: DataFrame) -> DataFrame:
-        two = staged(pairs.filter("u != v").distinct(), "pairs")
-        own = staged(among(sigs, both_ends(two), "rep"), "sigs")
+        two = staged(pairs.filter("u != v").distinct(), "pairs", files)
+        own = staged(among(sigs, both_ends(two), "rep"), "sigs", files)
         two = two.join(own.toDF("u", "su", "nu"), "u").join(own.toDF("v", "sv", "nv"), "v")
         two = two.filter(f"100 * least(nu, nv) >= {percent} * greatest(nu, nv)")
         return similar_signatures(two.select("u", "v", "su", "sv"), share)
@@ -319,11 +323,11 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
         return staged(full_sets(texts.withColumnRenamed("rep", "doc_id"), size), "sets")
 
     def confirmed(pairs: DataFrame) -> DataFrame:
-        """The pairs whose full sets are similar."""
-        pairs = staged(pairs.distinct(), "pairs")
+        """Those of distinct pairs whose full sets are similar."""
+        pairs = staged(pairs, "pairs", files)
         sets = sets_of(both_ends(pairs))
         two = pairs.join(sets.toDF("u", "fu"), "u").join(sets.toDF("v", "fv"), "v")
-        return staged(similar_sets(two.select("u", "v", "fu", "fv"), percent), "links")
+        return staged(similar_sets(two.select("u", "v", "fu", "fv"), percent), "links", files)
 
     def centre_of(rows: DataFrame) -> DataFrame:
         return rows.groupBy("key").agg(
@@ -334,21 +338,23 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
         named = found.toDF("rep", "comp")
         return rows.join(named, "rep", "left").withColumn("comp", F.coalesce("comp", "rep"))
 
-    # ids whose rows have different texts hold their classes together
-    reps = known.join(classes.select("digest", "rep"), "digest").select("doc_id", "rep")
-    several = reps.groupBy("doc_id").agg(F.min("rep").alias("u"), F.max("rep").alias("top")).filter("u != top")
-    links = staged(reps.join(several, "doc_id").select("u", F.col("rep").alias("v")).filter("u != v"), "links")
-
     stars = members.join(centre_of(members), "key").select(F.col("centre").alias("u"), F.col("rep").alias("v"))
     twos = buckets.filter("n_members = 2").select(F.col("a").alias("u"), F.col("b").alias("v"))
     ordered = lambda p: p.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-    links = links.unionByName(confirmed(by_signature(ordered(stars.unionByName(twos)))))
-    found = components(links)
+    links = confirmed(by_signature(ordered(stars.unionByName(twos))))
+    # ids whose rows have different texts hold their classes together
+    differing = known.groupBy("doc_id").agg(F.count("*").alias("n"), F.min(F.xxhash64("digest")).alias("low"), F.max(F.xxhash64("digest")).alias("high"))
+    differing = staged(differing.filter("n > 1 and low != high").select("doc_id"), "differing", files)
+    if not differing.isEmpty():
+        reps = staged(among(known.select("doc_id", "digest"), differing, "doc_id").join(classes.select("digest", "rep"), "digest").select("doc_id", "rep"), "reps", files)
+        several = reps.groupBy("doc_id").agg(F.min("rep").alias("u"))
+        links = links.unionByName(staged(reps.join(several, "doc_id").select("u", F.col("rep").alias("v")).filter("u != v"), "links", files))
+    found = components(links, files=files)
 
     for step in range(STAR_ROUNDS + 1):
         now = labelled(members, found)
         spread = now.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).filter("low != high").select("key")
-        rest = staged(now.join(spread, "key"), "rest")
+        rest = staged(now.join(spread, "key"), "rest", files)
         if rest.isEmpty():
             break
         sizes = rest.groupBy("key", "comp").agg(F.count("*").alias("size"))
@@ -367,7 +373,7 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
                 F.ceil(F.count("*") / MEMBER_BLOCK).alias("n_mb"),
                 F.ceil(F.expr("count_if(comp != main)") / QUERY_BLOCK).alias("n_qb"),
             )
-            own = staged(among(sigs.select("rep", "sig"), rest, "rep"), "sigs")
+            own = staged(among(sigs.select("rep", "sig"), rest, "rep"), "sigs", files)
             rest = rest.join(counts, "key").join(own, "rep")
             block = F.xxhash64("rep")
             asked = rest.filter("comp != main").select(
@@ -386,7 +392,7 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
             more = confirmed(pairs)
         if not more.isEmpty():
             links = links.unionByName(more)
-            found = components(found.toDF("u", "v").unionByName(more))
+            found = components(found.toDF("u", "v").unionByName(more), files=files)
 
     named = labelled(classes.select("digest", "rep"), found).select("digest", F.col("comp").alias("component"))
     return signed.join(named, "digest", "left").select(

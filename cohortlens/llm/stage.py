@@ -18,13 +18,25 @@ from cohortlens.sources.sinks import shared_folder
 _written: list[list[str]] = []
 
 
-def staged(df: DataFrame, name: str) -> DataFrame:
+#: Files that a table may have however few its rows are.
+LEAST_FILES = 32
+
+
+def files_for(rows: int, each: int) -> int:
+    """How many files to write: one for so many rows ``each``, and some for the cores there are."""
+    return max(LEAST_FILES, rows // each)
+
+
+def staged(df: DataFrame, name: str, files: int | None = None) -> DataFrame:
     """Write a frame once as Parquet and read it back.
 
     Cuts the lineage, survives lost executors and keeps column pruning for the readers.
     The files go at the end of a ``released`` block, or when the session's file system is
-    closed.
+    closed. A frame of more than ``files`` partitions is written, and its last stage run, by
+    as many tasks: a small file takes longer to open and to commit than to fill.
     """
+    if files:
+        df = df.coalesce(files)
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/llm/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)

@@ -442,6 +442,27 @@ def test_one_row_of_each_group_stays_whatever_its_id(spark):
     assert near_dedup.one_of_each(docs.limit(0)).isEmpty()
 
 
+def test_components_write_few_files_and_stop_at_stars(spark, monkeypatch):
+    written = []
+    real = components.staged
+    monkeypatch.setattr(components, "staged", lambda *a: written.append(real(*a)) or written[-1])
+    kept = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled")}
+    try:
+        spark.conf.set("spark.sql.shuffle.partitions", "67")
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+        stars = spark.range(300).selectExpr("id", "id div 3 * 3 as v")
+        got = components.components(stars.toDF("u", "v"), files=8).collect()
+        assert {(r.node, r.component) for r in got} == {(k, k // 3 * 3) for k in range(300) if k % 3} and len(written) == 1
+        assert len(written[0].inputFiles()) <= 8
+        chain = spark.range(300).selectExpr("id as u", "id + 1 as v")
+        got = components.components(chain, files=8).collect()
+        assert {(r.node, r.component) for r in got} == {(k, 0) for k in range(1, 301)}
+        assert len(written) > 2 and all(len(x.inputFiles()) <= 32 for x in written)
+    finally:
+        for k, v in kept.items():
+            spark.conf.set(k, v)
+
+
 def test_components_of_a_chain_a_star_and_loops(spark):
     edges = [(k, k + 1) for k in range(40)] + [(100, 100 + k) for k in range(30)] + [(60, 60), (None, 3)]
     got = {r.node: r.component for r in components.components(spark.createDataFrame(edges, "u long, v long")).collect()}
