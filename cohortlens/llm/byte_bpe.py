@@ -24,7 +24,7 @@ ENCODE_BYTES = 1 << 21
 DECODE_IDS = 1 << 18
 #: Estimated bytes of the words, and of the pieces of words, whose ids a task keeps, and the
 #: longest of them; longer ones are encoded each time.
-KEPT_BYTES, KEPT_CHARS = 48 << 20, 64
+KEPT_BYTES, KEPT_CHARS = 24 << 20, 64
 VISIBLE_SPACE = re.compile(r"(?<=\S) (?=\S)")
 
 
@@ -53,7 +53,7 @@ class _Apart(Exception):
 
 
 class _Parts(dict):
-    """Ids, as bytes, of short texts met before; emptied when they take ``KEPT_BYTES``."""
+    """Ids, as bytes, of short texts met before; the later half of ``KEPT_BYTES`` goes when all is taken."""
 
     def __init__(self, encode):
         self.encode = encode
@@ -63,33 +63,55 @@ class _Parts(dict):
         ids = self.encode(part)
         if len(part) > KEPT_CHARS:
             return ids
-        size = 150 + 2 * len(part) + len(ids)  # of both objects and their place here
-        if self.n_bytes + size > KEPT_BYTES:
-            self.clear()
-            self.n_bytes = 0
         self[part] = ids
-        self.n_bytes += size
+        self.n_bytes += self._size(part, ids)
+        if self.n_bytes > KEPT_BYTES:
+            while self.n_bytes > KEPT_BYTES // 2:
+                self.n_bytes -= self._size(*self.popitem())
         return ids
 
+    @staticmethod
+    def _size(part: str, ids: bytes) -> int:
+        """Of both objects and their place in the dictionary."""
+        return 150 + 2 * len(part) + len(ids)
 
-class ByteBPE:
-    """A tokenizer file's model over the pieces of its pattern, and the bytes of its tokens."""
 
-    def __init__(self, vocab: str, pattern: str):
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks are the parallelism
-        from tokenizers import Tokenizer
+class TokenBytes:
+    """The bytes of a tokenizer file's tokens: arrays of 1 MB, without the model that encodes."""
 
-        self.model = Tokenizer.from_str(vocab).model
-        self.pattern = regex.compile(pattern)
+    def __init__(self, vocab: str):
         spec = json.loads(vocab)
         special = {t["id"]: t["content"].encode() for t in spec["added_tokens"]}
         back = byte_of_character()
-        self.characters = {b: c for c, b in back.items()}
         tokens = {i: bytes(back[c] for c in t) for t, i in spec["model"]["vocab"].items() if i not in special} | special
         parts = [tokens.get(i, b"") for i in range(max(tokens) + 1)]
         self.sizes = np.array([len(p) for p in parts], np.int64)
         self.places = np.concatenate(([0], np.cumsum(self.sizes)))[:-1]
         self.flat = np.frombuffer(b"".join(parts), np.uint8)
+
+    def bytes_of(self, ids: np.ndarray) -> bytes:
+        """Numbers outside the vocabulary stand for no byte."""
+        out = []
+        for at in range(0, len(ids), DECODE_IDS):
+            part = ids[at : at + DECODE_IDS].astype(np.int64)
+            part = part[part < len(self.sizes)]
+            size = self.sizes[part]
+            shift = self.places[part] - (np.cumsum(size) - size)
+            out.append(self.flat[np.repeat(shift, size) + np.arange(size.sum())].tobytes())
+        return b"".join(out)
+
+
+class ByteBPE(TokenBytes):
+    """A tokenizer file's model over the pieces of its pattern, and the bytes of its tokens."""
+
+    def __init__(self, vocab: str, pattern: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks are the parallelism
+        from tokenizers import Tokenizer
+
+        super().__init__(vocab)
+        self.model = Tokenizer.from_str(vocab).model
+        self.pattern = regex.compile(pattern)
+        self.characters = {b: c for c, b in byte_of_character().items()}
         self.pieces_seen = _Parts(self._piece)
         self.words_seen = _Parts(self._word)
 
@@ -121,17 +143,6 @@ class ByteBPE:
             raw = self._run(first) + b"".join(self.words_seen[w] if not w[-1].isspace() else self._run(" " + w) for w in words)
         return np.frombuffer(raw, np.uint32)
 
-    def bytes_of(self, ids: np.ndarray) -> bytes:
-        """Numbers outside the vocabulary stand for no byte."""
-        out = []
-        for at in range(0, len(ids), DECODE_IDS):
-            part = ids[at : at + DECODE_IDS].astype(np.int64)
-            part = part[part < len(self.sizes)]
-            size = self.sizes[part]
-            shift = self.places[part] - (np.cumsum(size) - size)
-            out.append(self.flat[np.repeat(shift, size) + np.arange(size.sum())].tobytes())
-        return b"".join(out)
-
     def offsets(self, text: bytes, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Code points from and to which each token reaches.
 
@@ -195,18 +206,19 @@ def decoded(df: DataFrame, vocab: str, pattern: str, ids: str = "ids", into: str
     """``df`` with the bytes (column ``into``) that the token numbers stand for.
 
     Null stays null. The bytes of a text's tokens are joined before they are read as
-    characters, so a character split between tokens comes back whole.
+    characters, so a character split between tokens comes back whole. A task holds the
+    tokens' bytes, not the model that encodes, so ``pattern`` isn't read.
     """
     kept = [c for c in df.columns if c != into]
+    tokens = TokenBytes(vocab)
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = _model(vocab, pattern)
         for batch in batches:
             column = field(batch, ids)
             sizes = np.array([len(x.as_buffer()) if x.is_valid else 0 for x in column], np.int64)
             for a, b in slices(np.concatenate(([0], np.cumsum(sizes))), 4 * DECODE_IDS):
                 back = [
-                    model.bytes_of(np.frombuffer(x.as_buffer(), np.uint32)) if x.is_valid else None
+                    tokens.bytes_of(np.frombuffer(x.as_buffer(), np.uint32)) if x.is_valid else None
                     for x in column.slice(a, b - a)
                 ]
                 yield pa.record_batch([batch.column("row").slice(a, b - a), pa.array(back, pa.binary())], ["row", "bytes"])

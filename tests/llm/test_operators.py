@@ -395,6 +395,28 @@ def test_byte_bpe_equals_tiktoken_and_comes_back(spark):
     assert digest[4] == hashlib.sha256(np.array(true.encode_ordinary(" a"), np.uint32).tobytes()).hexdigest()
 
 
+def test_decoding_holds_no_model_and_caches_keep_what_came_first(spark, monkeypatch):
+    vocab, pattern = byte_bpe.vocabulary(), byte_bpe.split_pattern()
+    model, tokens = byte_bpe.ByteBPE(vocab, pattern), byte_bpe.TokenBytes(vocab)
+    assert tokens.bytes_of(model.ids("é😀 a  b")) == "é😀 a  b".encode() and not hasattr(tokens, "model")
+    monkeypatch.setattr(byte_bpe, "KEPT_BYTES", 20_000)
+    text = " ".join(f"word{k}" for k in range(2000))
+    want = byte_bpe.ByteBPE(vocab, pattern)._run(text)
+    assert model.ids("x " + text).tobytes().endswith(want[8:])
+    for seen in (model.words_seen, model.pieces_seen):
+        assert 5_000 < seen.n_bytes <= 20_000 and seen.n_bytes == sum(seen._size(*x) for x in seen.items())
+    assert "word0" in model.words_seen
+
+
+def test_texts_do_not_go_through_the_tasks_that_decode(spark):
+    import corpus_pipeline
+
+    rows = corpus_pipeline.tokenize(spark, documents(spark, [(1, "a b"), (2, None)]), "")
+    decoding = re.split(r"\bstruct\(", rows._jdf.queryExecution().optimizedPlan().toString())[1]
+    assert "ids, ids#" in decoding.split("AS row")[0] and ", text, " not in decoding.split("AS row")[0]
+    assert [(r.doc_id, r.exact) for r in rows.orderBy("doc_id").collect()] == [(1, True), (2, True)]
+
+
 # near-duplicates
 
 
