@@ -237,9 +237,15 @@ def unit_links(units: DataFrame, share: float, percent: int) -> DataFrame:
                     c = above[c]
                 return c
 
-            likely = [(-s, i, j) for i, rows, shares in _likely(unit, share) for j, s in zip(rows, shares)]
+            first, second, score = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0)]
+            for i, rows, shares in _likely(unit, share):
+                first.append(np.full(len(rows), i))
+                second.append(rows)
+                score.append(shares)
+            first, second, score = map(np.concatenate, (first, second, score))
             pairs = []
-            for _, i, j in sorted(likely):
+            for k in np.lexsort((second, first, -score)):
+                i, j = first[k], second[k]
                 a, b = root(int(comps[i])), root(int(comps[j]))
                 if a != b and similar(full[i], full[j], percent):
                     above[max(a, b)] = min(a, b)
@@ -312,7 +318,7 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
         own = staged(among(sigs, both_ends(two), "rep"), "sigs", files)
         two = two.join(own.toDF("u", "su", "nu"), "u").join(own.toDF("v", "sv", "nv"), "v")
         two = two.filter(f"100 * least(nu, nv) >= {percent} * greatest(nu, nv)")
-        return similar_signatures(two.select("u", "v", "su", "sv"), share)
+        return similar_signatures(two.select("u", "v", "su", "sv").coalesce(files), share)
 
     def both_ends(pairs: DataFrame) -> DataFrame:
         return pairs.select(F.col("u").alias("rep")).union(pairs.select("v"))
@@ -324,10 +330,10 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
 
     def confirmed(pairs: DataFrame) -> DataFrame:
         """Those of distinct pairs whose full sets are similar."""
-        pairs = staged(pairs, "pairs", files)
+        pairs = staged(pairs, "pairs")
         sets = sets_of(both_ends(pairs))
         two = pairs.join(sets.toDF("u", "fu"), "u").join(sets.toDF("v", "fv"), "v")
-        return staged(similar_sets(two.select("u", "v", "fu", "fv"), percent), "links", files)
+        return staged(similar_sets(two.select("u", "v", "fu", "fv").coalesce(files), percent), "links")
 
     def centre_of(rows: DataFrame) -> DataFrame:
         return rows.groupBy("key").agg(
