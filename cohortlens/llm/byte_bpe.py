@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from cohortlens.llm.stage import field, in_struct, with_fields
+from cohortlens.llm.stage import field, in_struct, lean, staged, with_fields
 from cohortlens.llm.words import byte_rows, slices
 
 #: Text bytes encoded, or token ids decoded, at once.
@@ -70,6 +70,10 @@ class _Parts(dict):
                 self.n_bytes -= self._size(*self.popitem())
         return ids
 
+    def clear(self) -> None:
+        super().clear()
+        self.n_bytes = 0
+
     @staticmethod
     def _size(part: str, ids: bytes) -> int:
         """Of both objects and their place in the dictionary."""
@@ -195,11 +199,13 @@ def encoded(df: DataFrame, vocab: str, pattern: str, text: str = "text", ids: st
                     both = [model.offsets(x, i) for x, i in zip(raw, found)]
                     columns += [pa.array([x[k] for x in both], pa.list_(pa.int32())) for k in (0, 1)]
                 yield pa.record_batch(columns, ["row", "ids", *names[1:]])
+        model.words_seen.clear()
+        model.pieces_seen.clear()
 
     kept = [c for c in df.columns if c not in names]
     carried = in_struct(df, kept, **({} if text in kept else {text: df[text]}))
     kinds = {"ids": T.BinaryType()} | {n: T.ArrayType(T.IntegerType()) for n in names[1:]}
-    return carried.mapInArrow(of, with_fields(carried, "row", **kinds)).select("row.*", F.col("ids").alias(ids), *names[1:])
+    return carried.mapInArrow(lean(of), with_fields(carried, "row", **kinds)).select("row.*", F.col("ids").alias(ids), *names[1:])
 
 
 def decoded(df: DataFrame, vocab: str, pattern: str, ids: str = "ids", into: str = "decoded") -> DataFrame:
@@ -224,12 +230,16 @@ def decoded(df: DataFrame, vocab: str, pattern: str, ids: str = "ids", into: str
                 yield pa.record_batch([batch.column("row").slice(a, b - a), pa.array(back, pa.binary())], ["row", "bytes"])
 
     carried = in_struct(df, kept, **({} if ids in kept else {ids: df[ids]}))
-    return carried.mapInArrow(of, with_fields(carried, "row", bytes=T.BinaryType())).select("row.*", F.col("bytes").alias(into))
+    return carried.mapInArrow(lean(of), with_fields(carried, "row", bytes=T.BinaryType())).select("row.*", F.col("bytes").alias(into))
 
 
 def round_trip(docs: DataFrame, vocab: str, pattern: str) -> DataFrame:
-    """``doc_id, n_tokens, ids_sha256, decoded_sha256`` of each document."""
-    both = decoded(encoded(docs.select("doc_id", "text"), vocab, pattern).select("doc_id", "ids"), vocab, pattern)
+    """``doc_id, n_tokens, ids_sha256, decoded_sha256`` of each document.
+
+    The ids are staged, so that no task runs the Python that encodes beside the one that decodes.
+    """
+    ids = staged(encoded(docs.select("doc_id", "text"), vocab, pattern).select("doc_id", "ids"), "ids")
+    both = decoded(ids, vocab, pattern)
     return both.select(
         "doc_id",
         (F.octet_length("ids") / 4).cast("long").alias("n_tokens"),

@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cohortlens.llm.stage import staged
+from cohortlens.llm.stage import lean, staged
 from cohortlens.llm.words import ALNUM, hashed, words_of
 
 #: Benchmark text given to the tasks at once. More is searched block after block.
@@ -241,7 +241,7 @@ def _searched(docs: DataFrame, p: Phrases) -> DataFrame:
             }
             yield pa.record_batch([out.get(n, batch.column(n)) for n in batch.schema.names], batch.schema.names)
 
-    return docs.mapInArrow(of, docs.schema)
+    return docs.mapInArrow(lean(of), docs.schema)
 
 
 def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from cohortlens.llm.stage import field, in_struct, staged, with_fields
+from cohortlens.llm.stage import field, in_struct, lean, staged, with_fields
 from cohortlens.llm.words import byte_rows, random_numbers, slices
 
 #: Hashed character n-grams of 1 to 3 letters.
@@ -230,7 +230,7 @@ def _identified(carried: DataFrame, model: Model | None, unnamed: str | None) ->
                     ["row", "lang_pred", "score"],
                 )
 
-    return carried.mapInArrow(of, with_fields(carried, "row", lang_pred=T.StringType(), score=T.DoubleType()))
+    return carried.mapInArrow(lean(of), with_fields(carried, "row", lang_pred=T.StringType(), score=T.DoubleType()))
 
 
 def languages(docs: DataFrame) -> DataFrame:

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cohortlens.llm.components import components
-from cohortlens.llm.stage import files_for, staged
+from cohortlens.llm.stage import files_for, lean, staged
 from cohortlens.llm.words import (
     MULTIPLIER,
     NOT_SPACE,
@@ -107,7 +107,7 @@ def signatures(docs: DataFrame, size: int) -> DataFrame:
                 )
 
     return docs.select("doc_id", "text").mapInArrow(
-        of, "doc_id long, n_shingles long, digest binary, sig binary"
+        lean(of), "doc_id long, n_shingles long, digest binary, sig binary"
     )
 
 
@@ -123,7 +123,7 @@ def full_sets(docs: DataFrame, size: int) -> DataFrame:
                     [ids.slice(w.first, len(sets)), pa.array(sets, pa.binary())], ["doc_id", "full"]
                 )
 
-    return docs.select("doc_id", "text").mapInArrow(of, "doc_id long, full binary")
+    return docs.select("doc_id", "text").mapInArrow(lean(of), "doc_id long, full binary")
 
 
 def similar_signatures(pairs: DataFrame, share: float) -> DataFrame:

@@ -35,11 +35,13 @@ def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """``doc_id, ids, n_tokens, exact``: token ids, and whether they decode to the text.
 
-    Texts don't go through the tasks that decode; their SHA-256 does.
+    Texts don't go through the tasks that decode; their SHA-256 does. The ids are staged, so
+    that no task runs the Python that encodes beside the one that decodes.
     """
     vocab, pattern = vocabulary(), split_pattern()
     ids = encoded(docs.select("doc_id", "text"), vocab, pattern)
-    rows = decoded(ids.selectExpr("doc_id", "ids", "sha2(coalesce(text, ''), 256) as own"), vocab, pattern)
+    ids = staged(ids.selectExpr("doc_id", "ids", "sha2(coalesce(text, ''), 256) as own"), "ids")
+    rows = decoded(ids, vocab, pattern)
     return rows.selectExpr("doc_id", "ids", "octet_length(ids) div 4 as n_tokens", "sha2(decoded, 256) = own as exact")
 
 
@@ -60,7 +62,8 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The stages, one after the other, from the table ``documents`` on.
 
     Each stage's result is written and read again; what it staged on the way, and the result
-    before, is deleted once it is written. Null or repeated ids, null and empty texts, and
+    before, is deleted once it is written. Of the last stage the ids are staged, which is all
+    that its result reads. Null or repeated ids, null and empty texts, and
     columns with any names pass through as the stages' operators say: a row without a letter
     goes in the first, one of each group of near-duplicates stays whatever its id. An empty
     table gives no rows.
@@ -73,4 +76,7 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         if before:
             removed(spark, before)
         before = result
-    return STAGES[-1][1](spark, docs, sf_dir)
+    rows = STAGES[-1][1](spark, docs, sf_dir)
+    if before:
+        removed(spark, before)
+    return rows

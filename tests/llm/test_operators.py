@@ -417,6 +417,39 @@ def test_texts_do_not_go_through_the_tasks_that_decode(spark):
     assert [(r.doc_id, r.exact) for r in rows.orderBy("doc_id").collect()] == [(1, True), (2, True)]
 
 
+def test_no_task_encodes_and_decodes(spark):
+    import corpus_pipeline
+
+    docs = documents(spark, [(1, "a b"), (2, None)])
+    vocab, pattern = byte_bpe.vocabulary(), byte_bpe.split_pattern()
+    for rows in (corpus_pipeline.tokenize(spark, docs, ""), byte_bpe.round_trip(docs, vocab, pattern)):
+        assert rows._jdf.queryExecution().optimizedPlan().toString().count("MapInArrow") == 1
+        assert rows.count() == 2
+
+
+def test_an_encoding_task_keeps_no_words_and_returns_memory(monkeypatch):
+    import pyarrow as pa
+
+    from cohortlens.llm import stage
+
+    def of(batches):
+        held = [np.ones(1000) for _ in range(40_000)]  # 320 MB in small blocks, but for one behind them
+        kept.append(np.ones(1000))
+        del held
+        yield from batches
+
+    def mb():
+        return int(re.search(r"RssAnon:\s+(\d+)", open("/proc/self/status").read())[1]) // 1024
+
+    kept, before = [], mb()
+    assert len(list(stage.lean(of)(iter([pa.record_batch([pa.array([1])], ["x"])])))) == 1
+    assert mb() - before < 100
+    parts = byte_bpe._Parts(str.encode)
+    assert parts["a"] == b"a" and parts.n_bytes
+    parts.clear()
+    assert not parts and not parts.n_bytes
+
+
 # near-duplicates
 
 
