@@ -30,9 +30,12 @@ _YMD_HMS = (
     r"^\s*(\d{4})[^0-9]*(\d{1,2}(?=[^0-9])|\d{2})[^0-9]*(\d{1,2}(?=[^0-9])|\d{2})[^0-9]*(\d{1,2}(?=[^0-9])|\d{2})"
     r"[^0-9]*(\d{1,2}(?=[^0-9])|\d{2})[^0-9]*(\d{1,2}(?:[.]\d{1,6})?)\s*(?:([Zz])|([+-])(\d{2}):?(\d{2})?)?\s*$"
 )
+# The usual forms, which a cast reads as they are.
+_READY = r"^\d{4}-\d\d-\d\d \d\d:\d\d:\d\d(?:[+-]\d\d:\d\d)?$"
 # An offset in the rewritten form.
 _OFFSET = r":\d+(?:[.]\d+)?[Zz+-]"
-_PLAIN = r"^\s*\d{4}-\d{1,2}-\d{1,2}[ T]\d{1,2}:\d{1,2}:\d{1,2}(?:[.]\d{1,6})?\s*$"
+# Text in any other form, so that its rewritten form holds no digit.
+_OTHER = r"|^(?s:.*)$"
 
 
 def parse_ymd_hms(col: Column, data_type: str = "string") -> Column:
@@ -45,15 +48,12 @@ def parse_ymd_hms(col: Column, data_type: str = "string") -> Column:
     if data_type != "string":
         return col.cast("timestamp_ntz")
 
-    # One match rewrites the text into the form that a cast reads, with its offset if any;
-    # text that doesn't match stays as it is, and must not be cast.
-    usual = F.regexp_replace(col, _YMD_HMS, "=$1-$2-$3 $4:$5:$6$7$8$9$10")
-    text = F.when(usual.startswith("="), F.upper(F.substring(usual, 2, 99)))
+    # One match rewrites other text into a form that a cast reads, with its offset if any.
+    # Both branches and the condition share it, so Spark evaluates it once for each value.
+    usual = F.upper(F.regexp_replace(col, _YMD_HMS + _OTHER, "$1-$2-$3 $4:$5:$6$7$8$9$10"))
+    text = F.when(col.rlike(_READY), col).otherwise(usual)
     local, at = text.try_cast("timestamp_ntz"), text.try_cast("timestamp")
-    # The pattern is only matched where the text isn't in the plain form.
-    return F.when(col.rlike(_PLAIN), F.trim(col).try_cast("timestamp_ntz")).otherwise(
-        F.when(text.rlike(_OFFSET), _utc(at)).otherwise(local)
-    )
+    return F.when(text.rlike(_OFFSET), _utc(at)).otherwise(local)
 
 
 def _utc(ts: Column) -> Column:

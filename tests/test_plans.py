@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import datetime as dt
 import re
 
 import pytest
@@ -10,6 +11,7 @@ from pyspark.sql import functions as F
 import __spark_entry__ as entry_point
 from cohortlens.fixtures import views
 from cohortlens.fixtures.registry import QUERIES
+from cohortlens.functions.dates import parse_ymd_hms
 from cohortlens.operators import compare, distribution, integrity, profile, quantiles, reconcile
 from cohortlens.plans import snapshot_report
 from tests.helpers import plan_of, rows_of
@@ -190,3 +192,17 @@ def test_a_patient_with_many_slots_is_split_over_tasks(spark, tmp_path, small_pa
     several = integrity.multi_slot_patients(spark.read.parquet(path))
     assert "SortMergeJoin(skew=true)" in plan_of(several)
     assert several.count() == 20000
+
+
+def test_a_timestamp_is_rewritten_once_for_each_value(spark):
+    """One evaluation of the long pattern in the generated code, however often its text is used."""
+    df = spark.range(2).select(F.concat(F.lit("2024.01.02 03:04:0"), "id").alias("t")).select(parse_ymd_hms(F.col("t")).alias("ts"))
+    code = df._jdf.queryExecution().debug().codegenToSeq().mkString("\n")
+    assert code.count("appendReplacement(") == 1
+    assert [r.ts for r in df.orderBy("ts").collect()] == [dt.datetime(2024, 1, 2, 3, 4, s) for s in (0, 1)]
+
+
+def test_text_that_only_looks_rewritten_is_no_timestamp(spark):
+    texts = ["=2024-01-02 03:04:05", "2024-01-02 03:04:05", "2024-01-02 03:04:05+02:00", "2024-01-02 03:04:05\nx", "", None]
+    df = spark.createDataFrame([(t,) for t in texts], "t string").select(parse_ymd_hms(F.col("t")).alias("ts"))
+    assert [r.ts for r in df.collect()] == [None, dt.datetime(2024, 1, 2, 3, 4, 5), dt.datetime(2024, 1, 2, 1, 4, 5), None, None, None]
