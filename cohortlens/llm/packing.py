@@ -26,7 +26,7 @@ from pyspark.sql import types as T
 
 from cohortlens.llm.byte_bpe import byte_of_character, split_pattern, vocabulary
 from cohortlens.llm.chunks import Chunks, Column
-from cohortlens.llm.stage import staged
+from cohortlens.llm.stage import LEAST_FILES, lean, staged
 from cohortlens.llm.words import byte_rows, slices
 
 #: Tokens of a sequence, and the token that ends a document.
@@ -34,6 +34,8 @@ CAPACITY, END = 1024, 2
 SLICE_TEXT_BYTES = 1 << 22
 #: Estimated bytes of chunks that a task keeps.
 KEPT_BYTES = 96 << 20
+#: Counts by task and length that are broadcast at most; more are joined as Spark sees fit.
+BROADCAST_COUNTS = 1 << 17
 #: Characters below this one have been in Unicode for long, so every pattern reads them alike.
 PLAIN_BELOW = "\u0370"
 
@@ -138,7 +140,7 @@ def pieces(docs: DataFrame, vocab: str, capacity: int = CAPACITY, end: int = END
     from pyspark.sql.pandas.types import to_arrow_type
 
     arrow = [to_arrow_type(f.dataType) for f in schema]
-    return docs.select("doc_id", F.col("text").alias("text")).mapInArrow(of, schema)
+    return docs.select("doc_id", F.col("text").alias("text")).mapInArrow(lean(of), schema)
 
 
 class Plan(NamedTuple):
@@ -270,6 +272,17 @@ def placed(rows: DataFrame, found: Plan) -> DataFrame:
     return rows.mapInArrow(of, schema)
 
 
+def with_number(found: DataFrame, counts: DataFrame, few: bool) -> DataFrame:
+    """``found`` with ``number``, a piece's place among all of its length, for ``part`` and ``nth``.
+
+    With ``few`` counts the pieces stay where they are, so the result has no more files than they have.
+    """
+    before = F.sum("n").over(Window.partitionBy("length").orderBy("part").rowsBetween(Window.unboundedPreceding, -1))
+    earlier = counts.select("part", "length", F.coalesce(before, F.lit(0)).alias("before"))
+    numbered = found.join(F.broadcast(earlier) if few else earlier, ["part", "length"])
+    return numbered.withColumn("number", F.col("before") + F.col("nth")).drop("before", "nth", "part")
+
+
 def packed(docs: DataFrame, vocab: str | None = None, capacity: int = CAPACITY, end: int = END, keep_ids: bool = False) -> DataFrame:
     """``doc_id, piece, start, length, ids_crc32, sequence_id, offset`` of every piece.
 
@@ -280,15 +293,14 @@ def packed(docs: DataFrame, vocab: str | None = None, capacity: int = CAPACITY,
     ``ids``, see ``sequences``.
 
     Pieces are counted by task and length; the counts before a task's give each piece its
-    number among all of its length. Only the sum for each length comes to the driver, at
-    most ``capacity`` numbers, and the plan goes back to the tasks.
+    number among all of its length. Only the sum for each length, and how many counts it
+    has, comes to the driver, and the plan goes back to the tasks.
     """
     found = staged(pieces(docs, vocab or vocabulary(), capacity, end, keep_ids), "pieces")
-    counts = staged(found.groupBy("part", "length").agg(F.count("*").alias("n")), "lengths")
-    places = plan({r["length"]: r["n"] for r in counts.groupBy("length").agg(F.sum("n").alias("n")).collect()}, capacity)
-    before = F.sum("n").over(Window.partitionBy("length").orderBy("part").rowsBetween(Window.unboundedPreceding, -1))
-    numbered = found.join(counts.select("part", "length", F.coalesce(before, F.lit(0)).alias("before")), ["part", "length"])
-    numbered = numbered.withColumn("number", F.col("before") + F.col("nth")).drop("before", "nth", "part")
+    counts = staged(found.groupBy("part", "length").agg(F.count("*").alias("n")), "lengths", LEAST_FILES)
+    sums = counts.groupBy("length").agg(F.sum("n").alias("n"), F.count("*").alias("parts")).collect()
+    places = plan({r["length"]: r["n"] for r in sums}, capacity)
+    numbered = with_number(found, counts, sum(r["parts"] for r in sums) <= BROADCAST_COUNTS)
     return placed(numbered, places).select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset", *["ids"] * keep_ids)
 
 

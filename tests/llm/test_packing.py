@@ -136,3 +136,27 @@ def test_chunks_forget_and_learn_again(monkeypatch):
         ids, bounds = tokens.ids(*byte_rows(pa.array(texts)))
         assert [ids[a:b].tolist() for a, b in zip(bounds, bounds[1:])] == [library.encode(t, add_special_tokens=False).ids for t in texts]
         assert tokens.found.n == len(tokens.number)
+
+
+def test_few_counts_move_no_piece_and_make_no_further_files(spark, monkeypatch):
+    staged, write = {}, packing.staged
+    monkeypatch.setattr(packing, "staged", lambda df, name, *a: staged.setdefault(name, write(df, name, *a)))
+    texts = {i: "a b c " * (i % 40) for i in range(400)}
+    docs = spark.createDataFrame([*texts.items()], "doc_id long, text string").repartition(3)
+    settings = {"spark.sql.shuffle.partitions": "64", "spark.sql.adaptive.coalescePartitions.enabled": "false", "spark.sql.autoBroadcastJoinThreshold": "-1"}
+    before = {k: spark.conf.get(k) for k in settings}
+    try:
+        for k, value in settings.items():
+            spark.conf.set(k, value)
+        got = packing.packed(docs)
+        files = {name: len(df.inputFiles()) for name, df in staged.items()}
+        assert files["lengths"] <= packing.LEAST_FILES and got.rdd.getNumPartitions() <= files["pieces"] == 3
+        staged.clear()
+        monkeypatch.setattr(packing, "BROADCAST_COUNTS", 0)
+        joined = packing.packed(docs)
+        for rows in ([r.asDict() for r in x.collect()] for x in (got, joined)):
+            check_pieces(rows, texts, 1024, model())
+            check_places(rows, 1024)
+    finally:
+        for k, value in before.items():
+            spark.conf.set(k, value)
