@@ -34,7 +34,7 @@ CAPACITY, END = 1024, 2
 SLICE_TEXT_BYTES = 1 << 22
 #: Estimated bytes of chunks that a task keeps.
 KEPT_BYTES = 96 << 20
-#: Counts by task and length that are broadcast at most; more are joined as Spark sees fit.
+#: Counts by task and length that are broadcast at most; more are joined by shuffle.
 BROADCAST_COUNTS = 1 << 17
 #: Characters below this one have been in Unicode for long, so every pattern reads them alike.
 PLAIN_BELOW = "\u0370"
@@ -275,11 +275,13 @@ def placed(rows: DataFrame, found: Plan) -> DataFrame:
 def with_number(found: DataFrame, counts: DataFrame, few: bool) -> DataFrame:
     """``found`` with ``number``, a piece's place among all of its length, for ``part`` and ``nth``.
 
-    With ``few`` counts the pieces stay where they are, so the result has no more files than they have.
+    With ``few`` counts the pieces stay where they are, so the result has no more files than
+    they have. Else nothing is broadcast: the counts' files are far smaller than their rows,
+    so Spark would take them for a small table.
     """
     before = F.sum("n").over(Window.partitionBy("length").orderBy("part").rowsBetween(Window.unboundedPreceding, -1))
     earlier = counts.select("part", "length", F.coalesce(before, F.lit(0)).alias("before"))
-    numbered = found.join(F.broadcast(earlier) if few else earlier, ["part", "length"])
+    numbered = found.join(earlier.hint("broadcast" if few else "merge"), ["part", "length"])
     return numbered.withColumn("number", F.col("before") + F.col("nth")).drop("before", "nth", "part")
 
 

@@ -138,6 +138,15 @@ def test_chunks_forget_and_learn_again(monkeypatch):
         assert tokens.found.n == len(tokens.number)
 
 
+def test_many_counts_are_not_broadcast(spark, monkeypatch):
+    from tests.helpers import plan_of
+
+    docs = spark.createDataFrame([(i, "a " * (i % 90)) for i in range(300)], "doc_id long, text string").repartition(3)
+    assert "BroadcastHashJoin" in plan_of(packing.packed(docs))
+    monkeypatch.setattr(packing, "BROADCAST_COUNTS", 100)
+    assert "SortMergeJoin" in plan_of(packing.packed(docs))
+
+
 def test_few_counts_move_no_piece_and_make_no_further_files(spark, monkeypatch):
     staged, write = {}, packing.staged
     monkeypatch.setattr(packing, "staged", lambda df, name, *a: staged.setdefault(name, write(df, name, *a)))
